@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenio.llm import sql
+from provenio.llm.bpe_counts import token_counts
 from provenio.llm.exact_dedup import exact_dedup
+from provenio.llm.language_id import detect_language
 from provenio.llm.mixing import mix_sources
 from provenio.llm.quality_rules import quality_rules
 from provenio.llm.sharding import shard_by_key
@@ -18,6 +20,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer file is, on the driver as on the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -41,12 +55,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = detect_language(_documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    return judged.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_counts": op2_token_counts,
         "op3_exact_dedup": op3_exact_dedup,
         "op5_mix_sources": op5_mix_sources,
         "op7_sharding": op7_sharding,
         "op9_quality_rules": op9_quality_rules,
+        "op10_language_id": op10_language_id,
     }
 
 
