@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenio.llm import sql
+from provenio.llm.archives import pages_through_archives
 from provenio.llm.bpe_counts import token_counts
+from provenio.llm.common import scratch_path
 from provenio.llm.exact_dedup import exact_dedup
 from provenio.llm.language_id import detect_language
 from provenio.llm.mixing import mix_sources
@@ -37,6 +39,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = pages_through_archives(pages, scratch_path(spark, "archives"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_documents(spark, sf_dir))
     return mixed.select(
@@ -64,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_warc": op4_warc,
         "op5_mix_sources": op5_mix_sources,
         "op7_sharding": op7_sharding,
         "op9_quality_rules": op9_quality_rules,

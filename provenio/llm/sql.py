@@ -9,6 +9,21 @@ SELECT doc_id,
 FROM documents
 """
 
+OP4 = """
+WITH digests AS (
+    SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), grouped AS (
+    SELECT *, min(page_id) OVER (PARTITION BY html) AS first_page FROM digests
+)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST(((('0x' || substr(h, CAST((i // 8) * 10 + 1 AS INTEGER), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31) + 1 AS INTEGER), 1)), '')
+           AS payload_digest,
+       CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_page THEN NULL ELSE first_page END AS refers_to
+FROM grouped
+"""
+
 OP5 = """
 WITH sized AS (
     SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
@@ -107,6 +122,7 @@ FROM sharded s JOIN ends e ON s.digest = e.digest
 
 ORACLES = {
     "op3_exact_dedup": OP3,
+    "op4_warc": OP4,
     "op5_mix_sources": OP5,
     "op9_quality_rules": OP9,
 }
