@@ -164,11 +164,8 @@ def feature_sets(ids: DataFrame, df: DataFrame, id_col: str, text_col: str, widt
     return texts.mapInPandas(features, f"id {kind}, s binary")
 
 
-def supported(members: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(node, held): how many of a node's features another node of members has as well.
-
-    No partner among them can share more than that, which rules pairs out before they are made.
-    """
+def open_features(members: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(node, hs): the features of the nodes of members, as an array."""
     ids = written(members.select(F.col("node").alias("id")).distinct(), "open-nodes")
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -177,9 +174,18 @@ def supported(members: DataFrame, df: DataFrame, id_col: str, text_col: str, wid
             yield pd.DataFrame({"node": batch["id"], "hs": [np.frombuffer(s, np.int64) for s in batch["s"]]})
 
     sets = feature_sets(ids, df, id_col, text_col, width)
-    rows = written(sets.mapInPandas(unpacked, f"node {kind}, hs array<long>"), "open-sets")
-    rows = rows.select("node", F.explode("hs").alias("h"))
-    common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    return written(sets.mapInPandas(unpacked, f"node {kind}, hs array<long>"), "open-features")
+
+
+def supported(members: DataFrame, features: DataFrame) -> DataFrame:
+    """(node, held): how many of a node's features are in another component of members as well.
+
+    No partner in another component can share more than that, which rules pairs out before they are made.
+    """
+    rows = members.select("node", "component").distinct().join(features, "node")
+    rows = rows.select("node", "component", F.explode("hs").alias("h"))
+    common = rows.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    common = common.filter("low <> high").select("h")
     return rows.join(common, "h", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("held"))
 
 
@@ -226,8 +232,8 @@ def similarity_groups(
     counted with map-side combining; those of two nodes give a pair, those of more list their nodes. First each
     node is compared with its signature's leader, and what links is one component. What then still shares a
     signature across components is compared again, with the member whose features are best supported and then
-    pair by pair; a pair is left out only if the features that either has in common with any open node at all are
-    too few. So a bucket of thousands of copies costs a comparison or two each, and yet every pair that could link
+    pair by pair; a pair is left out only if the features that either has in common with all other components
+    are too few. So a bucket of thousands of copies costs a comparison or two each, and yet every pair that could link
     is compared or already connected. Comparisons are exact on 64-bit hashes of the n-grams.
 
     Buckets, pairs and components stay distributed; the joins on them are sort-merge joins that adaptive execution
@@ -268,7 +274,7 @@ def similarity_groups(
 
     # What still shares a crowded signature across components: compared with the member whose features are best
     # supported, which most of a group of copies links with; then pair by pair, where the support leaves a chance.
-    held = None
+    features = None
     for turn in ("best", "pairs"):
         labelled = listed.join(found, listed["node"] == found["node"], "left").select(
             "sig", listed["node"], F.coalesce("component", listed["node"]).alias("component")
@@ -277,22 +283,27 @@ def similarity_groups(
         members = written(labelled.join(split.filter("low <> high").select("sig"), "sig"), "open-signatures")
         if members.isEmpty():
             break
-        if held is None:
-            held = supported(members, df, id_col, text_col, width)
-            held = held.join(sizes.withColumnRenamed("id", "node"), "node")
-            held = written(held.filter(F.expr(f"100 * held >= {percent} * n")), "support")
+        if features is None:
+            features = open_features(members, df, id_col, text_col, width)
+        held = supported(members, features).join(sizes.withColumnRenamed("id", "node"), "node")
+        held = written(held.filter(F.expr(f"100 * held >= {percent} * n")), "support")
         members = members.join(held, "node")
         if turn == "best":
             best = members.groupBy("sig").agg(F.max(F.struct(F.col("held") / F.col("n"), "node", "component")).alias("best"))
             chosen = members.join(best, "sig").filter("component <> best.component")
             pairs = chosen.select(F.col("best.node").alias("a"), F.col("node").alias("b"))
         else:
+            # a pair is made under the least of the signatures that it shares, and so once
+            own = members.groupBy("node").agg(F.collect_list("sig").alias("sigs"))
             left, right = (
-                members.select("sig", *[F.col(c).alias(c + side) for c in ("node", "component", "held", "n")])
+                members.join(own, "node").select(
+                    "sig", *[F.col(c).alias(c + side) for c in ("node", "component", "held", "n", "sigs")]
+                )
                 for side in ("_a", "_b")
             )
             chance = f"""component_a < component_b
-                and 100 * least(held_a, held_b) >= {percent} * (n_a + n_b - least(held_a, held_b))"""
+                and 100 * least(held_a, held_b) >= {percent} * (n_a + n_b - least(held_a, held_b))
+                and left.sig = array_min(array_intersect(sigs_a, sigs_b))"""
             on = (F.col("left.sig") == F.col("right.sig")) & F.expr(chance)
             pairs = left.alias("left").join(right.alias("right"), on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         fresh = written(_sized(pairs, sizes, percent).join(checked, ["a", "b"], "left_anti"), "pairs")

@@ -12,6 +12,7 @@ from provenio.llm.archives import pages_through_archives
 from provenio.llm.bpe_counts import token_counts
 from provenio.llm.common import scratch_path
 from provenio.llm.exact_dedup import exact_dedup
+from provenio.llm.jaccard_join import similarity_groups
 from provenio.llm.language_id import detect_language
 from provenio.llm.mixing import mix_sources
 from provenio.llm.quality_rules import quality_rules
@@ -29,6 +30,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_groups(_documents(spark, sf_dir), width=4, percent=85)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -70,6 +75,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_token_counts": op2_token_counts,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_warc": op4_warc,
