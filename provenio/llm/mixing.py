@@ -131,11 +131,17 @@ def mix_sources(
     )
 
 
-def mixed_rows(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of df that the mix takes, each as often as it is taken; ids must be unique."""
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", max_broadcast: int = 1_000_000, **options) -> DataFrame:
+    """The rows of df that the mix takes, each as often as it is taken; ids must be unique.
+
+    The copies (a narrow row for each document taken) are broadcast while there are at most max_broadcast, which
+    is counted first; beyond that they are sort-merge joined.
+    """
     copies = free_name(df, "_copies")
     taken = mix_sources(df, id_col=id_col, **options).filter("copies > 0")
-    taken = taken.select(F.col(id_col).alias("_taken_id"), F.col("copies").alias(copies))
+    taken = written(taken.select(F.col(id_col).alias("_taken_id"), F.col("copies").alias(copies)), "mix-copies")
+    if taken.count() <= max_broadcast:
+        taken = F.broadcast(taken)
     joined = df.join(taken, F.col(id_col).eqNullSafe(F.col("_taken_id")))
     repeats = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))
     return joined.select(*df.columns, repeats.alias(copies)).drop(copies)

@@ -15,6 +15,7 @@ from provenio.llm.exact_dedup import exact_dedup
 from provenio.llm.jaccard_join import similarity_groups
 from provenio.llm.language_id import detect_language
 from provenio.llm.mixing import mix_sources
+from provenio.llm.piece_lattice import encode
 from provenio.llm.quality_rules import quality_rules
 from provenio.llm.sharding import shard_by_key
 from provenio.llm.suffix_dedup import suffix_dedup
@@ -58,6 +59,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+    return encoded.select("doc_id", "n_pieces", "round_trip", "piece_ids")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_by_key(_documents(spark, sf_dir).select("doc_id", "text"))
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -86,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_warc": op4_warc,
         "op5_mix_sources": op5_mix_sources,
+        "op6_sentencepiece": op6_sentencepiece,
         "op7_sharding": op7_sharding,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_quality_rules": op9_quality_rules,
