@@ -130,7 +130,7 @@ def select_files(tree: DataFrame, options: ScanOptions) -> DataFrame:
         "repo_id", "matched", "over_cap", F.col("l.consumed").alias("bytes"), (F.col("m.hit") | F.col("l.hit")).alias("budget_hit"),
         F.array_union("m.admitted", "l.admitted").alias("admitted"),
     )
-    return usable.join(flags, "repo_id").withColumn("admitted", F.array_contains("admitted", F.col("path")))
+    return usable.drop("over_cap").join(flags, "repo_id").withColumn("admitted", F.array_contains("admitted", F.col("path")))
 
 
 def lock_evidence(files: DataFrame, options: ScanOptions, target: str) -> DataFrame:

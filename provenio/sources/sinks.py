@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     """A CSV of facts: a header, every field text, a ragged row an error."""
     options = {"header": "true", "multiLine": "true", "escape": '"', "mode": "FAILFAST", "enforceSchema": "false"}
-    return spark.read.options(**options).csv(path)
+    return spark.read.options(**options).csv(path).fillna("")
 
 
 def write_facts(df: DataFrame, folder: str) -> None:
