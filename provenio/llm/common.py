@@ -15,6 +15,8 @@ WHITE_CLASS = "[\\x20\\x09-\\x0D]"
 WORD_CLASS = "[^\\x20\\x09-\\x0D]"
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Arrow batches of texts and feature sets: a Python worker holds one at a time.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,14 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffle_files_dropped(spark: SparkSession):
-    """While a table is written, drop each query's shuffle files as it ends: the table replaces them."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings that hold within a block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -47,11 +54,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back.
 
-    The copy outlives lost executors; its shuffle files go as soon as it is written.
+    The copy outlives lost executors; its shuffle files go as soon as it is written. Python stages on the way get
+    small Arrow batches.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with shuffle_files_dropped(spark):
+    with settings(spark, {_CLEANUP: "true"} | SMALL_BATCHES):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

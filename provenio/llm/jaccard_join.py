@@ -149,32 +149,30 @@ def _small_enough(df: DataFrame) -> bool:
     return df.count() <= MAX_BROADCAST
 
 
-def feature_sets(ids: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, s): the features of the documents named in ids, made again from their texts; s is packed 64-bit hashes."""
+def feature_sets(ids: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int, packed: bool = True) -> DataFrame:
+    """(id, s): the features of the documents named in ids, made again from their texts.
+
+    s is packed 64-bit hashes, or an array of them.
+    """
     wanted = F.broadcast(ids) if _small_enough(ids) else ids
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(wanted, "id")
     kind = df.schema[id_col].dataType.simpleString()
+    shape = (lambda s: s.tobytes()) if packed else (lambda s: s.view(np.int64))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k in range(0, len(batch), 500):
                 piece = batch.iloc[k : k + 500]
-                yield pd.DataFrame({"id": piece["id"], "s": [shingle_set(t, width).tobytes() for t in piece["t"]]})
+                yield pd.DataFrame({"id": piece["id"], "s": [shape(shingle_set(t, width)) for t in piece["t"]]})
 
-    return texts.mapInPandas(features, f"id {kind}, s binary")
+    return texts.mapInPandas(features, f"id {kind}, s {'binary' if packed else 'array<long>'}")
 
 
 def open_features(members: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(node, hs): the features of the nodes of members, as an array."""
     ids = written(members.select(F.col("node").alias("id")).distinct(), "open-nodes")
-    kind = df.schema[id_col].dataType.simpleString()
-
-    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"node": batch["id"], "hs": [np.frombuffer(s, np.int64) for s in batch["s"]]})
-
-    sets = feature_sets(ids, df, id_col, text_col, width)
-    return written(sets.mapInPandas(unpacked, f"node {kind}, hs array<long>"), "open-features")
+    sets = feature_sets(ids, df, id_col, text_col, width, packed=False)
+    return written(sets.select(F.col("id").alias("node"), F.col("s").alias("hs")), "open-features")
 
 
 def supported(members: DataFrame, features: DataFrame) -> DataFrame:
