@@ -13,18 +13,26 @@ from pyspark.sql import functions as F
 from provenio.llm.common import text_or_empty, written
 
 #: Bytes of the grams whose least hash in a window names the window's bucket.
-GRAM = 16
+GRAM = 32
+# A difference cover; for any two residues modulo PERIOD there is a shift that takes both into COVER.
+PERIOD = 32
+COVER = (0, 1, 2, 3, 7, 11, 19)
 #: Texts are read in pieces of so many starts; each piece carries the bytes that its last windows need.
 PIECE = 1 << 20
 #: Pieces are gathered up to so many bytes, and runs that such a block has twice are sent once.
 BLOCK = 2 << 20
 #: Bytes of runs in a bucket, on average, if their number follows the input.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 LAST_ID = np.iinfo(np.int64).max
 
 _FACTOR = 0x5851F42D4C957F2D
 _INVERSE = pow(_FACTOR, -1, 2**64)
 _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_IN_COVER = np.isin(np.arange(PERIOD), COVER)
+#: [a, b]: the least shift that takes the residues a and b into the cover.
+SHIFT = np.array(
+    [[next(d for d in range(PERIOD) if _IN_COVER[(a + d) % PERIOD] and _IN_COVER[(b + d) % PERIOD]) for b in range(PERIOD)] for a in range(PERIOD)]
+)
 _BYTES = (np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -75,17 +83,8 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(found[: len(found) - rest], found[rest:]) if rest else found
 
 
-def _words(data: np.ndarray) -> np.ndarray:
-    """The eight bytes at each position as one number."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    found = np.zeros(len(data), np.uint64)
-    for k in range(8):
-        found |= padded[k : k + len(data)].astype(np.uint64) << np.uint64(8 * k)
-    return found
-
-
 def _runs(data: np.ndarray, starts_ok: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Rolling]:
-    """(first start, number of starts, bucket hash) of the runs of windows with one least gram, and the hashes."""
+    """(first start, number of starts, hash of the gram) of the runs of windows with one least gram, and the hashes."""
     rolling = Rolling(data)
     least = window_minima(rolling.windows(GRAM), length - GRAM + 1)
     least = least[: len(starts_ok)]
@@ -118,9 +117,10 @@ def _blocks(batches: Iterator[pd.DataFrame], length: int) -> Iterator[list[tuple
         yield held
 
 
-def _packed(bucket: int, docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, body: bytes | None) -> dict:
+def _packed(bucket: int, docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, grams: np.ndarray | None = None, body: bytes | None = None) -> dict:
     order = lambda x, kind: np.ascontiguousarray(x, kind).tobytes()
-    return {"bucket": bucket, "docs": order(docs, np.int64), "starts": order(starts, np.int64), "counts": order(counts, np.int32), "body": body}
+    row = {"bucket": bucket, "docs": order(docs, np.int64), "starts": order(starts, np.int64), "counts": order(counts, np.int32)}
+    return row | {"grams": None if grams is None else order(grams, np.uint64), "body": body}
 
 
 def deal_runs(block: list[tuple[int, int, bytes]], length: int, buckets: int, turn: int, turns: int) -> list[dict]:
@@ -140,7 +140,7 @@ def deal_runs(block: list[tuple[int, int, bytes]], length: int, buckets: int, tu
     first, count, named, rolling = _runs(data, ok, length)
     bucket = (named % np.uint64(buckets)).astype(np.int64)
     mine = bucket % turns == turn
-    first, count, bucket = first[mine], count[mine], bucket[mine]
+    first, count, bucket, named = first[mine], count[mine], bucket[mine], named[mine]
     if not len(first):
         return []
     of = np.searchsorted(base, first, side="right") - 1
@@ -161,58 +161,152 @@ def deal_runs(block: list[tuple[int, int, bytes]], length: int, buckets: int, tu
         again[two] = count[leader] == count[two] and cut(leader) == cut(two)
     rows = []
     if again.any():
-        rows.append(_packed(-1 - int(docs[0] % buckets), docs[again], starts[again], count[again], None))
+        rows.append(_packed(-1 - int(docs[0] % buckets), docs[again], starts[again], count[again]))
     left = np.flatnonzero(~again)
     left = left[np.argsort(bucket[left], kind="stable")]
     cuts = np.flatnonzero(np.diff(bucket[left], prepend=-1))
     for a, b in zip(cuts, np.append(cuts[1:], len(left))):
         part = left[a:b]
         body = b"".join([whole[f : f + c + length - 1] for f, c in zip(first[part].tolist(), count[part].tolist())])
-        rows.append(_packed(int(bucket[part[0]]), docs[part], starts[part], count[part], body))
+        rows.append(_packed(int(bucket[part[0]]), docs[part], starts[part], count[part], named[part], body))
     return rows
 
 
-def repeats_in_bucket(docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, bodies: list[bytes], length: int):
+def _words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes at each of some positions as a number that sorts as they do."""
+    return np.lib.stride_tricks.sliding_window_view(data, 8)[at].view(">u8").ravel().astype(np.uint64)
+
+
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """Dense ranks from 1; equals share a rank."""
+    order = np.argsort(key)
+    found = key[order]
+    edge = np.ones(len(key), np.int64)
+    edge[1:] = found[1:] != found[:-1]
+    ranks = np.empty(len(key), np.int64)
+    ranks[order] = np.cumsum(edge)
+    return ranks
+
+
+def _paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Dense ranks from 1 of pairs of ranks."""
+    return _ranks(first * (second.max(initial=0) + 1) + second)
+
+
+def cover_ranks(data: np.ndarray, size: int, depth: int, suffixes: np.ndarray) -> np.ndarray:
+    """By position: the rank of its `depth` bytes or more among the positions of the cover, 0 elsewhere.
+
+    Ranks by eight bytes are doubled: a position and the one PERIOD further on are both in the cover, or neither is.
+    Only positions that the comparison of the given suffixes can look at are ranked. data has room for PERIOD bytes
+    after `size`.
+    """
+    reach = 2 * depth + PERIOD
+    seen = np.zeros(size + 1, np.int64)
+    seen[suffixes + 1] = 1
+    seen = np.cumsum(seen)
+    near = seen[1:] > np.concatenate([np.zeros(min(reach, size), np.int64), seen[1 : max(size - reach, 0) + 1]])
+    at = np.flatnonzero(near & np.tile(_IN_COVER, -(-size // PERIOD))[:size])
+    found = _ranks(_words_at(data, at))
+    for k in range(8, PERIOD, 8):
+        found = _paired(found, _ranks(_words_at(data, at + k)))
+    ranks = np.zeros(size + reach, np.int64)
+    ranks[at] = found
+    known = PERIOD
+    while known < depth:
+        ranks[at] = _paired(ranks[at], ranks[at + known])
+        known *= 2
+    return ranks
+
+
+def _tied(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, group starts) of the suffixes that tie with another on their first PERIOD bytes, in order.
+
+    Eight bytes are sorted at a time; a suffix that is alone with what has been read of it goes.
+    """
+    group = np.zeros(len(at), np.int64)
+    for k in range(0, PERIOD, 8):
+        group = _paired(group, _ranks(_words_at(data, at + k)))
+        kept = np.bincount(group)[group] > 1
+        at, group = at[kept], group[kept]
+        if not len(at):
+            break
+    order = np.argsort(group, kind="stable")
+    at, group = at[order], group[order]
+    return at, np.diff(group, prepend=-1) != 0
+
+
+def _sort_ties(at: np.ndarray, edge: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The positions of each group in the order of their suffixes, by three-way partition around pivots.
+
+    Two suffixes that tie on PERIOD bytes are compared by one look at the cover ranks, at the shift that takes both
+    into the cover. All groups are partitioned at once; those around a pivot that tie with it are done.
+    """
+    at, edge = at.copy(), edge.copy()
+    done = np.zeros(len(at), bool)
+    while True:
+        group = np.cumsum(edge) - 1
+        open_ = np.flatnonzero(~done & (np.bincount(group)[group] > 1))
+        if not len(open_):
+            return at
+        own = group[open_]
+        head = np.flatnonzero(np.diff(own, prepend=-1))
+        count = np.diff(head, append=len(own))
+        pivot = np.repeat(at[open_[head + count // 2]], count)
+        mine = at[open_]
+        shift = SHIFT[mine % PERIOD, pivot % PERIOD]
+        side = np.sign(ranks[mine + shift] - ranks[pivot + shift])
+        order = np.lexsort((side, own))
+        side = side[order]
+        at[open_], done[open_] = mine[order], side == 0
+        edge[open_] |= (np.diff(side, prepend=2) != 0)
+
+
+def repeats_in_bucket(docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, grams: np.ndarray, bodies: list[bytes], length: int):
     """(docs, starts, counts) of the runs of starts, among those given, whose window also starts earlier.
 
-    The bucket's suffixes are sorted by a hash of their first `length` bytes; neighbours that tie are compared
-    byte by byte, in words of eight, and the earliest of each class of equals is the one that stays.
+    Equal windows have one gram, so runs whose gram no other run has are left out. The suffixes of the rest are
+    sorted by their first PERIOD bytes, and ties by the ranks of a difference cover's sample (Burkhardt and
+    Karkkainen, 2003): memory is a few numbers a suffix, however long the ties are. Neighbours are then compared over
+    `length` bytes, and the earliest of each class of equals is the one that stays.
     """
+    none = (np.empty(0, np.int64),) * 3
     lengths = counts + length - 1
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    order = np.lexsort((starts, docs))
-    data = np.frombuffer(b"".join(bodies), np.uint8)
+    offsets = np.cumsum(lengths) - lengths
+    _, which, often = np.unique(grams, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(often[which] > 1)
+    if not len(shared):
+        return none
     # the runs side by side, in the order of their places: a smaller index is an earlier place
-    new_offsets = np.concatenate([[0], np.cumsum(lengths[order])])
-    source = np.repeat(offsets[:-1][order] - new_offsets[:-1], lengths[order]) + np.arange(len(data))
-    data = data[source]
-    run = np.repeat(np.arange(len(order)), counts[order])
-    within = np.arange(len(run)) - np.repeat(np.cumsum(counts[order]) - counts[order], counts[order])
-    at = new_offsets[:-1][run] + within
-    prints = Rolling(data).windows(length)[at]
-    ranked = np.argsort(prints, kind="stable")
-    tied = np.zeros(len(ranked), bool)
-    tied[1:] = prints[ranked][1:] == prints[ranked][:-1]
-    if not tied.any():
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    pairs = np.flatnonzero(tied)
-    words = _words(data)
-    one, two = at[ranked[pairs - 1]], at[ranked[pairs]]
-    same = np.ones(len(pairs), bool)
-    for k in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        same &= words[one + k] == words[two + k]
-    tied[pairs[~same]] = False  # a clash of hashes: the two are not equals
-    flagged = np.sort(ranked[tied])
+    order = shared[np.lexsort((starts[shared], docs[shared]))]
+    whole = memoryview(b"".join(bodies))
+    body = b"".join([whole[a : a + n] for a, n in zip(offsets[order].tolist(), lengths[order].tolist())])
+    docs, starts, counts, lengths = docs[order], starts[order], counts[order], lengths[order]
+    size = len(body)
+    data = np.frombuffer(body + bytes(2 * PERIOD), np.uint8)
+    base = np.cumsum(lengths) - lengths
+    inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    at, edge = _tied(data, np.repeat(base, counts) + inside)
+    if not len(at):
+        return none
+    at = _sort_ties(at, edge, cover_ranks(data, size, length, at))
+    same = np.zeros(len(at), bool)
+    near = np.flatnonzero(~edge)
+    for k in [*range(PERIOD, length - 7, 8), *([length - 8] if length % 8 else [])]:
+        near = near[_words_at(data, at[near - 1] + k) == _words_at(data, at[near] + k)]
+    same[near] = True
+    classes = np.cumsum(~same) - 1
+    earliest = np.minimum.reduceat(at, np.flatnonzero(~same))
+    flagged = np.sort(at[at != earliest[classes]])
+    if not len(flagged):
+        return none
     # starts of one run that follow each other make an interval
-    edge = np.ones(len(flagged), bool)
-    edge[1:] = (np.diff(flagged) != 1) | (run[flagged[1:]] != run[flagged[:-1]])
-    head = np.flatnonzero(edge)
-    lead = flagged[head]
-    of = order[run[lead]]
-    return docs[of], starts[of] + within[lead], np.diff(head, append=len(flagged))
+    run = np.searchsorted(base, flagged, side="right") - 1
+    head = np.flatnonzero((np.diff(flagged, prepend=-2) != 1) | (np.diff(run, prepend=-1) != 0))
+    of = run[head]
+    return docs[of], starts[of] + flagged[head] - base[of], np.diff(head, append=len(flagged))
 
 
-RUNS = "bucket long, docs binary, starts binary, counts binary, body binary"
+RUNS = "bucket long, docs binary, starts binary, counts binary, grams binary, body binary"
 FOUND = "docs binary, starts binary, counts binary"
 
 
@@ -237,8 +331,9 @@ def repeated_starts(df: DataFrame, length: int, buckets: int, turns: int) -> Dat
             docs, starts, counts = (np.concatenate(x) for x in parts)
             counts = counts.astype(np.int64)
             if group["bucket"].iloc[0] >= 0:
-                docs, starts, counts = repeats_in_bucket(docs, starts, counts, list(group["body"]), length)
-            row = _packed(0, docs, starts, counts, None)
+                grams = np.concatenate([np.frombuffer(x, np.uint64) for x in group["grams"]])
+                docs, starts, counts = repeats_in_bucket(docs, starts, counts, grams, list(group["body"]), length)
+            row = _packed(0, docs, starts, counts)
             return pd.DataFrame([{k: row[k] for k in ("docs", "starts", "counts")}] if len(docs) else [], columns=["docs", "starts", "counts"])
 
         dealt = df.mapInPandas(deal, RUNS).groupBy("bucket").applyInPandas(sort, FOUND)
@@ -270,16 +365,19 @@ def suffix_dedup(
     without with_text).
 
     Windows are dealt to buckets by the least hash of the grams they hold, so that equal windows meet and
-    neighbours travel together as bytes, some 3.4 bytes for each of the text; each bucket is sorted by itself.
-    Intervals of removed starts, not positions, come back and are joined to their documents.
+    neighbours travel together as bytes, some four bytes for each of the text; each bucket is sorted by itself, with
+    long ties resolved by the ranks of a difference cover's sample. Intervals of removed starts, not positions, come
+    back and are joined to their documents.
 
     Edge cases: no rows give no rows; null and empty texts have nothing to remove; ids must be unique, and null
     ids count as one document after all others; extra columns are not read.
     """
+    if length < 2 * GRAM:
+        raise ValueError(f"length must be at least {2 * GRAM}")
     whole = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST_ID))).alias("i"), F.col(id_col).alias("_id"), text_or_empty(text_col).alias("t"))
     if buckets is None:
         total = whole.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-        buckets = max(8, 1 + int(3.4 * total) // BUCKET_BYTES)
+        buckets = max(8, 1 + 4 * total // BUCKET_BYTES)
     starts = repeated_starts(whole.select("i", "t").filter(F.octet_length("t") >= length), length, buckets, turns)
     of_doc = written(
         starts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("hits")), "repeats-of-doc"
