@@ -18,6 +18,8 @@ from provenio.llm.components import connected_components
 #: Sets of up to so many features use two levels of partitions, of which one second-level part may differ.
 TWO_LEVEL_SIZE = 64
 PARTS = 3
+#: Bits of the print that rules open pairs out: bits that two prints differ in are features that the sets differ in.
+PRINT_BITS = 2048
 #: Narrow tables are broadcast up to so many rows (8 to 16 bytes each), which are counted first.
 MAX_BROADCAST = 1_000_000
 
@@ -149,30 +151,44 @@ def _small_enough(df: DataFrame) -> bool:
     return df.count() <= MAX_BROADCAST
 
 
-def feature_sets(ids: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int, packed: bool = True) -> DataFrame:
-    """(id, s): the features of the documents named in ids, made again from their texts.
-
-    s is packed 64-bit hashes, or an array of them.
-    """
+def _made_of_texts(ids: DataFrame, df: DataFrame, id_col: str, text_col: str, columns: str, make) -> DataFrame:
+    """id and what make gives of the texts of the documents named in ids: a list of values for each of `columns`."""
     wanted = F.broadcast(ids) if _small_enough(ids) else ids
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(wanted, "id")
     kind = df.schema[id_col].dataType.simpleString()
-    shape = (lambda s: s.tobytes()) if packed else (lambda s: s.view(np.int64))
+    names = [c.split()[0] for c in columns.split(", ")]
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k in range(0, len(batch), 500):
                 piece = batch.iloc[k : k + 500]
-                yield pd.DataFrame({"id": piece["id"], "s": [shape(shingle_set(t, width)) for t in piece["t"]]})
+                yield pd.DataFrame({"id": piece["id"]} | dict(zip(names, make(piece["t"]))))
+
+    return texts.mapInPandas(rows, f"id {kind}, {columns}")
+
 
-    return texts.mapInPandas(features, f"id {kind}, s {'binary' if packed else 'array<long>'}")
+def feature_sets(ids: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, s): the features of the documents named in ids, made again from their texts; s is packed 64-bit hashes."""
+    return _made_of_texts(ids, df, id_col, text_col, "s binary", lambda texts: [[shingle_set(t, width).tobytes() for t in texts]])
+
+
+def bit_print(features: np.ndarray) -> np.ndarray:
+    """PRINT_BITS bits as 64-bit numbers, of which each feature sets one."""
+    bits = np.zeros(PRINT_BITS, bool)
+    bits[features % np.uint64(PRINT_BITS)] = True
+    return np.packbits(bits).view(np.int64)
 
 
 def open_features(members: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(node, hs): the features of the nodes of members, as an array."""
+    """(node, hs, bits): the features of the nodes of members, as an array, and their print."""
     ids = written(members.select(F.col("node").alias("id")).distinct(), "open-nodes")
-    sets = feature_sets(ids, df, id_col, text_col, width, packed=False)
-    return written(sets.select(F.col("id").alias("node"), F.col("s").alias("hs")), "open-features")
+
+    def make(texts: pd.Series) -> list[list[np.ndarray]]:
+        sets = [shingle_set(t, width) for t in texts]
+        return [[s.view(np.int64) for s in sets], [bit_print(s) for s in sets]]
+
+    sets = _made_of_texts(ids, df, id_col, text_col, "hs array<long>, bits array<long>", make)
+    return written(sets.withColumnRenamed("id", "node"), "open-features")
 
 
 def supported(members: DataFrame, features: DataFrame) -> DataFrame:
@@ -231,7 +247,7 @@ def similarity_groups(
     node is compared with its signature's leader, and what links is one component. What then still shares a
     signature across components is compared again, with the member whose features are best supported and then
     pair by pair; a pair is left out only if the features that either has in common with all other components
-    are too few. So a bucket of thousands of copies costs a comparison or two each, and yet every pair that could link
+    are too few, or if the bits in which their prints differ (each a feature of one alone) are too many. So a bucket of thousands of copies costs a comparison or two each, and yet every pair that could link
     is compared or already connected. Comparisons are exact on 64-bit hashes of the n-grams.
 
     Buckets, pairs and components stay distributed; the joins on them are sort-merge joins that adaptive execution
@@ -292,15 +308,17 @@ def similarity_groups(
             pairs = chosen.select(F.col("best.node").alias("a"), F.col("node").alias("b"))
         else:
             # a pair is made under the least of the signatures that it shares, and so once
-            own = members.groupBy("node").agg(F.collect_list("sig").alias("sigs"))
+            own = members.groupBy("node").agg(F.collect_list("sig").alias("sigs")).join(features.select("node", "bits"), "node")
             left, right = (
                 members.join(own, "node").select(
-                    "sig", *[F.col(c).alias(c + side) for c in ("node", "component", "held", "n", "sigs")]
+                    "sig", *[F.col(c).alias(c + side) for c in ("node", "component", "held", "n", "sigs", "bits")]
                 )
                 for side in ("_a", "_b")
             )
             chance = f"""component_a < component_b
                 and 100 * least(held_a, held_b) >= {percent} * (n_a + n_b - least(held_a, held_b))
+                and {100 + percent} * aggregate(zip_with(bits_a, bits_b, (x, y) -> bit_count(x ^ y)), 0, (s, k) -> s + k)
+                    <= {100 - percent} * (n_a + n_b)
                 and left.sig = array_min(array_intersect(sigs_a, sigs_b))"""
             on = (F.col("left.sig") == F.col("right.sig")) & F.expr(chance)
             pairs = left.alias("left").join(right.alias("right"), on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
