@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenio.llm.common import text_or_empty, written
+from provenio.llm.common import partitions_for, text_or_empty, written
 
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -21,7 +23,7 @@ UNKNOWN_PENALTY = 10.0
 DICTIONARY_WORDS = 150_000
 LONGEST_WORD = 48
 #: Words that a Python worker remembers besides; then it starts over.
-MEMORY = 300_000
+MEMORY = 200_000
 
 
 @dataclass
@@ -36,6 +38,9 @@ class PieceTable:
     def longest(self) -> int:
         return max(map(len, self.pieces))
 
+    def beginnings(self) -> frozenset[str]:
+        return frozenset(piece[:k] for piece in self.pieces for k in range(1, len(piece) + 1))
+
     @property
     def unknown_score(self) -> float:
         return min(score for _, score in self.pieces.values()) - UNKNOWN_PENALTY
@@ -124,22 +129,22 @@ def encode_words(spark: SparkSession, words: DataFrame, table: PieceTable) -> Da
     return best_paths(lattice_edges(words, pieces, table))
 
 
-def best_path(word: str, table: PieceTable, unknown: float, longest: int) -> list[int]:
-    """The same path for one word, for words that the dictionary does not hold."""
+def best_path(word: str, table: PieceTable, unknown: float, beginnings: frozenset[str]) -> list[int]:
+    """The same path for one word, for words that the dictionary does not hold; beginnings: of all pieces."""
     pieces, size = table.pieces, len(word)
-    score, back = [0.0] * (size + 1), [None] * (size + 1)
-    for stop in range(1, size + 1):
-        best = None
-        for start in range(max(0, stop - longest), stop):
-            found = pieces.get(word[start:stop])
-            if found is None:
-                if stop - start > 1:
-                    continue
-                found = (-1, unknown)
-            total = score[start] + found[1]
-            if best is None or total >= best[0]:
-                best = (total, start, found[0])
-        score[stop], back[stop] = best[0], best[1:]
+    score, back = [-math.inf] * (size + 1), [None] * (size + 1)
+    score[0] = 0.0
+    for start in range(size):
+        so_far = score[start]
+        if word[start] not in pieces and so_far + unknown >= score[start + 1]:
+            score[start + 1], back[start + 1] = so_far + unknown, (start, -1)
+        for stop in range(start + 1, size + 1):
+            part = word[start:stop]
+            if part not in beginnings:
+                break
+            found = pieces.get(part)
+            if found is not None and so_far + found[1] >= score[stop]:
+                score[stop], back[stop] = so_far + found[1], (start, found[0])
     parts, at = [], size
     while at:
         start, piece = back[at]
@@ -148,6 +153,40 @@ def best_path(word: str, table: PieceTable, unknown: float, longest: int) -> lis
     return [i for part in reversed(parts) for i in part]
 
 
+class WordCodes(dict):
+    """word -> its piece ids, packed as 32-bit numbers; words outside the dictionary are encoded when first met.
+
+    At most `room` such words are kept besides the dictionary, then they go. astray: words that decoding does not
+    give back.
+    """
+
+    def __init__(self, dictionary: dict[str, bytes], table: PieceTable, room: int):
+        super().__init__(dictionary)
+        self.dictionary, self.table, self.most = dictionary, table, len(dictionary) + room
+        self.unknown, self.beginnings = table.unknown_score, table.beginnings()
+        self.astray = {word for word, ids in dictionary.items() if not self._comes_back(word, ids)}
+
+    def _comes_back(self, word: str, ids: bytes) -> bool:
+        return b"".join([self.table.output[i] for i in np.frombuffer(ids, np.int32)]) == word.replace(SPACE, " ").encode()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(best_path(word, self.table, self.unknown, self.beginnings), np.int32).tobytes()
+        if not self._comes_back(word, ids):
+            self.astray.add(word)
+        if len(self) >= self.most:
+            self.clear()
+            self.update(self.dictionary)
+        if len(word) <= LONGEST_WORD:
+            self[word] = ids
+        return ids
+
+    def text(self, text: str) -> tuple[np.ndarray, bool]:
+        """A text's piece ids, and whether decoding gives it again: all of its words must."""
+        words = segments(text)
+        ids = np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32)
+        return ids, SPACE not in text and (not self.astray or self.astray.isdisjoint(words))
+
+
 # ---- documents
 
 
@@ -186,29 +225,17 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", dictionary_wo
     rows = df.drop(*[c for c in df.columns if c.lower() in added and c != text_col])
     table = piece_table(model_file)
     words = written(frequent_words(df, text_col, dictionary_words), "frequent-words")
-    encoded = written(encode_words(spark, words.repartition("word"), table), "dictionary")
-    dictionary = spark.sparkContext.broadcast({r["word"]: r["ids"] for r in encoded.collect()})
+    encoded = written(encode_words(spark, words.repartition(partitions_for(spark), "word"), table), "dictionary")
+    dictionary = spark.sparkContext.broadcast({r["word"]: np.array(r["ids"], np.int32).tobytes() for r in encoded.toLocalIterator()})
 
     def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known, memory = dictionary.value, {}
-        unknown, longest = table.unknown_score, table.longest
+        codes = WordCodes(dictionary.value, table, MEMORY)
         for texts in batches:
-            out = []
-            for text in texts:
-                ids: list[int] = []
-                for word in segments(text):
-                    found = known.get(word)
-                    if found is None:
-                        found = memory.get(word)
-                        if found is None:
-                            found = best_path(word, table, unknown, longest)
-                            if len(memory) >= MEMORY:
-                                memory.clear()
-                            if len(word) <= LONGEST_WORD:
-                                memory[word] = found
-                    ids += found
-                out.append((ids, len(ids), decode_ids(ids, table) == text))
-            yield pd.DataFrame(out, columns=added)
+            for k in range(0, len(texts), 500):
+                found = [codes.text(text) for text in texts[k : k + 500]]
+                yield pd.DataFrame(
+                    {"piece_ids": [ids for ids, _ in found], "n_pieces": [len(ids) for ids, _ in found], "round_trip": [same for _, same in found]}
+                )
 
     ids_of.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     udf = F.pandas_udf(ids_of, "piece_ids array<int>, n_pieces long, round_trip boolean")

@@ -102,24 +102,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source
 """
 
-OP7 = """
-WITH RECURSIVE sharded AS (
-    SELECT doc_id, text, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS digest FROM documents
-), steps AS (
-    SELECT digest, n, CAST(-1 AS BIGINT) AS shard, CAST(0 AS BIGINT) AS next, ('0x' || substr(digest, 1, 16))::UBIGINT::HUGEINT AS state
-    FROM (SELECT DISTINCT digest FROM sharded), (VALUES (16), (17)) AS sizes(n)
-    UNION ALL
-    SELECT digest, n, next, CAST(floor((next + 1) * (2147483648.0::DOUBLE / ((after // 8589934592) + 1)::DOUBLE)) AS BIGINT), after
-    FROM (SELECT *, (state * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS after FROM steps WHERE next < n)
-), ends AS (
-    SELECT digest, max(shard) FILTER (n = 16) AS shard, max(shard) FILTER (n = 17) AS grown_shard FROM steps GROUP BY digest
-)
-SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, 'key' AS law, CAST(shard AS INTEGER) AS shard,
-       row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(s.digest, 9, 8))::BIGINT % 1024, doc_id) - 1 AS slot,
-       CAST(grown_shard AS INTEGER) AS grown_shard
-FROM sharded s JOIN ends e ON s.digest = e.digest
-"""
-
 ORACLES = {
     "op3_exact_dedup": OP3,
     "op4_warc": OP4,
