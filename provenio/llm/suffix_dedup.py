@@ -83,17 +83,37 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(found[: len(found) - rest], found[rest:]) if rest else found
 
 
-def _runs(data: np.ndarray, starts_ok: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Rolling]:
-    """(first start, number of starts, hash of the gram) of the runs of windows with one least gram, and the hashes."""
+def _runs(data: np.ndarray, starts_ok: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Rolling, np.ndarray, np.ndarray]:
+    """(first start, number of starts, hash of the gram) of the runs of windows with one least gram, the hashes, all grams and the least."""
     rolling = Rolling(data)
-    least = window_minima(rolling.windows(GRAM), length - GRAM + 1)
+    grams = rolling.windows(GRAM)
+    least = window_minima(grams, length - GRAM + 1)
     least = least[: len(starts_ok)]
     edge = np.ones(len(least), bool)
     edge[1:] = (least[1:] != least[:-1]) | (starts_ok[1:] != starts_ok[:-1])
     first = np.flatnonzero(edge)
     count = np.diff(first, append=len(least))
     ok = starts_ok[first]
-    return first[ok], count[ok], mixed(least[first[ok]] ^ np.uint64(length)), rolling
+    return first[ok], count[ok], mixed(least[first[ok]] ^ np.uint64(length)), rolling, grams, least[first[ok]]
+
+
+def _may_hold_gram_twice(grams: np.ndarray, first: np.ndarray, count: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
+    """False for a run that surely has its least gram at one place only: no window of it is there twice then.
+
+    Long runs have it twice; of the others the gram's places are counted by 16 bits of the hash, over the longest
+    stretch that such a run has, so that a few more than those that have it twice are True.
+    """
+    width = length - GRAM + 1
+    reach = 2 * width - 1
+    tags = np.zeros(len(grams) + reach, np.uint16)
+    tags[: len(grams)] = grams.astype(np.uint16)
+    windows = np.lib.stride_tricks.sliding_window_view(tags, reach)
+    own = least.astype(np.uint16)[:, None]
+    found = count > width
+    for k in range(0, len(first), 1 << 14):
+        hits = np.flatnonzero(windows[first[k : k + (1 << 14)]] == own[k : k + (1 << 14)]) // reach
+        found[k : k + (1 << 14)] |= np.bincount(hits, minlength=min(1 << 14, len(first) - k)) > 1
+    return found
 
 
 def _pieces(batch: pd.DataFrame, length: int) -> Iterator[tuple[int, int, bytes]]:
@@ -117,10 +137,10 @@ def _blocks(batches: Iterator[pd.DataFrame], length: int) -> Iterator[list[tuple
         yield held
 
 
-def _packed(bucket: int, docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, grams: np.ndarray | None = None, body: bytes | None = None) -> dict:
+def _packed(bucket: int, docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, grams: np.ndarray | None = None, twice: np.ndarray | None = None, body: bytes | None = None) -> dict:
     order = lambda x, kind: np.ascontiguousarray(x, kind).tobytes()
     row = {"bucket": bucket, "docs": order(docs, np.int64), "starts": order(starts, np.int64), "counts": order(counts, np.int32)}
-    return row | {"grams": None if grams is None else order(grams, np.uint64), "body": body}
+    return row | {"grams": None if grams is None else order(grams, np.uint64), "twice": None if twice is None else order(twice, bool), "body": body}
 
 
 def deal_runs(block: list[tuple[int, int, bytes]], length: int, buckets: int, turn: int, turns: int) -> list[dict]:
@@ -137,12 +157,13 @@ def deal_runs(block: list[tuple[int, int, bytes]], length: int, buckets: int, tu
     ok = np.ones(len(data) - length + 1, bool)
     for stop in base[1:-1]:
         ok[stop - length + 1 : stop] = False
-    first, count, named, rolling = _runs(data, ok, length)
+    first, count, named, rolling, grams, least = _runs(data, ok, length)
     bucket = (named % np.uint64(buckets)).astype(np.int64)
     mine = bucket % turns == turn
     first, count, bucket, named = first[mine], count[mine], bucket[mine], named[mine]
     if not len(first):
         return []
+    twice = _may_hold_gram_twice(grams, first, count, least[mine], length)
     of = np.searchsorted(base, first, side="right") - 1
     docs = np.array([x[0] for x in block], np.int64)[of]
     starts = first - base[of] + np.array([x[1] for x in block], np.int64)[of]
@@ -168,7 +189,7 @@ def deal_runs(block: list[tuple[int, int, bytes]], length: int, buckets: int, tu
     for a, b in zip(cuts, np.append(cuts[1:], len(left))):
         part = left[a:b]
         body = b"".join([whole[f : f + c + length - 1] for f, c in zip(first[part].tolist(), count[part].tolist())])
-        rows.append(_packed(int(bucket[part[0]]), docs[part], starts[part], count[part], named[part], body))
+        rows.append(_packed(int(bucket[part[0]]), docs[part], starts[part], count[part], named[part], twice[part], body))
     return rows
 
 
@@ -261,10 +282,11 @@ def _sort_ties(at: np.ndarray, edge: np.ndarray, ranks: np.ndarray) -> np.ndarra
         edge[open_] |= (np.diff(side, prepend=2) != 0)
 
 
-def repeats_in_bucket(docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, grams: np.ndarray, bodies: list[bytes], length: int):
+def repeats_in_bucket(docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, grams: np.ndarray, twice: np.ndarray, bodies: list[bytes], length: int):
     """(docs, starts, counts) of the runs of starts, among those given, whose window also starts earlier.
 
-    Equal windows have one gram, so runs whose gram no other run has are left out. The suffixes of the rest are
+    Equal windows have one gram, so runs whose gram no other run has, and which surely hold it once themselves (twice:
+    False), are left out. The suffixes of the rest are
     sorted by their first PERIOD bytes, and ties by the ranks of a difference cover's sample (Burkhardt and
     Karkkainen, 2003): memory is a few numbers a suffix, however long the ties are. Neighbours are then compared over
     `length` bytes, and the earliest of each class of equals is the one that stays.
@@ -273,7 +295,7 @@ def repeats_in_bucket(docs: np.ndarray, starts: np.ndarray, counts: np.ndarray,
     lengths = counts + length - 1
     offsets = np.cumsum(lengths) - lengths
     _, which, often = np.unique(grams, return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(often[which] > 1)
+    shared = np.flatnonzero((often[which] > 1) | twice)
     if not len(shared):
         return none
     # the runs side by side, in the order of their places: a smaller index is an earlier place
@@ -306,7 +328,7 @@ def repeats_in_bucket(docs: np.ndarray, starts: np.ndarray, counts: np.ndarray,
     return docs[of], starts[of] + flagged[head] - base[of], np.diff(head, append=len(flagged))
 
 
-RUNS = "bucket long, docs binary, starts binary, counts binary, grams binary, body binary"
+RUNS = "bucket long, docs binary, starts binary, counts binary, grams binary, twice binary, body binary"
 FOUND = "docs binary, starts binary, counts binary"
 
 
@@ -332,7 +354,8 @@ def repeated_starts(df: DataFrame, length: int, buckets: int, turns: int) -> Dat
             counts = counts.astype(np.int64)
             if group["bucket"].iloc[0] >= 0:
                 grams = np.concatenate([np.frombuffer(x, np.uint64) for x in group["grams"]])
-                docs, starts, counts = repeats_in_bucket(docs, starts, counts, grams, list(group["body"]), length)
+                twice = np.concatenate([np.frombuffer(x, bool) for x in group["twice"]])
+                docs, starts, counts = repeats_in_bucket(docs, starts, counts, grams, twice, list(group["body"]), length)
             row = _packed(0, docs, starts, counts)
             return pd.DataFrame([{k: row[k] for k in ("docs", "starts", "counts")}] if len(docs) else [], columns=["docs", "starts", "counts"])
 

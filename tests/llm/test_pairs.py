@@ -116,6 +116,20 @@ def test_suffix_dedup(spark):
     assert suffix_dedup(df.limit(0)).count() == 0
 
 
+def test_a_lone_run_that_repeats_within_itself(spark):
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("ghijklmnop") for _ in range(n))
+    far = noise(150)
+    rows = [(1, noise(150) + "ab " * 100 + noise(150)), (2, "cd" * 90), (3, "cd" * 90), (4, noise(40) + "Der, " * 30), (5, far + noise(40) + far), (6, noise(120) + "e" * 101 + noise(9))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for part in ([1], [2, 3], [1, 2, 3, 4, 5, 6]):
+        some = [r for r in rows if r[0] in part]
+        wanted = brute_suffixes(some, 100)
+        assert all(wanted[i][1] for i in part)
+        found = suffix_dedup(df.filter(F.col("doc_id").isin(part)).coalesce(1)).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == wanted
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(5)
     words = {"en": ["the", "thing", "wish", "and"], "fr": ["eau", "été", "que", "où"]}
