@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -45,6 +46,11 @@ class PieceTable:
     def unknown_score(self) -> float:
         return min(score for _, score in self.pieces.values()) - UNKNOWN_PENALTY
 
+    @property
+    def by_merging(self) -> bool:
+        """Whether the scores are merge ranks (0, -1, -2 and so on), not log probabilities."""
+        return all(score <= 0 and score == int(score) for _, score in self.pieces.values())
+
 
 def piece_table(model_file: str) -> PieceTable:
     import sentencepiece
@@ -122,11 +128,43 @@ def best_paths(edges: DataFrame) -> DataFrame:
     return grouped.select("word", F.expr(fold).alias("ids"))
 
 
-def encode_words(spark: SparkSession, words: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, ids) of distinct, non-empty words."""
+def merged_paths(edges: DataFrame) -> DataFrame:
+    """(word, ids): the path that merging leaves, from single characters on.
+
+    Of the edges that span two neighbours the one of the best score, the leftmost of equals, makes them one, until
+    there is none. The fold carries for every position where the symbol that starts there stops, 0 once it is merged
+    away.
+    """
+    grouped = edges.groupBy("word").agg(F.collect_list(F.struct("stop", "start", "score", "ids")).alias("edges"))
+    fold = """aggregate(
+        sequence(1, char_length(word)),
+        sequence(1, char_length(word)),
+        (ends, step) -> get(transform(
+            array(array_max(transform(
+                filter(edges, e -> e.stop > e.start + 1 and get(ends, e.start) > 0 and get(ends, get(ends, e.start)) = e.stop),
+                e -> named_struct('score', e.score, 'left', -e.start, 'stop', e.stop, 'middle', get(ends, e.start))))),
+            best -> if(best is null, ends, transform(ends, (stop, at) ->
+                case when at = -best.left then best.stop when at = best.middle then 0 else stop end))), 0),
+        ends -> flatten(transform(
+            filter(sequence(0, char_length(word) - 1), at -> get(ends, at) > 0),
+            at -> get(filter(edges, e -> e.start = at and e.stop = get(ends, at)), 0).ids)))"""
+    return grouped.select("word", F.expr(fold).alias("ids"))
+
+
+def _edges_of(spark: SparkSession, words: DataFrame, table: PieceTable) -> DataFrame:
     rows = [(piece, i, score) for piece, (i, score) in table.pieces.items()]
     pieces = spark.createDataFrame(rows, "piece string, id int, score double")
-    return best_paths(lattice_edges(words, pieces, table))
+    return lattice_edges(words, pieces, table)
+
+
+def merge_words(spark: SparkSession, words: DataFrame, table: PieceTable) -> DataFrame:
+    """(word, ids) of distinct, non-empty words, by merging."""
+    return merged_paths(_edges_of(spark, words, table))
+
+
+def encode_words(spark: SparkSession, words: DataFrame, table: PieceTable) -> DataFrame:
+    """(word, ids) of distinct, non-empty words, by the greatest total score."""
+    return best_paths(_edges_of(spark, words, table))
 
 
 def best_path(word: str, table: PieceTable, unknown: float, beginnings: frozenset[str]) -> list[int]:
@@ -153,26 +191,60 @@ def best_path(word: str, table: PieceTable, unknown: float, beginnings: frozense
     return [i for part in reversed(parts) for i in part]
 
 
+def merged_path(word: str, pieces: dict[str, tuple[int, float]], byte_ids: list[int]) -> list[int]:
+    """The path that merging leaves for one word: the rule of merged_paths, with a heap and a linked list."""
+    size = len(word)
+    end, before = list(range(1, size + 1)), list(range(-1, size - 1))
+    heap = []
+    for i in range(size - 1):
+        found = pieces.get(word[i : i + 2])
+        if found is not None:
+            heap.append((-found[1], i, i + 1, i + 2))
+    heapq.heapify(heap)
+    while heap:
+        _, left, middle, stop = heapq.heappop(heap)
+        if end[left] != middle or end[middle] != stop:
+            continue
+        end[left], end[middle] = stop, 0
+        if stop < size:
+            before[stop] = left
+            found = pieces.get(word[left : end[stop]])
+            if found is not None:
+                heapq.heappush(heap, (-found[1], left, stop, end[stop]))
+        if left > 0:
+            found = pieces.get(word[before[left] : stop])
+            if found is not None:
+                heapq.heappush(heap, (-found[1], before[left], left, stop))
+    ids, at = [], 0
+    while at < size:
+        part = word[at : end[at]]
+        found = pieces.get(part)
+        if found is not None:
+            ids.append(found[0])
+        else:
+            ids += [byte_ids[b] for b in part.encode()]
+        at = end[at]
+    return ids
+
+
 class WordCodes(dict):
     """word -> its piece ids, packed as 32-bit numbers; words outside the dictionary are encoded when first met.
 
-    At most `room` such words are kept besides the dictionary, then they go. astray: words that decoding does not
-    give back.
+    At most `room` such words are kept besides the dictionary, then they go.
     """
 
     def __init__(self, dictionary: dict[str, bytes], table: PieceTable, room: int):
         super().__init__(dictionary)
         self.dictionary, self.table, self.most = dictionary, table, len(dictionary) + room
-        self.unknown, self.beginnings = table.unknown_score, table.beginnings()
-        self.astray = {word for word, ids in dictionary.items() if not self._comes_back(word, ids)}
-
-    def _comes_back(self, word: str, ids: bytes) -> bool:
-        return b"".join([self.table.output[i] for i in np.frombuffer(ids, np.int32)]) == word.replace(SPACE, " ").encode()
+        self.by_merging = table.by_merging
+        self.unknown, self.beginnings = table.unknown_score, frozenset() if self.by_merging else table.beginnings()
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(best_path(word, self.table, self.unknown, self.beginnings), np.int32).tobytes()
-        if not self._comes_back(word, ids):
-            self.astray.add(word)
+        if self.by_merging:
+            path = merged_path(word, self.table.pieces, self.table.byte_ids)
+        else:
+            path = best_path(word, self.table, self.unknown, self.beginnings)
+        ids = np.array(path, np.int32).tobytes()
         if len(self) >= self.most:
             self.clear()
             self.update(self.dictionary)
@@ -181,10 +253,9 @@ class WordCodes(dict):
         return ids
 
     def text(self, text: str) -> tuple[np.ndarray, bool]:
-        """A text's piece ids, and whether decoding gives it again: all of its words must."""
-        words = segments(text)
-        ids = np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32)
-        return ids, SPACE not in text and (not self.astray or self.astray.isdisjoint(words))
+        """A text's piece ids, and whether decoding them gives it again."""
+        ids = np.frombuffer(b"".join(map(self.__getitem__, segments(text))), np.int32)
+        return ids, decode_ids(ids.tolist(), self.table) == text
 
 
 # ---- documents
@@ -210,8 +281,9 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", dictionary_wo
     """df with piece_ids (array of int), n_pieces and round_trip added.
 
     White space is kept, spaces become the space mark and one is put before the text, as the model's normaliser
-    does; each word takes its path of greatest total piece score, and a character without a piece falls back to
-    its bytes. round_trip: decoding gives the text again (not if it holds the space mark itself).
+    does. Where the model's scores are merge ranks, each word is merged by them, which gives the library's ids;
+    otherwise it takes its path of greatest total piece score. A character without a piece falls back to its bytes.
+    round_trip: decoding the ids gives the text again (not if it holds the space mark itself).
 
     The most frequent words, at most dictionary_words, are encoded once by the relational lattice and broadcast
     (their number is the bound: some 60 bytes each). A word outside is encoded in its task by the same rules, so
@@ -225,7 +297,7 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", dictionary_wo
     rows = df.drop(*[c for c in df.columns if c.lower() in added and c != text_col])
     table = piece_table(model_file)
     words = written(frequent_words(df, text_col, dictionary_words), "frequent-words")
-    encoded = written(encode_words(spark, words.repartition(partitions_for(spark), "word"), table), "dictionary")
+    encoded = written((merge_words if table.by_merging else encode_words)(spark, words.repartition(partitions_for(spark), "word"), table), "dictionary")
     dictionary = spark.sparkContext.broadcast({r["word"]: np.array(r["ids"], np.int32).tobytes() for r in encoded.toLocalIterator()})
 
     def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -244,7 +316,7 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", dictionary_wo
 
 def decode_ids(ids: list[int], table: PieceTable) -> str:
     """The text of piece ids: their bytes in order, less the space that encoding puts first."""
-    data = b"".join([table.output[i] for i in ids])
+    data = b"".join(map(table.output.__getitem__, ids))
     return data.decode("utf-8", "replace")[1:] if data[:1] == b" " else data.decode("utf-8", "replace")
 
 

@@ -11,7 +11,7 @@ from provenio.llm import archives
 from provenio.llm.bpe_counts import text_counter, token_counts
 from provenio.llm.common import scratch_path
 from provenio.llm.language_id import UNDETERMINED, detect_language, train
-from provenio.llm.piece_lattice import best_path, decode, encode, encode_words, piece_table
+from provenio.llm.piece_lattice import best_path, decode, encode, encode_words, merge_words, merged_path, piece_table
 from provenio.llm.registry import tokenizer_path
 
 MODEL = tokenizer_path("piece_bpe_32k.model")
@@ -79,6 +79,25 @@ def test_encoding_and_decoding(spark):
     assert decode(encoded.limit(1).withColumn("piece_ids", F.lit(None).cast("array<int>")), MODEL).first().text is None
 
 
+def test_ids_are_the_librarys(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    prose = ["The quick brown foxes were rewriting unbelievable things, internationally. Überraschung!\n" * 2, "aaaaaaaaa ingthe theing"]
+    rows = [*ODD, *[(100 + k, t) for k, t in enumerate([*mixed_texts(200, 8), *prose])]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for words in (2, 10_000):
+        for r in encode(df, MODEL, dictionary_words=words).collect():
+            assert r.piece_ids == library.encode(r.text or ""), repr((r.text or "")[:50])
+
+
+def test_merging_is_one_rule(spark):
+    table = piece_table(MODEL)
+    words = sorted({t[:20] for t in mixed_texts(300, 9) if t} | {"▁internationally", "▁unbelievable", "a" * 48})
+    found = {r.word: r.ids for r in merge_words(spark, spark.createDataFrame([(w,) for w in words], "word string"), table).collect()}
+    assert found == {word: merged_path(word, table.pieces, table.byte_ids) for word in words}
+
+
 PAGES = [
     (1, "http://a b/", "x"), (2, None, "x"), (3, "u", ""), (4, "u", None), (5, "v", "WARC/1.1\r\n\r\n\r\nhé"), (6, "v", "HTTP/1.1 200\r\n\r\nq"),
     (6, "v", "HTTP/1.1 200\r\n\r\nq"), (None, "w", "x"), (0, "z", "y" * 100_000), (8, "filedesc-like", "\n\n1 0 x\n"), (9, "v", "\r\n"),
