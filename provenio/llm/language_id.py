@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -15,6 +16,8 @@ from provenio.llm.common import text_or_empty
 UNDETERMINED = "und"
 #: Bytes that the network reads from a zero state; texts are read as so many such stretches as they need.
 STRETCH = 128
+#: Bytes of a training piece that the fit reads.
+PIECE_BYTES = 48
 #: Stretches that are read side by side.
 SIDE_BY_SIDE = 2048
 
@@ -155,7 +158,7 @@ def train(
     width: int = 12,
     steps: int = 200,
     batch: int = 192,
-    length: int = 48,
+    length: int = PIECE_BYTES,
     rate: float = 0.02,
     seed: int = 11,
 ) -> ByteNetwork:
@@ -213,19 +216,21 @@ def held_out(id_col: str):
 def training_samples(
     df: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int, per_doc: int, length: int
 ) -> list[tuple[bytes, str]]:
-    """At most max_docs * per_doc pieces of `length` characters with their labels, from documents not held out.
+    """At most max_docs * per_doc pieces with their labels, from documents not held out.
 
-    The documents are those with the smallest hash of the id, a fixed number whatever the corpus; a threshold on
-    the hash, eight times as wide as needed, spares each task from sending as many. The pieces start at places
-    drawn by hash. Only the pieces come to the driver.
+    A piece is the first PIECE_BYTES bytes of a stretch of `length` characters, which the stretch's place leaves room
+    for. The documents are those with the smallest hash of the id among the labelled ones with a letter that are not
+    held out, a fixed number whatever the corpus; a threshold on the hash, eight times as wide as those, counted
+    first, need, spares each task from sending as many. The stretches start at places drawn by hash. Only the pieces
+    come to the driver.
     """
-    share = int(min(1.0, 8 * max_docs / max(df.count(), 1)) * (1 << 20))
+    fit = df.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
+    share = math.ceil(min(1.0, 8 * max_docs / max(fit.count(), 1)) * (1 << 20))
     place = lambda k: F.pmod(
         F.xxhash64(F.col("_id"), k), F.greatest(F.char_length("_text") - length + 1, F.lit(1)).cast("long")
     ).cast("int")
     rows = (
-        df.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
-        .select(
+        fit.select(
             F.col(id_col).alias("_id"),
             F.col(lang_col).alias("_lang"),
             F.col(text_col).alias("_text"),
@@ -241,7 +246,7 @@ def training_samples(
         .limit(max_docs)
         .collect()
     )
-    return [(piece.encode(), row["_lang"]) for row in rows for piece in dict.fromkeys(row["_pieces"]) if piece.strip()]
+    return [(piece.encode()[:PIECE_BYTES], row["_lang"]) for row in rows for piece in dict.fromkeys(row["_pieces"]) if piece.strip()]
 
 
 def detect_language(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from provenio.llm import archives
 from provenio.llm.bpe_counts import text_counter, token_counts
 from provenio.llm.common import scratch_path
-from provenio.llm.language_id import UNDETERMINED, detect_language, train
+from provenio.llm.language_id import UNDETERMINED, detect_language, held_out, train, training_samples
 from provenio.llm.piece_lattice import best_path, decode, encode, encode_words, merge_words, merged_path, piece_table
 from provenio.llm.registry import tokenizer_path
 
@@ -158,6 +158,19 @@ def test_language_id(spark):
     assert [r.lang_pred for r in blank] == [UNDETERMINED]
 
 
+def test_few_labels_in_a_large_table_are_all_used(spark):
+    df = spark.range(20_000).select(
+        F.col("id").alias("doc_id"),
+        F.concat(F.lit("é"), F.repeat(F.lit("öä "), 30), F.col("id").cast("string")).alias("text"),
+        F.when(F.col("id") % 400 == 0, "x").alias("lang"),
+    )
+    eligible = df.filter(~held_out("doc_id") & F.col("lang").isNotNull()).count()
+    assert 20 < eligible < 50
+    found = training_samples(df, "doc_id", "text", "lang", 20, 1, 64)
+    assert len(found) == 20 and all(len(piece) == 48 for piece, _ in found)
+    assert len(training_samples(df, "doc_id", "text", "lang", 100, 1, 64)) == eligible
+
+
 def test_gradients_are_those_of_the_loss():
     import numpy as np
 
