@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provenio.functions.semver import semver_or_text_key
 from provenio.functions.text import json_cell, markdown_cell
+from provenio.sources.scratch import written
 
 # The columns a report may be grouped by, by the option's name, and those of the Markdown table.
 GROUPS = {"msrv": "msrv_effective", "os": "os_observed_targets_json", "stale": "stale"}
@@ -32,9 +33,21 @@ def sort_keys(order: str, repository: str = "github_full_name", committed: str =
 
 
 def ranked(df: DataFrame, keys: list[Column], group: Column | None = None) -> DataFrame:
-    """df with group and position: each group in order."""
+    """df with group and position: each group in order.
+
+    No task sorts a whole group: rows are written in ranges of (group, keys), and the counts of each group's ranges
+    give the positions at which they start.
+    """
     labelled = df.withColumn("group", group if group is not None else F.lit(""))
-    return labelled.withColumn("position", F.row_number().over(Window.partitionBy("group").orderBy(*keys)))
+    dealt = written(labelled.repartitionByRange("group", *keys).withColumn("_range", F.spark_partition_id()), "report-ranges")
+    counted = dealt.groupBy("group", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select(
+        F.col("group").alias("_group"), F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
+    )
+    placed = dealt.withColumn("_within", F.row_number().over(Window.partitionBy("group", "_range").orderBy(*keys)))
+    joined = placed.join(F.broadcast(starts), F.col("group").eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_of")))
+    return joined.select(*labelled.columns, (F.col("_start") + F.col("_within")).cast("int").alias("position"))
 
 
 def json_lines(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from provenio.operators import joins
 from provenio.operators.graph import lock_relations
 from provenio.operators.manifests import analyze_manifests, effective_msrv
-from provenio.plans import scan
+from provenio.plans import report, scan
 from provenio.plans.options import ScanOptions, bounded_int, exit_code
 from provenio.sources import index, sinks
 from provenio.sources.documents import parse_lock, parse_manifest
@@ -134,3 +134,21 @@ def test_files_are_replaced_whole(spark, tmp_path):
 def iter_and_fail():
     yield "part"
     raise RuntimeError("stop")
+
+
+def test_report_positions_without_one_task(spark):
+    rows = [(f"o/r{k}", f"2024-01-{k % 28 + 1:02d}" if k % 9 else None, None if k % 5 == 0 else str(k % 2)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "github_full_name string, head_committed_at string, stale string").repartition(4)
+    last = lambda r: tuple(-ord(c) for c in r[1] or "")
+    in_order = lambda some: sorted(some, key=lambda r: (r[1] is None, last(r), r[0]))
+    for group in (None, F.col("stale")):
+        found = report.ranked(df, report.sort_keys("last-commit-desc"), group).collect()
+        assert len(found) == len(rows)
+        for label in {r.group for r in found}:
+            mine = sorted([r for r in found if r.group == label], key=lambda r: r.position)
+            assert [r.position for r in mine] == list(range(1, len(mine) + 1))
+            wanted = in_order([r for r in rows if group is None or r[2] == label])
+            assert [r.github_full_name for r in mine] == [r[0] for r in wanted]
+    plan = report.ranked(df, report.sort_keys("last-commit-desc"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_range" in plan, "rows are sorted in ranges, not as one group"
+    assert report.ranked(df.limit(0), report.sort_keys("last-commit-desc")).count() == 0
