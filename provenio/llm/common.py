@@ -22,10 +22,13 @@ SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session names none (a local test), a temporary folder is made and set.
+    Where the session names none, a temporary folder is made and set if the master is local; on a cluster that
+    would be another folder on each machine, and is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="provenio-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -55,7 +58,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back.
 
     The copy outlives lost executors; its shuffle files go as soon as it is written. Python stages on the way get
-    small Arrow batches.
+    small Arrow batches. What is not read any more can be given to discard().
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
@@ -64,6 +67,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that written() gave, once nothing that is still to be computed reads them."""
+    for table in tables:
+        if table is None:
+            continue
+        spark = table.sparkSession
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            shared = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+            if path.toUri().getPath().startswith(shared.toUri().getPath() + "/"):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenio.llm.common import written
+from provenio.llm.common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     now = written(edges.select("a", "b").filter("a <> b").distinct(), "stars")
     state = None
     for _ in range(rounds):
-        now = written(_small_star(_large_star(now)), "stars")
+        before, now = now, written(_small_star(_large_star(now)), "stars")
+        discard(before)
         row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(row) == state:
             break

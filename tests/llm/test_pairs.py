@@ -78,6 +78,33 @@ def test_groups_are_those_of_all_pairs(spark):
     assert similarity_groups(df.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    rng = random.Random(8)
+    words = lambda n: [f"v{rng.randint(0, 10**6)}" for _ in range(n)]
+    s, base, other = words(40), words(60), words(30)
+    near = base[:30] + ["new"] + base[31:]
+    rows = [(1, s), (9, s), (9, s), (9, base), (12, near), (20, other), (None, s), (30, words(25)), (30, words(25))]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(3)
+    found = similarity_groups(df).collect()
+    wanted = {1: 1, 9: 1, 12: 1, 20: 20, None: None, 30: 30}
+    assert sorted(map(str, found)) == sorted(f"Row(doc_id={i}, n_shingles={len(feature_set(' '.join(t), 4))}, component_id={wanted[i]})" for i, t in rows)
+    kept = sorted(str(r.doc_id) for r in one_of_each_group(df).collect())
+    assert kept == ["1", "20", "30", "30", "None"]
+
+
+def test_crowded_signatures_are_paired_in_blocks(spark, monkeypatch):
+    from provenio.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK_NODES", 4)
+    # chains of documents in which each links with the next ones only, around one body that all share
+    body = [f"b{k}" for k in range(70)]
+    rows = [(k, " ".join(body + [f"t{g}_{k // 2 + d}" for d in range(9 + g)])) for g in range(3) for k in range(g * 40, g * 40 + 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for percent in (80, 92):
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in similarity_groups(df, percent=percent).collect()}
+        assert found == brute_groups(rows, 4, percent)
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(200, 201), (201, 200)]
     random.Random(1).shuffle(edges)
