@@ -23,7 +23,7 @@ PRINT_BITS = 2048
 #: Narrow tables are broadcast up to so many rows (8 to 16 bytes each), which are counted first.
 MAX_BROADCAST = 1_000_000
 #: Features that a task gathers before it sends them, and that meet in one bucket on average.
-CHUNK_FEATURES, BUCKET_FEATURES = 2_000_000, 4_000_000
+CHUNK_FEATURES, BUCKET_FEATURES = 1_000_000, 2_000_000
 CHUNK_DOCUMENTS = 60_000
 #: Bits of a feature beyond those that number all features: one in 2 ** SPARE_BITS seems shared and is not.
 SPARE_BITS = 7
@@ -339,19 +339,15 @@ def paired_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataF
     """Pairs (a, b) of nodes of two components that share a signature and that support and prints leave a chance.
 
     members: (sig, node, component, held, n). A signature's nodes are cut into blocks of some BLOCK_NODES, and two
-    blocks at a time are joined, so that no task has a whole crowded signature. A pair is made under the least of
-    the signatures that it shares, and so once.
+    blocks at a time are joined, so that no task has a whole crowded signature.
     """
     crowd = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).cast("int").alias("blocks"))
-    own = members.groupBy("node").agg(F.collect_set("sig").alias("sigs")).join(sets.select("node", "bits"), "node")
-    dealt = members.join(crowd, "sig").join(own, "node")
+    dealt = members.join(crowd, "sig").join(sets.select("node", "bits"), "node")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
     def side(name: str, others, one: str, two: str) -> DataFrame:
-        columns = [F.col(c).alias(f"{c}_{name}") for c in ("node", "component", "held", "n", "sigs", "bits")]
-        return dealt.select(F.col("sig").alias(f"sig_{name}"), "block", F.explode(others).alias("other"), *columns).select(
-            f"sig_{name}", F.col(one).alias(f"one_{name}"), F.col(two).alias(f"two_{name}"), *[f"{c}_{name}" for c in ("node", "component", "held", "n", "sigs", "bits")]
-        )
+        spread = dealt.withColumn("other", F.explode(others)).withColumn("one", F.col(one)).withColumn("two", F.col(two))
+        return spread.select(*[F.col(c).alias(f"{c}_{name}") for c in ("sig", "one", "two", "node", "component", "held", "n", "bits")])
 
     left = side("a", F.sequence("block", F.col("blocks") - 1), "block", "other")
     right = side("b", F.sequence(F.lit(0), "block"), "other", "block")
@@ -359,8 +355,7 @@ def paired_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataF
         f"""sig_a = sig_b and one_a = one_b and two_a = two_b
         and (component_a < component_b or (one_a < two_a and component_a > component_b))
         and 100 * least(held_a, held_b) >= {percent} * (n_a + n_b - least(held_a, held_b))
-        and {_bits_allow(percent)}
-        and sig_a = array_min(array_intersect(sigs_a, sigs_b))"""
+        and {_bits_allow(percent)}"""
     )
     return left.join(right, on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
@@ -408,12 +403,12 @@ def similarity_groups(
         joined = of_row.join(repeated, "id", "left_semi").filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b")).distinct()
     sets = written(sets, "node-sets")
     exploded = sets.select(F.explode("sigs").alias("sig"), "node")
-    shared = written(
-        exploded.groupBy("sig")
-        .agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n"))
-        .filter("a <> b"),
-        "shared-signatures",
-    )
+    # signatures of the very same nodes say the same: one of them is enough
+    met = exploded.groupBy("sig").agg(
+        F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n"),
+        *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)],
+    )
+    shared = written(met.filter("a <> b").groupBy("a", "b", "n", "x1", "x2").agg(F.min("sig").alias("sig")), "shared-signatures")
     crowded = shared.filter("n > 2").select("sig", F.col("a").alias("leader"))
     crowded = F.broadcast(crowded) if _small_enough(crowded) else crowded
     listed = written(exploded.join(crowded, "sig"), "crowded-signatures")
