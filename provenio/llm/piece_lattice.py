@@ -5,26 +5,31 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenio.llm.common import partitions_for, text_or_empty, written
+from provenio.llm.common import free_name, partitions_for, text_or_empty, written
 
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+LETTER = re.compile(r"[^\W\d_]")
 #: A character that no piece covers costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Words of the dictionary that the lattice encodes once, for all tasks; the rest are encoded where they stand.
 DICTIONARY_WORDS = 150_000
 LONGEST_WORD = 48
 #: Words that a Python worker remembers besides; then it starts over.
-MEMORY = 200_000
+MEMORY = 300_000
+#: Distinct words that a task counts before it sends what it has.
+COUNTED = 400_000
 
 
 @dataclass
@@ -42,6 +47,41 @@ class PieceTable:
     def beginnings(self) -> frozenset[str]:
         return frozenset(piece[:k] for piece in self.pieces for k in range(1, len(piece) + 1))
 
+    def word_pattern(self) -> re.Pattern:
+        """What parts a segment into words such that no piece reaches from one into the next.
+
+        A word is a stretch of letters or of other characters, with the space marks before it. Letters that some
+        piece joins with a character of the other kind count as that kind; in the end no piece joins the two.
+        """
+        others: set[str] = set()
+        letter = lambda c: c not in others and LETTER.match(c) is not None
+        while True:
+            joined = {
+                c
+                for piece in self.pieces
+                for a, b in zip(piece.lstrip(SPACE), piece.lstrip(SPACE)[1:])
+                if letter(a) != letter(b)
+                for c in (a, b)
+                if letter(c)
+            }
+            if not joined:
+                break
+            others |= joined
+        also = re.escape("".join(sorted(others)))
+        return re.compile(rf"{SPACE}*[^\W\d_{also}]+|{SPACE}*(?:[^\w{SPACE}]|[\d_{also}])+|{SPACE}+")
+
+    @property
+    def splits(self) -> bool:
+        """Whether no piece goes on into the next space, so that texts are encoded space by space."""
+        return not any(SPACE in piece.lstrip(SPACE) for piece in self.pieces)
+
+    def splitter(self) -> Callable[[str], list[str]]:
+        """The words of a text, with the space mark put first; without a place to split, the whole text is one."""
+        if not self.splits:
+            return lambda text: [SPACE + text.replace(" ", SPACE)] if text else []
+        find = self.word_pattern().findall
+        return lambda text: find(SPACE + text.replace(" ", SPACE)) if text else []
+
     @property
     def unknown_score(self) -> float:
         return min(score for _, score in self.pieces.values()) - UNKNOWN_PENALTY
@@ -71,7 +111,7 @@ def piece_table(model_file: str) -> PieceTable:
 
 
 def segments(text: str) -> list[str]:
-    """The words of a text with the spaces before them; no piece reaches over the next word's space."""
+    """The stretches between the spaces of a text, with the spaces before them."""
     return SEGMENT.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
@@ -244,7 +284,7 @@ class WordCodes(dict):
             path = merged_path(word, self.table.pieces, self.table.byte_ids)
         else:
             path = best_path(word, self.table, self.unknown, self.beginnings)
-        ids = np.array(path, np.int32).tobytes()
+        ids = array("i", path).tobytes()
         if len(self) >= self.most:
             self.clear()
             self.update(self.dictionary)
@@ -252,25 +292,59 @@ class WordCodes(dict):
             self[word] = ids
         return ids
 
-    def text(self, text: str) -> tuple[np.ndarray, bool]:
-        """A text's piece ids, and whether decoding them gives it again."""
-        ids = np.frombuffer(b"".join(map(self.__getitem__, segments(text))), np.int32)
-        return ids, decode_ids(ids.tolist(), self.table) == text
+
+class SegmentCodes(dict):
+    """segment -> the packed ids of its words, so that words are parted once for each segment met; of bounded room."""
+
+    def __init__(self, words: WordCodes, room: int):
+        self.of_word, self.room = words.__getitem__, room
+        self.table = words.table
+        self.split = words.table.splits
+        self.parts = words.table.word_pattern().findall
+
+    def __missing__(self, segment: str) -> bytes:
+        found = b"".join(map(self.of_word, self.parts(segment) if self.split else [segment]))
+        if len(self) >= self.room:
+            self.clear()
+        if len(segment) <= LONGEST_WORD:
+            self[segment] = found
+        return found
+
+    def text(self, text: str) -> tuple[bytes, bool]:
+        """A text's packed piece ids, and whether decoding them gives it again."""
+        if not self.split:
+            found = self[SPACE + text.replace(" ", SPACE)] if text else b""
+        else:
+            found = b"".join(map(self.__getitem__, segments(text)))
+        return found, decoded_bytes(array("i", found), self.table) == text.encode()
 
 
 # ---- documents
 
 
-def frequent_words(df: DataFrame, text_col: str, limit: int) -> DataFrame:
-    """(word): the `limit` most frequent words of all texts. Each task counts its own batches first."""
+def frequent_words(df: DataFrame, text_col: str, limit: int, table: PieceTable) -> DataFrame:
+    """(word): the `limit` most frequent words of all texts, of up to LONGEST_WORD characters. Each task counts its
+    own words first, and every word it met is counted."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, met, found = table.word_pattern().findall, Counter(), Counter()
+
+        def counted() -> pd.DataFrame:
+            # the words of a segment are looked for once for each distinct segment
+            for segment, n in met.items():
+                for word in parts(segment) if table.splits else [segment]:
+                    if len(word) <= LONGEST_WORD:
+                        found[word] += n
+            return pd.DataFrame({"word": list(found), "n": list(found.values())}, dtype=object).astype({"n": "int64"})
+
         for batch in batches:
-            found = Counter()
             for text in batch["t"]:
-                found.update(segments(text))
-            kept = [(w, n) for w, n in found.items() if n > 1 and len(w) <= LONGEST_WORD]
-            yield pd.DataFrame(kept, columns=["word", "n"])
+                met.update(segments(text) if table.splits else [SPACE + text.replace(" ", SPACE)] if text else [])
+                if len(met) >= COUNTED:
+                    yield counted()
+                    met.clear()
+                    found.clear()
+        yield counted()
 
     counted = df.select(text_or_empty(text_col).alias("t")).mapInPandas(count, "word string, n long")
     summed = counted.groupBy("word").agg(F.sum("n").alias("n"))
@@ -289,35 +363,44 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", dictionary_wo
     (their number is the bound: some 60 bytes each). A word outside is encoded in its task by the same rules, so
     that no join of all words with all documents is needed, and nothing but the word counts is shuffled.
 
-    Edge cases: no rows give no rows; null and empty texts have no pieces; long words without a space are paths
-    like any other; repeated rows are each encoded; columns of df named like the added ones are replaced.
+    Edge cases: no rows give no rows; null and empty texts have no pieces; texts and words of any length are read
+    whole; repeated rows are each encoded, and equal texts get equal ids; of pieces that tie in score the leftmost
+    merges first; columns of df named like the added ones are replaced, all others are kept.
     """
     spark = df.sparkSession
     added = ["piece_ids", "n_pieces", "round_trip"]
     rows = df.drop(*[c for c in df.columns if c.lower() in added and c != text_col])
     table = piece_table(model_file)
-    words = written(frequent_words(df, text_col, dictionary_words), "frequent-words")
+    words = written(frequent_words(df, text_col, dictionary_words, table), "frequent-words")
     encoded = written((merge_words if table.by_merging else encode_words)(spark, words.repartition(partitions_for(spark), "word"), table), "dictionary")
-    dictionary = spark.sparkContext.broadcast({r["word"]: np.array(r["ids"], np.int32).tobytes() for r in encoded.toLocalIterator()})
+    dictionary = spark.sparkContext.broadcast({r["word"]: array("i", r["ids"]).tobytes() for r in encoded.toLocalIterator()})
 
-    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codes = WordCodes(dictionary.value, table, MEMORY)
-        for texts in batches:
-            for k in range(0, len(texts), 500):
-                found = [codes.text(text) for text in texts[k : k + 500]]
-                yield pd.DataFrame(
-                    {"piece_ids": [ids for ids, _ in found], "n_pieces": [len(ids) for ids, _ in found], "round_trip": [same for _, same in found]}
-                )
-
-    ids_of.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    udf = F.pandas_udf(ids_of, "piece_ids array<int>, n_pieces long, round_trip boolean")
-    return rows.select("*", udf(text_or_empty(text_col)).alias("_encoded")).select(*rows.columns, "_encoded.*")
+    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codes = SegmentCodes(WordCodes(dictionary.value, table, MEMORY), MEMORY)
+        for batch in batches:
+            for k in range(0, len(batch), 500):
+                found = [codes.text(text) for text in batch.slice(k, 500).to_pylist()]
+                stops = np.cumsum([0, *[len(ids) // 4 for ids, _ in found]])
+                values = np.frombuffer(b"".join([ids for ids, _ in found]), np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(values))
+                columns = [lists, pa.array(np.diff(stops)), pa.array([same for _, same in found], pa.bool_())]
+                yield pa.StructArray.from_arrays(columns, names=added)
+
+    ids_of.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    udf = F.arrow_udf(ids_of, "piece_ids array<int>, n_pieces long, round_trip boolean")
+    found = free_name(rows, "_encoded")
+    return rows.select("*", udf(text_or_empty(text_col)).alias(found)).select(*rows.columns, f"{found}.*")
+
+
+def decoded_bytes(ids: array, table: PieceTable) -> bytes:
+    """The bytes of piece ids in order, less the space that encoding puts first."""
+    data = b"".join(map(table.output.__getitem__, ids))
+    return data[1:] if data[:1] == b" " else data
 
 
 def decode_ids(ids: list[int], table: PieceTable) -> str:
-    """The text of piece ids: their bytes in order, less the space that encoding puts first."""
-    data = b"".join(map(table.output.__getitem__, ids))
-    return data.decode("utf-8", "replace")[1:] if data[:1] == b" " else data.decode("utf-8", "replace")
+    """The text of piece ids; bytes that are no UTF-8 are replaced."""
+    return decoded_bytes(ids, table).decode("utf-8", "replace")
 
 
 def decode(df: DataFrame, model_file: str, ids_col: str = "piece_ids", to_col: str = "text") -> DataFrame:

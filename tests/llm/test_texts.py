@@ -91,6 +91,22 @@ def test_ids_are_the_librarys(spark):
             assert r.piece_ids == library.encode(r.text or ""), repr((r.text or "")[:50])
 
 
+def test_words_part_only_where_no_piece_joins():
+    import sentencepiece
+
+    from provenio.llm.piece_lattice import SegmentCodes, WordCodes
+
+    library, table = sentencepiece.SentencePieceProcessor(model_file=MODEL), piece_table(MODEL)
+    rng, pool = random.Random(12), "aeinrtsé日カ²½١9_.,;:()!'\"{}=*-/\r\n\t▁ \u0301\u200d😀ßÇ"
+    assert table.splits and table.word_pattern().findall("▁▁Mr.\nSmith2²") == ["▁▁Mr", ".\n", "Smith", "2²"]
+    codes = SegmentCodes(WordCodes({}, table, 50), 50)
+    for _ in range(3000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 24)))
+        ids, same = codes.text(text)
+        assert memoryview(ids).cast("i").tolist() == library.encode(text), repr(text)
+        assert same == ("▁" not in text)
+
+
 def test_merging_is_one_rule(spark):
     table = piece_table(MODEL)
     words = sorted({t[:20] for t in mixed_texts(300, 9) if t} | {"▁internationally", "▁unbelievable", "a" * 48})
