@@ -9,6 +9,7 @@ from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -70,7 +71,7 @@ class PieceTable:
         also = re.escape("".join(sorted(others)))
         return re.compile(rf"{SPACE}*[^\W\d_{also}]+|{SPACE}*(?:[^\w{SPACE}]|[\d_{also}])+|{SPACE}+")
 
-    @property
+    @cached_property
     def splits(self) -> bool:
         """Whether no piece goes on into the next space, so that texts are encoded space by space."""
         return not any(SPACE in piece.lstrip(SPACE) for piece in self.pieces)
