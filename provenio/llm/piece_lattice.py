@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -14,6 +15,7 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +29,10 @@ UNKNOWN_PENALTY = 10.0
 #: Words of the dictionary that the lattice encodes once, for all tasks; the rest are encoded where they stand.
 DICTIONARY_WORDS = 150_000
 LONGEST_WORD = 48
+#: Up to so many characters a plain list of symbols is merged faster than a heap.
+SHORT_WORD = 40
 #: Words that a Python worker remembers besides; then it starts over.
-MEMORY = 300_000
+MEMORY = 400_000
 #: Distinct words that a task counts before it sends what it has.
 COUNTED = 400_000
 
@@ -41,6 +45,14 @@ class PieceTable:
     byte_ids: list[int]
     output: list[bytes]
 
+    @cached_property
+    def costs(self) -> dict[str, float]:
+        return {piece: -score for piece, (_, score) in self.pieces.items()}
+
+    @cached_property
+    def ids(self) -> dict[str, int]:
+        return {piece: i for piece, (i, _) in self.pieces.items()}
+
     @property
     def longest(self) -> int:
         return max(map(len, self.pieces))
@@ -232,16 +244,44 @@ def best_path(word: str, table: PieceTable, unknown: float, beginnings: frozense
     return [i for part in reversed(parts) for i in part]
 
 
-def merged_path(word: str, pieces: dict[str, tuple[int, float]], byte_ids: list[int]) -> list[int]:
-    """The path that merging leaves for one word: the rule of merged_paths, with a heap and a linked list."""
+def merged_path(word: str, table: PieceTable) -> list[int]:
+    """The path that merging leaves for one word: the rule of merged_paths, on a list of symbols, or for long words
+    with a heap and a linked list."""
+    costs, ids = table.costs.get, table.ids
+    if len(word) > SHORT_WORD:
+        symbols = _merged_long(word, costs)
+    else:
+        symbols = list(word)
+        cost = [costs(word[i : i + 2], math.inf) for i in range(len(word) - 1)]
+        while cost:
+            least = min(cost)
+            if least == math.inf:
+                break
+            at = cost.index(least)
+            symbols[at] = both = symbols[at] + symbols.pop(at + 1)
+            del cost[at]
+            if at < len(cost):
+                cost[at] = costs(both + symbols[at + 1], math.inf)
+            if at:
+                cost[at - 1] = costs(symbols[at - 1] + both, math.inf)
+    try:
+        return [ids[part] for part in symbols]
+    except KeyError:
+        return [i for part in symbols for i in ([ids[part]] if part in ids else [table.byte_ids[b] for b in part.encode()])]
+
+
+def _merged_long(word: str, costs: Callable[[str], float | None]) -> list[str]:
     size = len(word)
     end, before = list(range(1, size + 1)), list(range(-1, size - 1))
     heap = []
+
+    def push(left: int, middle: int, stop: int) -> None:
+        cost = costs(word[left:stop])
+        if cost is not None:
+            heapq.heappush(heap, (cost, left, middle, stop))
+
     for i in range(size - 1):
-        found = pieces.get(word[i : i + 2])
-        if found is not None:
-            heap.append((-found[1], i, i + 1, i + 2))
-    heapq.heapify(heap)
+        push(i, i + 1, i + 2)
     while heap:
         _, left, middle, stop = heapq.heappop(heap)
         if end[left] != middle or end[middle] != stop:
@@ -249,23 +289,10 @@ def merged_path(word: str, pieces: dict[str, tuple[int, float]], byte_ids: list[
         end[left], end[middle] = stop, 0
         if stop < size:
             before[stop] = left
-            found = pieces.get(word[left : end[stop]])
-            if found is not None:
-                heapq.heappush(heap, (-found[1], left, stop, end[stop]))
+            push(left, stop, end[stop])
         if left > 0:
-            found = pieces.get(word[before[left] : stop])
-            if found is not None:
-                heapq.heappush(heap, (-found[1], before[left], left, stop))
-    ids, at = [], 0
-    while at < size:
-        part = word[at : end[at]]
-        found = pieces.get(part)
-        if found is not None:
-            ids.append(found[0])
-        else:
-            ids += [byte_ids[b] for b in part.encode()]
-        at = end[at]
-    return ids
+            push(before[left], left, stop)
+    return [word[at : end[at]] for at in range(size) if end[at]]
 
 
 class WordCodes(dict):
@@ -282,7 +309,7 @@ class WordCodes(dict):
 
     def __missing__(self, word: str) -> bytes:
         if self.by_merging:
-            path = merged_path(word, self.table.pieces, self.table.byte_ids)
+            path = merged_path(word, self.table)
         else:
             path = best_path(word, self.table, self.unknown, self.beginnings)
         ids = array("i", path).tobytes()
@@ -320,34 +347,45 @@ class SegmentCodes(dict):
         return found, decoded_bytes(array("i", found), self.table) == text.encode()
 
 
+#: What a Python worker remembers between tasks: of the latest dictionary alone.
+_remembered: dict[str, SegmentCodes] = {}
+
+
+def _codes(key: str, dictionary: Broadcast, table: PieceTable) -> SegmentCodes:
+    if key not in _remembered:
+        _remembered.clear()
+        _remembered[key] = SegmentCodes(WordCodes(dictionary.value, table, MEMORY), MEMORY)
+    return _remembered[key]
+
+
 # ---- documents
 
 
 def frequent_words(df: DataFrame, text_col: str, limit: int, table: PieceTable) -> DataFrame:
     """(word): the `limit` most frequent words of all texts, of up to LONGEST_WORD characters. Each task counts its
-    own words first, and every word it met is counted."""
+    own words first; words that it meets once, most of all words and the least frequent, are not sent."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, met, found = table.word_pattern().findall, Counter(), Counter()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, met = table.word_pattern().findall, Counter()
 
-        def counted() -> pd.DataFrame:
+        def counted() -> pa.RecordBatch:
             # the words of a segment are looked for once for each distinct segment
+            found: Counter = Counter()
             for segment, n in met.items():
                 for word in parts(segment) if table.splits else [segment]:
-                    if len(word) <= LONGEST_WORD:
-                        found[word] += n
-            return pd.DataFrame({"word": list(found), "n": list(found.values())}, dtype=object).astype({"n": "int64"})
+                    found[word] += n
+            kept = [(word, n) for word, n in found.items() if n > 1 and len(word) <= LONGEST_WORD]
+            met.clear()
+            return pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in kept], pa.string()), "n": pa.array([n for _, n in kept], pa.int64())})
 
         for batch in batches:
-            for text in batch["t"]:
+            for text in batch.column(0).to_pylist():
                 met.update(segments(text) if table.splits else [SPACE + text.replace(" ", SPACE)] if text else [])
-                if len(met) >= COUNTED:
-                    yield counted()
-                    met.clear()
-                    found.clear()
+            if len(met) >= COUNTED:
+                yield counted()
         yield counted()
 
-    counted = df.select(text_or_empty(text_col).alias("t")).mapInPandas(count, "word string, n long")
+    counted = df.select(text_or_empty(text_col).alias("t")).mapInArrow(count, "word string, n long")
     summed = counted.groupBy("word").agg(F.sum("n").alias("n"))
     return summed.orderBy(F.col("n").desc(), "word").limit(limit).select("word")
 
@@ -374,10 +412,11 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", dictionary_wo
     table = piece_table(model_file)
     words = written(frequent_words(df, text_col, dictionary_words, table), "frequent-words")
     encoded = written((merge_words if table.by_merging else encode_words)(spark, words.repartition(partitions_for(spark), "word"), table), "dictionary")
+    key = uuid.uuid4().hex
     dictionary = spark.sparkContext.broadcast({r["word"]: array("i", r["ids"]).tobytes() for r in encoded.toLocalIterator()})
 
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codes = SegmentCodes(WordCodes(dictionary.value, table, MEMORY), MEMORY)
+        codes = _codes(key, dictionary, table)
         for batch in batches:
             for k in range(0, len(batch), 500):
                 found = [codes.text(text) for text in batch.slice(k, 500).to_pylist()]

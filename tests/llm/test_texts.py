@@ -109,9 +109,9 @@ def test_words_part_only_where_no_piece_joins():
 
 def test_merging_is_one_rule(spark):
     table = piece_table(MODEL)
-    words = sorted({t[:20] for t in mixed_texts(300, 9) if t} | {"▁internationally", "▁unbelievable", "a" * 48})
+    words = sorted({t[:20] for t in mixed_texts(300, 9) if t} | {"▁internationally", "▁unbelievable", "a" * 48, "ab" * 30})
     found = {r.word: r.ids for r in merge_words(spark, spark.createDataFrame([(w,) for w in words], "word string"), table).collect()}
-    assert found == {word: merged_path(word, table.pieces, table.byte_ids) for word in words}
+    assert found == {word: merged_path(word, table) for word in words}
 
 
 PAGES = [
