@@ -23,7 +23,7 @@ PRINT_BITS = 2048
 #: Narrow tables are broadcast up to so many rows (8 to 16 bytes each), which are counted first.
 MAX_BROADCAST = 1_000_000
 #: Features that a task gathers before it sends them, and that meet in one bucket on average.
-CHUNK_FEATURES, BUCKET_FEATURES = 1_000_000, 2_000_000
+CHUNK_FEATURES, BUCKET_FEATURES = 500_000, 1_000_000
 CHUNK_DOCUMENTS = 60_000
 #: Bits of a feature beyond those that number all features: one in 2 ** SPARE_BITS seems shared and is not.
 SPARE_BITS = 7

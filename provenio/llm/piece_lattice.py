@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 import math
 import re
-import uuid
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -15,7 +14,6 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +30,7 @@ LONGEST_WORD = 48
 #: Up to so many characters a plain list of symbols is merged faster than a heap.
 SHORT_WORD = 40
 #: Words that a Python worker remembers besides; then it starts over.
-MEMORY = 400_000
+MEMORY = 250_000
 #: Distinct words that a task counts before it sends what it has.
 COUNTED = 400_000
 
@@ -347,17 +345,6 @@ class SegmentCodes(dict):
         return found, decoded_bytes(array("i", found), self.table) == text.encode()
 
 
-#: What a Python worker remembers between tasks: of the latest dictionary alone.
-_remembered: dict[str, SegmentCodes] = {}
-
-
-def _codes(key: str, dictionary: Broadcast, table: PieceTable) -> SegmentCodes:
-    if key not in _remembered:
-        _remembered.clear()
-        _remembered[key] = SegmentCodes(WordCodes(dictionary.value, table, MEMORY), MEMORY)
-    return _remembered[key]
-
-
 # ---- documents
 
 
@@ -412,11 +399,10 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", dictionary_wo
     table = piece_table(model_file)
     words = written(frequent_words(df, text_col, dictionary_words, table), "frequent-words")
     encoded = written((merge_words if table.by_merging else encode_words)(spark, words.repartition(partitions_for(spark), "word"), table), "dictionary")
-    key = uuid.uuid4().hex
     dictionary = spark.sparkContext.broadcast({r["word"]: array("i", r["ids"]).tobytes() for r in encoded.toLocalIterator()})
 
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codes = _codes(key, dictionary, table)
+        codes = SegmentCodes(WordCodes(dictionary.value, table, MEMORY), MEMORY)
         for batch in batches:
             for k in range(0, len(batch), 500):
                 found = [codes.text(text) for text in batch.slice(k, 500).to_pylist()]
