@@ -110,3 +110,11 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = "_" + wanted
     return wanted
+
+
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of df has: helper columns named with it clash with none."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenio.llm.common import text_or_empty
+from provenio.llm.common import free_prefix, text_or_empty
 
 UNDETERMINED = "und"
 #: Bytes that the network reads from a zero state; texts are read as so many such stretches as they need.
@@ -33,9 +33,13 @@ class ByteNetwork:
     heads: list[np.ndarray]
     bias: np.ndarray
 
-    def position_probabilities(self, stretches: np.ndarray) -> np.ndarray:
-        """(labels, length, n): the distribution at every byte of n stretches, given as (length, n) bytes."""
+    def position_probabilities(self, stretches: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        """(labels, length, n): the distribution at every byte of n stretches, given as (length, n) bytes.
+
+        With sizes, a stretch ends after so many bytes: what comes after is padding, and the way back starts before it.
+        """
         length, n = stretches.shape
+        shorter = None if sizes is None or sizes.min(initial=length) >= length else sizes
         logits = np.zeros((length, len(self.labels), n), np.float32)
         for way in (0, 1):
             table, weights, inner, head = self.tables[way], self.recurrent[way], self.inner[way], self.heads[way]
@@ -61,6 +65,8 @@ class ByteNetwork:
                 state -= fresh
                 state *= gates[:hidden]
                 state += fresh
+                if way and shorter is not None:
+                    state *= t < shorter
                 logits[t] += head @ state
         logits += self.bias[None, :, None]
         logits -= logits.max(axis=1, keepdims=True)
@@ -82,7 +88,7 @@ class ByteNetwork:
         sums = np.zeros((len(texts), len(self.labels)))
         for k in range(0, len(owner), SIDE_BY_SIDE):
             block = slice(k, k + SIDE_BY_SIDE)
-            found = self.position_probabilities(np.ascontiguousarray(laid[block].T))
+            found = self.position_probabilities(np.ascontiguousarray(laid[block].T), np.minimum(left[block], STRETCH))
             found *= np.arange(STRETCH)[None, :, None] < left[block][None, None, :]
             for c in range(len(self.labels)):
                 sums[:, c] += np.bincount(owner[block], found[c].sum(axis=0), len(texts))
@@ -264,9 +270,11 @@ def detect_language(
     out; it then reads every byte of every text, and a document's probabilities are the means over its bytes.
     The weights (some 60 kB) travel with the function; texts go through in Arrow batches, with no shuffle.
 
-    Edge cases: a null text and one without a letter are `und` with the score 0, and so are all texts if no
-    labelled row is there to learn from; languages outside the bounded sample are not learned; repeated rows are
-    each judged; columns of df named like the added ones are replaced.
+    Edge cases: no rows give no rows; a null text and one without a letter are `und` with the score 0, and so are all
+    texts if no labelled row is there to learn from; languages outside the bounded sample are not learned; texts of
+    any length are read whole, and equal texts get equal results, so repeated rows are each judged alike; of labels
+    that tie the first by name is predicted; columns of df named like the added ones are replaced, all others are
+    kept whatever their names.
     """
     added = ["held_out", "lang_pred", "score"]
     rows = df.drop(*[c for c in df.columns if c.lower() in added and c not in (id_col, text_col, lang_col)])
@@ -289,11 +297,12 @@ def detect_language(
         pred = F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     else:
         pred = F.pandas_udf(judge, "lang_pred string, score double")(text_or_empty(text_col))
+    own = free_prefix(rows)
     known = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False))
-    judged = rows.select("*", held_out(id_col).alias("held_out"), pred.alias("_judged"), known.alias("_known"))
+    judged = rows.select("*", held_out(id_col).alias("held_out"), pred.alias(f"{own}judged"), known.alias(f"{own}known"))
     return judged.select(
         *rows.columns,
         "held_out",
-        F.when(F.col("_known"), F.col("_judged.lang_pred")).otherwise(UNDETERMINED).alias("lang_pred"),
-        F.when(F.col("_known"), F.col("_judged.score")).otherwise(0.0).alias("score"),
+        F.when(F.col(f"{own}known"), F.col(f"{own}judged.lang_pred")).otherwise(UNDETERMINED).alias("lang_pred"),
+        F.when(F.col(f"{own}known"), F.col(f"{own}judged.score")).otherwise(0.0).alias("score"),
     )

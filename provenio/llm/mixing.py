@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenio.llm.common import free_name, text_or_empty, word_count, written
+from provenio.llm.common import free_prefix, text_or_empty, word_count, written
 
 #: Ties of (source, size) are dealt over so many buckets, so that a group of copies is not one task's work.
 TIE_BUCKETS = 256
@@ -131,17 +131,39 @@ def mix_sources(
     )
 
 
-def mixed_rows(df: DataFrame, id_col: str = "doc_id", max_broadcast: int = 1_000_000, **options) -> DataFrame:
-    """The rows of df that the mix takes, each as often as it is taken; ids must be unique.
+def mixed_rows(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_broadcast: int = 1_000_000, **options
+) -> DataFrame:
+    """The rows of df that the mix takes, each as often as it is taken.
 
     The copies (a narrow row for each document taken) are broadcast while there are at most max_broadcast, which
-    is counted first; beyond that they are sort-merge joined.
+    is counted first; beyond that they are sort-merge joined. Rows that repeat an id are taken each by itself: those of
+    one source and size are numbered, and the n-th gets the n-th of their copies. Other edge cases are those of
+    mix_sources; columns of df are kept whatever their names.
     """
-    copies = free_name(df, "_copies")
-    taken = mix_sources(df, id_col=id_col, **options).filter("copies > 0")
-    taken = written(taken.select(F.col(id_col).alias("_taken_id"), F.col("copies").alias(copies)), "mix-copies")
-    if taken.count() <= max_broadcast:
-        taken = F.broadcast(taken)
-    joined = df.join(taken, F.col(id_col).eqNullSafe(F.col("_taken_id")))
+    own = free_prefix(df)
+    key, copies, nth = f"{own}id", f"{own}copies", f"{own}nth"
+    mixed = mix_sources(df, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    mixed = written(mixed.select(F.col(id_col).alias(key), F.col(source_col).alias(f"{own}src"), F.col("size").alias(f"{own}size"), F.col("copies").alias(copies)), "mix-copies")
+    repeated = written(mixed.groupBy(F.col(key).alias(f"{own}again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated-ids")
+    small = lambda d: F.broadcast(d) if d.count() <= max_broadcast else d
+    if repeated.isEmpty():
+        taken = small(mixed.filter(F.col(copies) > 0).select(key, copies))
+        joined = df.join(taken, F.col(id_col).eqNullSafe(F.col(key)))
+    else:
+        again = small(repeated)
+        one = mixed.join(again, F.col(key).eqNullSafe(F.col(f"{own}again")), "left_anti").filter(F.col(copies) > 0)
+        single = df.join(small(one.select(key, copies)), F.col(id_col).eqNullSafe(F.col(key)))
+        several = df.join(again, F.col(id_col).eqNullSafe(F.col(f"{own}again")), "left_semi")
+        size = word_count(text_or_empty(text_col))
+        order = Window.partitionBy(id_col, source_col, size).orderBy(F.xxhash64(text_or_empty(text_col)))
+        numbered = several.withColumn(nth, F.row_number().over(order)).withColumn(f"{own}words", size)
+        each = Window.partitionBy(key, f"{own}src", f"{own}size").orderBy(F.col(copies).desc())
+        dealt = mixed.join(again, F.col(key).eqNullSafe(F.col(f"{own}again")), "left_semi").withColumn(f"{own}k", F.row_number().over(each)).filter(F.col(copies) > 0)
+        on = (
+            F.col(id_col).eqNullSafe(F.col(key)) & F.col(source_col).eqNullSafe(F.col(f"{own}src"))
+            & (F.col(f"{own}words") == F.col(f"{own}size")) & (F.col(nth) == F.col(f"{own}k"))
+        )
+        joined = single.select(*df.columns, copies).unionByName(numbered.join(dealt, on).select(*df.columns, copies))
     repeats = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))
     return joined.select(*df.columns, repeats.alias(copies)).drop(copies)

@@ -92,7 +92,7 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     noise = mean * (1 - mean) * row["hosts"] / row["docs"]
     between = max(spread - noise, mean * (1 - mean) / 1001, 1e-9)
     strength = max(mean * (1 - mean) / between - 1, 1.0)
-    return max(mean * strength, 0.5), max((1 - mean) * strength, 0.5)
+    return mean * strength, (1 - mean) * strength
 
 
 def host_verdicts(hosts: DataFrame, max_rate: float) -> DataFrame:

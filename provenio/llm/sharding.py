@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenio.llm.common import text_or_empty
+from provenio.llm.common import free_prefix, text_or_empty
 
 # The multiplier of the published 64-bit generator, as its upper and lower 32 bits.
 MULTIPLIER_HIGH = 2862933555777941757 >> 32
@@ -61,30 +61,32 @@ def shard_by_key(
     are counted by (shard, block of the key), running sums over that small table give each block's first slot,
     and only one block's rows are sorted together.
 
-    Edge cases: no rows give no rows; a null text has the size 1 and the CRC 0; null ids are one key; rows that
-    repeat an id share the shard and get different slots; columns of df named like the added ones are replaced.
+    Edge cases: no rows give no rows; a null text has the size 1 and the CRC 0; texts of any length are read whole;
+    null ids are one key; rows that repeat an id share the shard and get different slots, in the order of CRC and
+    size; columns of df named like the added ones are replaced, all others are kept whatever their names.
     """
     added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     rows = df.drop(*[c for c in df.columns if c.lower() in added and c not in (id_col, text_col)])
+    own = free_prefix(rows)
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
     word = lambda first: F.conv(F.substring(digest, first, 8), 16, 10).cast("long")
     keyed = (
-        rows.withColumn("_high", word(1))
-        .withColumn("_low", word(9))
+        rows.withColumn(f"{own}high", word(1))
+        .withColumn(f"{own}low", word(9))
         .withColumn("size", F.octet_length(text_or_empty(text_col)).cast("long") + 1)
         .withColumn("text_crc32", F.crc32(text_or_empty(text_col).cast("binary")))
         .withColumn("law", F.lit("key"))
-        .withColumn("shard", jump_hash("_high", "_low", shards))
-        .withColumn("grown_shard", jump_hash("_high", "_low", shards + 1))
-        .withColumn("_block", F.col("_low") % blocks)
+        .withColumn("shard", jump_hash(f"{own}high", f"{own}low", shards))
+        .withColumn("grown_shard", jump_hash(f"{own}high", f"{own}low", shards + 1))
+        .withColumn(f"{own}block", F.col(f"{own}low") % blocks)
     )
-    counted = keyed.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counted = keyed.groupBy("shard", f"{own}block").agg(F.count(F.lit(1)).alias(f"{own}n"))
+    before = Window.partitionBy("shard").orderBy(f"{own}block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.select(
-        F.col("shard").alias("_shard"), F.col("_block").alias("_its_block"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+        F.col("shard").alias(f"{own}shard"), F.col(f"{own}block").alias(f"{own}its_block"), F.coalesce(F.sum(f"{own}n").over(before), F.lit(0)).alias(f"{own}start")
     )
-    within = Window.partitionBy("shard", "_block").orderBy(F.col(id_col).asc_nulls_last(), "text_crc32", "size")
-    numbered = keyed.withColumn("_within", F.row_number().over(within) - 1)
+    within = Window.partitionBy("shard", f"{own}block").orderBy(F.col(id_col).asc_nulls_last(), "text_crc32", "size")
+    numbered = keyed.withColumn(f"{own}within", F.row_number().over(within) - 1)
     # shards * blocks rows at most, whatever the size of the corpus: small enough to broadcast
-    placed = numbered.join(F.broadcast(starts), (F.col("shard") == F.col("_shard")) & (F.col("_block") == F.col("_its_block")))
-    return placed.withColumn("slot", F.col("_start") + F.col("_within")).select(*rows.columns, *added)
+    placed = numbered.join(F.broadcast(starts), (F.col("shard") == F.col(f"{own}shard")) & (F.col(f"{own}block") == F.col(f"{own}its_block")))
+    return placed.withColumn("slot", F.col(f"{own}start") + F.col(f"{own}within")).select(*rows.columns, *added)

@@ -94,7 +94,7 @@ WITH words AS (
         / greatest(squares - mean * mean - mean * (1 - mean) * per_doc, mean * (1 - mean) / 1001, 1e-9) - 1, 1.0) AS s
     FROM moments
 ), prior AS (
-    SELECT greatest(mean * s, 0.5) AS alpha, greatest((1 - mean) * s, 0.5) AS beta FROM strength
+    SELECT mean * s AS alpha, (1 - mean) * s AS beta FROM strength
 ), verdicts AS (
     SELECT source, (failed + alpha) / (docs + alpha + beta) <= 0.5 AS host_kept FROM hosts, prior
 )

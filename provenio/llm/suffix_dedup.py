@@ -371,6 +371,24 @@ def repeated_starts(df: DataFrame, length: int, buckets: int, turns: int) -> Dat
     return found.mapInPandas(spread, "id long, at long, n long")
 
 
+def _numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(i, _id, t): the documents with numbers in the order of their ids; a column `again` says that rows may share one.
+
+    Integer ids that occur once are their own numbers. Otherwise the distinct pairs of id and SHA-256 of the text are
+    sorted, and joined back to their rows.
+    """
+    plain = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("t"))
+    whole_number = df.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    ids = plain.groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
+    if whole_number and ids.filter("n > 1").isEmpty():
+        return plain.select(F.coalesce(F.col("_id").cast("long"), F.lit(int(LAST_ID))).alias("i"), "_id", "t")
+    keyed = plain.withColumn("sha", F.sha2("t", 256))
+    order = keyed.select(F.col("_id").alias("key"), F.col("sha").alias("key_sha")).distinct().orderBy(F.col("key").asc_nulls_last(), "key_sha")
+    numbers = written(order.withColumn("i", F.monotonically_increasing_id()), "document-numbers")
+    joined = keyed.join(numbers, F.col("_id").eqNullSafe(F.col("key")) & (F.col("sha") == F.col("key_sha")))
+    return joined.select("i", "_id", "t", F.lit(True).alias("again"))
+
+
 def suffix_dedup(
     df: DataFrame,
     length: int = 100,
@@ -392,16 +410,19 @@ def suffix_dedup(
     long ties resolved by the ranks of a difference cover's sample. Intervals of removed starts, not positions, come
     back and are joined to their documents.
 
-    Edge cases: no rows give no rows; null and empty texts have nothing to remove; ids must be unique, and null
-    ids count as one document after all others; extra columns are not read.
+    Edge cases: no rows give no rows; null and empty texts have nothing to remove; texts of any length are read in
+    pieces; ids of any type are taken in their order, nulls last; of rows with one id and different texts the one
+    whose text has the smaller SHA-256 comes first, and rows that repeat id and text are one document, whose result
+    each of them gets; extra columns are not read.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
-    whole = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST_ID))).alias("i"), F.col(id_col).alias("_id"), text_or_empty(text_col).alias("t"))
+    whole = _numbered(df, id_col, text_col)
     if buckets is None:
         total = whole.agg(F.sum(F.octet_length("t"))).first()[0] or 0
         buckets = max(8, 1 + 4 * total // BUCKET_BYTES)
-    starts = repeated_starts(whole.select("i", "t").filter(F.octet_length("t") >= length), length, buckets, turns)
+    judged = whole.select("i", "t") if "again" not in whole.columns else whole.select("i", "t").dropDuplicates(["i"])
+    starts = repeated_starts(judged.filter(F.octet_length("t") >= length), length, buckets, turns)
     of_doc = written(
         starts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("hits")), "repeats-of-doc"
     )

@@ -27,7 +27,7 @@ ODD = [
 ]
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
+@pytest.mark.parametrize("limit", [1_000_000, 3, 0])
 def test_exact_dedup(spark, limit):
     rows = [*ODD, *[(100 + k, f"copy {k % 7}", "h") for k in range(60)]]
     groups = defaultdict(list)
@@ -44,6 +44,49 @@ def test_exact_dedup(spark, limit):
     assert exact_dedup(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_unique_rows_pass_a_filter_in_pieces(spark, monkeypatch):
+    from provenio.llm import exact_dedup as module
+
+    rows = [(k, f"alone {k}", "h") for k in range(3000)] + [(5000 + k, f"copy {k % 20}", "h") for k in range(60)]
+    shuffled = []
+    real = module.written
+
+    def watch(df, name):
+        if name == "repeat-groups":
+            shuffled.append(df.agg({"group_size": "sum"}).first()[0])
+        return real(df, name)
+
+    monkeypatch.setattr(module, "written", watch)
+    found = exact_dedup(documents(spark, rows), max_broadcast_rows=40).collect()
+    assert sum(not r.kept for r in found) == 40 and len(found) == len(rows)
+    assert 60 <= shuffled[0] < 300
+
+
+CLASHES = "_low _high _start _block _n _word0 _bits0 _sha _hash _suspect _taken_id _id _copies _encoded _judged _known".split()
+
+
+def test_columns_of_any_name_are_kept(spark):
+    from pyspark.sql import functions as F
+
+    from provenio.llm.language_id import detect_language
+
+    rows = [(k, f"text {k % 5}", "a") for k in range(20)]
+    df = documents(spark, rows).select("*", *[F.lit(f"mine {c}").alias(c) for c in CLASHES])
+    for result in (exact_dedup(df), shard_by_key(df), mixed_rows(df), detect_language(df, max_train_docs=20)):
+        found = result.collect()
+        assert found and all(r[c] == f"mine {c}" for r in found for c in CLASHES)
+
+
+def test_mixed_rows_of_repeated_ids(spark):
+    rows = [(k % 7, "w " * (10 + k % 3), "a" if k % 5 else "b") for k in range(60)] + [(None, "w w", "a"), (None, "w w", "a"), (50, "w", None)]
+    df = documents(spark, rows)
+    wanted = Counter()
+    for r in mix_sources(df).collect():
+        wanted[(r.doc_id, r.source, r["size"])] += r.copies
+    there = Counter((r.doc_id, r.source, len(r.text.split())) for r in mixed_rows(df).collect())
+    assert there == +wanted
+
+
 def brute_targets(sizes):
     total, names = sum(sizes.values()), sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}

@@ -143,6 +143,21 @@ def test_suffix_dedup(spark):
     assert suffix_dedup(df.limit(0)).count() == 0
 
 
+def test_suffixes_of_repeated_and_of_text_ids(spark):
+    t, other = "q" * 40 + "abcdefghij" * 26, "z" * 20 + "abcdefghij" * 26
+    rows = [(5, t), (5, t), (5, other), (9, t), (None, "k" * 150), (None, "k" * 150), (None, "l" * 150)]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    order = sorted({*rows}, key=lambda r: (r[0] is None, r[0] or 0, sha(r[1])))
+    wanted = brute_suffixes([(k, x) for k, (_, x) in enumerate(order)], 100)
+    wanted = {r: wanted[k] for k, r in enumerate(order)}
+    for kind in ("long", "string"):
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind)).repartition(3)
+        found = suffix_dedup(df).collect()
+        assert len(found) == len(rows)
+        got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found)
+        assert got == sorted((str(i), *wanted[(i, x)]) for i, x in rows)
+
+
 def test_a_lone_run_that_repeats_within_itself(spark):
     rng = random.Random(6)
     noise = lambda n: "".join(rng.choice("ghijklmnop") for _ in range(n))

@@ -209,6 +209,35 @@ def test_gradients_are_those_of_the_loss():
         assert grads[name][at] == pytest.approx((up - down) / (2 * eps), rel=1e-3, abs=1e-4), name
 
 
+def test_reading_is_that_of_a_plain_network():
+    import numpy as np
+
+    from provenio.llm import language_id
+
+    network = train([(b"abc abc", "x"), (b"xyz zyx", "y"), (b"123", "z")] * 20, steps=8)
+
+    def plain(data):
+        sums = np.zeros(3)
+        for at in range(0, len(data), language_id.STRETCH):
+            piece = data[at : at + language_id.STRETCH]
+            logits = np.tile(network.bias.astype(float), (len(piece), 1))
+            for way in (0, 1):
+                state = np.zeros(network.recurrent[way].shape[1])
+                h = len(state)
+                for t in range(len(piece)) if way == 0 else reversed(range(len(piece))):
+                    given, held = network.tables[way][:, piece[t]], network.recurrent[way] @ state
+                    update, reset = (1 / (1 + np.exp(-(given[k : k + h] + held[k : k + h]))) for k in (0, h))
+                    fresh = np.tanh(given[2 * h :] + reset * (held[2 * h :] + network.inner[way]))
+                    state = fresh + update * (state - fresh)
+                    logits[t] += network.heads[way] @ state
+            share = np.exp(logits - logits.max(axis=1, keepdims=True))
+            sums += (share / share.sum(axis=1, keepdims=True)).sum(axis=0)
+        return sums / max(len(data), 1)
+
+    texts = [b"", b"a", b"abc xyz 12", b"z" * 127, b"ab" * 64, bytes(range(256)) * 2, b"q" * 129]
+    assert np.allclose(network.document_probabilities(texts), [plain(t) for t in texts], atol=1e-4)
+
+
 def test_training_is_repeatable():
     samples = [(b"abc abc", "x"), (b"xyz zyx", "y")] * 20
     one, two = train(samples, steps=5), train(samples, steps=5)
