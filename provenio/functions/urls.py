@@ -15,10 +15,8 @@ RESERVED_OWNERS = [
 ]
 OWNER = "[A-Za-z0-9](?:[A-Za-z0-9-]{0,37}[A-Za-z0-9])?"
 NAME = "[A-Za-z0-9_.-]{1,104}"
-_HOSTED = "(?i)^(?:git\\+)?(https?|ssh|git)://(?:([^@/]*)@)?(?:www\\.)?github\\.com\\.?(?::[0-9]+)?/([^/?#]+)/([^/?#]+)(?:/[^?#]*)?$"
-_API = "(?i)^https?://api\\.github\\.com/repos/([^/?#]+)/([^/?#]+)/?$"
-_SCP = "(?i)^git@(?:www\\.)?github\\.com\\.?:/?([^/?#]+)/([^/?#]+?)/?$"
-_SHORT = "^([^/?#:@\\s]+)/([^/?#:@\\s]+)$"
+_HOSTED = "(?i)^(?:git\\+)?(https?|ssh|git)://(?:([^@/?#]*)@)?(www\\.github\\.com|github\\.com|api\\.github\\.com)\\.*(?::[0-9]*)?(/[^?#]*)?$"
+_SCP = "(?i)^([^@]*)@github\\.com:(.*)$"
 _HOST_OF = "(?i)^(?:git\\+)?([a-z][a-z0-9+.-]*)://(?:([^@/?#]*)@)?([^:/?#]+)"
 REMOVED = "(repository URL with control characters removed)"
 
@@ -27,37 +25,44 @@ def _without_git(name: Column) -> Column:
     return F.regexp_replace(name, "\\.git$", "")
 
 
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, "^\\s+", ""), "\\s+$", "")
+
+
 def parse_repository(text: Column) -> Column:
     """struct(owner, name), or null where the text names no repository of the code host.
 
-    Taken are git@host:owner/name, owner/name, and URLs of the host (https, http, ssh, git, with or without
-    git+) or its API; not those with user information (but git@ over ssh or git), a query or a fragment, nor pages
-    of the host itself.
+    Taken are git@host:owner/name and what follows, owner/name alone, and URLs of the host (https, http, ssh, git,
+    with or without git+) or of its API's repos; not those with user information (but git@ over ssh or git), a query
+    or a fragment, nor URLs of the host's own pages. Empty path segments do not count.
     """
-    trimmed = F.regexp_replace(F.regexp_replace(text, "^\\s+", ""), "\\s+$", "")
-
-    def taken(pattern: str, owner: int, name: int, allowed: Column) -> Column:
-        o, n = F.regexp_extract(trimmed, pattern, owner), _without_git(F.regexp_extract(trimmed, pattern, name))
-        return F.when(trimmed.rlike(pattern) & allowed, F.struct(o.alias("owner"), n.alias("name")))
-
-    user = F.regexp_extract(trimmed, _HOSTED, 2)
-    scheme = F.lower(F.regexp_extract(trimmed, _HOSTED, 1))
-    plain = ~trimmed.rlike("^[^/]*://[^/]*@") | ((user == "git") & scheme.isin("ssh", "git"))
-    found = F.coalesce(
-        taken(_SCP, 1, 2, F.lit(True)),
-        taken(_API, 1, 2, F.lit(True)),
-        taken(_HOSTED, 3, 4, plain),
-        taken(_SHORT, 1, 2, F.lit(True)),
+    trimmed = _trimmed(text)
+    extract = lambda pattern, k: F.regexp_extract(trimmed, pattern, k)
+    segments = lambda path: F.filter(F.split(path, "/"), lambda part: part != "")
+    # each form's segments, or null where the form does not hold
+    scp_path = extract(_SCP, 2)
+    scp = F.when((extract(_SCP, 1) == "git") & ~scp_path.rlike("[?#]"), segments(scp_path))
+    short = segments(trimmed)
+    user, scheme = extract(_HOSTED, 2), F.lower(extract(_HOSTED, 1))
+    allowed = (user == "") | ((user == "git") & scheme.isin("ssh", "git"))
+    path = segments(extract(_HOSTED, 4))
+    first = ascii_lower(F.coalesce(F.get(path, F.lit(0)), F.lit("")))
+    api = F.lower(extract(_HOSTED, 3)) == "api.github.com"
+    hosted = F.when(api & (first == "repos"), F.slice(path, 2, 2)).when(~api & ~first.isin(*RESERVED_OWNERS), F.slice(path, 1, 2))
+    found = (
+        F.when(trimmed.rlike(_SCP), scp)
+        .when(~trimmed.contains("://"), F.when(F.size(short) == 2, short))
+        .when(trimmed.rlike(_HOSTED) & allowed, hosted)
     )
+    owner, name = F.get(found, F.lit(0)), _without_git(F.get(found, F.lit(1)))
     valid = (
-        found["owner"].rlike(f"^{OWNER}$")
-        & found["name"].rlike(f"^{NAME}$")
-        & (F.char_length(found["name"]) <= 100)
-        & ~found["name"].isin(".", "..")
-        & ~ascii_lower(found["owner"]).isin(*RESERVED_OWNERS)
-        & ~text.rlike("\\p{Cc}")
+        owner.rlike(f"^{OWNER}$")
+        & name.rlike(f"^{NAME}$")
+        & (F.char_length(name) <= 100)
+        & ~name.isin(".", "..")
+        & ~trimmed.rlike("\\p{Cc}")
     )
-    return F.when(valid, found)
+    return F.when(valid, F.struct(owner.alias("owner"), name.alias("name")))
 
 
 def repository_key(text: Column) -> Column:
@@ -67,11 +72,17 @@ def repository_key(text: Column) -> Column:
 
 
 def sensitive_url(text: Column) -> Column:
-    """Whether a URL of the code host carries user information, a query or a fragment, even empty ones."""
+    """Whether a URL of the code host carries user information, a query or a fragment, even empty ones.
+
+    In the form user@host:path any user but git, and a query or a fragment in the path, count.
+    """
+    trimmed = _trimmed(text)
+    scp = (F.regexp_extract(trimmed, _SCP, 1) != "git") | F.regexp_extract(trimmed, _SCP, 2).rlike("[?#]")
     scheme, user, host = (F.lower(F.regexp_extract(text, _HOST_OF, k)) for k in (1, 2, 3))
     ours = F.regexp_replace(host, "\\.$", "").isin("github.com", "www.github.com", "api.github.com")
     has_user = text.rlike("^[^/]*://[^/?#]*@") & ~((user == "git") & scheme.isin("ssh", "git"))
-    return F.coalesce(ours & (has_user | text.contains("?") | text.contains("#")), F.lit(False))
+    hosted = ours & (has_user | text.contains("?") | text.contains("#"))
+    return F.coalesce(F.when(trimmed.rlike(_SCP), scp).otherwise(hosted), F.lit(False))
 
 
 def sanitise_url(text: Column) -> Column:

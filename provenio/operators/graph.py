@@ -11,20 +11,21 @@ from provenio.sources.scratch import written
 def lock_relations(nodes: DataFrame, edges: DataFrame, scope: str, most_levels: int = 100_000) -> DataFrame:
     """(scope, relation, depth, roots) for each lockfile.
 
-    nodes: (scope, node, target); edges: (scope, src, dst). From every node that nothing depends on, level by
+    nodes: (scope, node, target); edges: (scope, src, dst). From all nodes that nothing depends on at once, level by
     level, with targets never passed through: direct if an edge from a root leads to a target, transitive if a longer
     path does, both, or unclassified; not_recorded without a target. depth is the shortest, 0 for a target that is
-    itself a root. Each level is one equi-join of the frontier, over all lockfiles and roots at once, less what a
-    root has already seen; levels are written to the shared folder, so that plans stay short and lost executors
-    cost one level.
+    itself a root. A root has no edge to it, so what is reached from one is a level below it from whichever root it
+    is reached, and which root that is need not be carried: a node is visited once a lockfile. Each level is one
+    equi-join of the frontier, over all lockfiles at once, less what has been seen; levels are written to the shared
+    folder, so that plans stay short and lost executors cost one level.
     """
     targets = nodes.filter("target").select(scope, F.col("node").alias("dst"), F.lit(True).alias("hit")).distinct()
     plain_edges = written(edges.select(scope, "src", "dst").distinct(), "lock-edges")
     inner = nodes.join(plain_edges.select(scope, F.col("dst").alias("node")).distinct(), [scope, "node"], "left_anti")
-    roots = inner.select(scope, F.col("node").alias("root"), "node", "target").distinct()
+    roots = written(inner.groupBy(scope, "node").agg(F.bool_or("target").alias("target")), "lock-roots")
     # only the part of the graphs that has a target at all is walked
     with_target = targets.select(scope).distinct()
-    frontier = written(roots.filter(~F.col("target")).select(scope, "root", "node").join(with_target, scope, "left_semi"), "frontier")
+    frontier = written(roots.filter(~F.col("target")).select(scope, "node").join(with_target, scope, "left_semi"), "frontier")
     seen = frontier
     hits = roots.filter("target").select(scope, F.lit(0).alias("depth"))
     depth = 0
@@ -32,11 +33,11 @@ def lock_relations(nodes: DataFrame, edges: DataFrame, scope: str, most_levels:
         depth += 1
         if depth > most_levels:
             raise RuntimeError(f"more than {most_levels} levels")
-        reached = frontier.join(plain_edges.withColumnRenamed("src", "node"), [scope, "node"]).select(scope, "root", "dst")
-        marked = written(reached.distinct().join(targets, [scope, "dst"], "left"), "reached")
+        reached = frontier.join(plain_edges.withColumnRenamed("src", "node"), [scope, "node"]).select(scope, "dst").distinct()
+        fresh = reached.join(seen.withColumnRenamed("node", "dst"), [scope, "dst"], "left_anti")
+        marked = written(fresh.join(targets, [scope, "dst"], "left"), "reached")
         hits = hits.unionByName(marked.filter("hit").select(scope, F.lit(depth).alias("depth")))
-        step = marked.filter("hit is null").select(scope, "root", F.col("dst").alias("node"))
-        frontier = written(step.join(seen, [scope, "root", "node"], "left_anti"), "frontier")
+        frontier = marked.filter("hit is null").select(scope, F.col("dst").alias("node"))
         seen = seen.unionByName(frontier)
     found = hits.groupBy(scope).agg(
         F.bool_or(F.col("depth") == 1).alias("_direct"),

@@ -17,16 +17,18 @@ def guard(df: DataFrame, broken: Column, message: Column | str) -> DataFrame:
 def strict_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Inner join on a key that must be there, once, on the right; many left rows may share it.
 
-    Two right rows with one key, or a left row without partner, are an error.
+    Two right rows with one key that a left row has, or a left row without partner, are an error.
     """
-    per_key = right.groupBy(right_key).agg(F.count(F.lit(1)).alias("_n"))
-    counted = right.join(per_key, right_key).transform(
-        lambda d: guard(d, F.col("_n") > 1, F.concat(F.lit(f"more than one {right_key} "), F.col(right_key).cast("string")))
-    ).drop("_n")
-    found = counted.withColumn("_there", F.lit(True))
-    joined = left.join(found, left[left_key] == found[right_key], "left")
-    message = F.concat(F.lit(f"no {right_key} for {left_key} "), F.coalesce(left[left_key].cast("string"), F.lit("null")))
-    return guard(joined, F.col("_there").isNull(), message).drop("_there")
+    # one row a key, with its values in a struct: the right side is planned and shuffled once
+    values = [c for c in right.columns if c != right_key]
+    per_key = right.filter(F.col(right_key).isNotNull()).groupBy(F.col(right_key).alias("_key")).agg(
+        F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(F.lit(True).alias("_there"), *values)).alias("_right")
+    )
+    joined = left.join(per_key, F.col(left_key) == F.col("_key"), "left")
+    asked = F.coalesce(F.col(left_key).cast("string"), F.lit("null"))
+    once = guard(joined, F.coalesce(F.col("_n"), F.lit(1)) > 1, F.concat(F.lit(f"more than one {right_key} "), asked))
+    found = guard(once, F.col("_n").isNull(), F.concat(F.lit(f"no {right_key} for {left_key} "), asked))
+    return found.select(*left.columns, *[F.col("_key").alias(c) if c == right_key else F.col(f"_right.{c}").alias(c) for c in right.columns])
 
 
 def enrich(left: DataFrame, right: DataFrame, on: list[str], fallbacks: dict[str, Column], error: Column) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from provenio.operators import aggregates, filters, joins, selection
+from provenio.plans import scan
 from provenio.plans.registry import register, table
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
@@ -138,21 +139,35 @@ def paged_scan(spark, sf_dir):
 @register(
     "group_candidates",
     """
-    SELECT host, string_agg(DISTINCT path, '|' ORDER BY path) AS paths, count(*) AS pages, min(page_id) AS first_page
-    FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*/([a-z]*)', 1) AS path FROM pages)
-    GROUP BY host
+    WITH c AS (
+        SELECT l_orderkey, l_linenumber, 's' || l_suppkey AS name, l_linenumber || '.0.0' AS version, l_partkey % 5 = 0 AS unknown,
+               CASE WHEN l_suppkey % 3 = 0 THEN 'missing:s' || l_suppkey || '@' || l_linenumber || '.0.0'
+                    ELSE 'github:o' || l_suppkey % 17 || '/r' || l_suppkey % 5 END AS key,
+               CASE WHEN l_quantity > 25 THEN NULL ELSE l_partkey % 2 = 0 END AS accepts, l_linestatus = 'O' AS optional, l_returnflag AS kind
+        FROM lineitem
+    )
+    SELECT key, count(*) AS releases, string_agg(DISTINCT name, '|' ORDER BY name) AS dependents,
+           string_agg(DISTINCT name || '@' || version, '|' ORDER BY name || '@' || version) AS versions, string_agg(DISTINCT kind, '|' ORDER BY kind) AS kinds,
+           CASE WHEN bool_or(coalesce(accepts, false)) THEN 'true' WHEN bool_or(unknown) OR count(accepts) < count(*) THEN 'unknown' ELSE 'false' END AS any_requirement_accepts,
+           CASE WHEN bool_or(optional) AND bool_or(NOT optional) THEN 'mixed' WHEN bool_or(unknown) THEN 'unknown' WHEN bool_or(optional) THEN 'all' ELSE 'none' END AS optional_declarations
+    FROM c GROUP BY key
     """,
 )
 def group_candidates(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(
-        "page_id",
-        F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"),
-        F.regexp_extract("url", "^[a-z]+://[^/?#]*/([a-z]*)", 1).alias("path"),
-    )
-    return pages.groupBy("host").agg(
-        F.array_join(aggregates.sorted_set(F.col("path")), "|").alias("paths"),
-        F.count(F.lit(1)).alias("pages"),
-        F.min("page_id").alias("first_page"),
+    key = F.concat(F.lit("https://github.com/O"), (F.col("l_suppkey") % 17).cast("string"), F.lit("/R"), (F.col("l_suppkey") % 5).cast("string"))
+    declaration = F.struct(
+        F.lit("dep").alias("alias"), F.lit("^1").alias("requirement"), F.col("l_returnflag").alias("kind"), (F.col("l_linestatus") == "O").alias("optional"),
+        F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("registry"),
+        F.when(F.col("l_quantity") <= 25, F.col("l_partkey") % 2 == 0).alias("accepts"), F.lit(False).alias("exact_pin"),
+    )
+    candidates = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("name"), F.concat(F.col("l_linenumber").cast("string"), F.lit(".0.0")).alias("version"),
+        F.when(F.col("l_suppkey") % 3 != 0, key).alias("repository"), F.col("l_orderkey").alias("position"), F.array(declaration).alias("declarations"),
+        F.when(F.col("l_partkey") % 5 == 0, "lookup failed").alias("enrichment_error"), F.lit("registry").alias("source"),
+    )
+    groups = scan.candidate_groups(candidates)
+    return groups.select(
+        "key", "releases", *[F.array_join(c, "|").alias(c) for c in ("dependents", "versions", "kinds")], "any_requirement_accepts", "optional_declarations"
     )
 
 
