@@ -39,9 +39,10 @@ def sorted_set(value: Column) -> Column:
     return F.array_sort(F.collect_set(value))
 
 
-def sorted_structs(*keys: Column) -> Column:
-    """All rows as structs in the order of their fields, nulls first."""
-    return F.array_sort(F.collect_list(F.struct(*keys)))
+def sorted_structs(keys: list[Column], cell: Column, where: Column | None = None) -> Column:
+    """All cells in the order of the keys, nulls first; cells whose condition does not hold are left out."""
+    item = F.struct(F.struct(*[F.struct(k.isNotNull().alias("there"), k.alias("value")).alias(f"k{i}") for i, k in enumerate(keys)]).alias("keys"), cell.alias("cell"))
+    return F.transform(F.array_sort(F.collect_list(item if where is None else F.when(where, item))), lambda x: x["cell"])
 
 
 def least_version(version: Column, position: Column, *carried: Column) -> Column:
@@ -82,4 +83,5 @@ def resolved_counts(packages: DataFrame, key: str, name: str, version: str, defa
         F.count_if(registry).alias("registry"),
         F.count_if(exact & registry).alias("exact_registry"),
         sorted_set(F.when(mine, F.col("version"))).alias("versions"),
+        F.array_sort(F.collect_list(F.when(mine, F.struct("version", "source")))).alias("sources"),
     )

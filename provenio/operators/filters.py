@@ -71,9 +71,6 @@ def disposition(fork: Column, archived: Column, include_forks: bool, include_arc
     )
 
 
-def code_hits(df: DataFrame, file_name: str) -> tuple[DataFrame, DataFrame]:
-    """(hits, counters): public hits (path, private, repository) whose file has the very name."""
-    named = final_component(F.col("path")) == file_name
-    hits = df.filter(~F.col("private") & named & F.col("repository").isNotNull())
-    counters = df.agg(F.count_if("private").alias("private_hits"), F.count(F.lit(1)).alias("seen"))
-    return hits, counters
+def code_hits(df: DataFrame, file_name: Column) -> DataFrame:
+    """Public code-search hits (path, private, ...) whose file has the very name."""
+    return df.filter(~F.coalesce(F.col("private"), F.lit(False)) & (final_component(F.col("path")) == file_name))

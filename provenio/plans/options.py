@@ -20,6 +20,15 @@ def exit_code(partial: bool, allow_partial: bool, no_match: bool, require_match:
     return 4 if partial and not allow_partial else 3 if no_match and require_match else 0
 
 
+# What the candidates of each discovery are, as the facts say it.
+_REVERSE = "published releases that the registry lists as dependents of the target"
+SCOPES = {
+    "registry": _REVERSE,
+    "code": "bounded public code-search seeds verified against current default branches",
+    "both": f"{_REVERSE}, plus bounded public code-search seeds",
+}
+
+
 @dataclass(frozen=True)
 class ScanOptions:
     """What a scan takes; the defaults are the usual ones."""
@@ -27,6 +36,9 @@ class ScanOptions:
     query: str
     version: str
     observed_at: str
+    discovery: str = "registry"
+    max_candidates: int | None = None
+    code_search_limit: int = 100
     repository: str | None = None
     kinds: list[str] = field(default_factory=lambda: ["normal", "dev", "build"])
     optional_mode: str = "include"
@@ -44,4 +56,6 @@ class ScanOptions:
     jobs: int = 4
 
     def policy(self) -> dict:
-        return asdict(self)
+        """The snapshot of the policy that facts and summary carry: what a scan keeps, not what it looks for."""
+        given = asdict(self)
+        return {k: v for k, v in given.items() if k not in ("query", "version", "observed_at", "repository")}

@@ -27,12 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grouped report: version-aware order within groups."""
-    return queries()["report_grouped"](spark, sf_dir)
+    """The scan: a fact row for each lockfile, and for each repository or release without one."""
+    return queries()["scan_facts"](spark, sf_dir)
 
 
 def _load() -> None:
-    from provenio.plans import evidence_queries, relation_queries, scalar_queries  # noqa: F401
+    from provenio.plans import evidence_queries, relation_queries, scalar_queries, scan_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from provenio.functions.text import csv_safe, json_cell
 from provenio.functions.urls import final_component, repository_key, sanitise_url
 from provenio.operators import aggregates, filters, selection
 from provenio.operators.graph import lock_relations
-from provenio.operators.manifests import analyze_manifests, effective_msrv
-from provenio.plans.options import ScanOptions
+from provenio.operators.manifests import KIND_ORDER, analyze_manifests, effective_msrv
+from provenio.plans.options import SCOPES, ScanOptions
 from provenio.sources.documents import lockfiles
 from provenio.sources.scratch import written
 
@@ -32,9 +33,30 @@ shortest_dependency_depth evidence_completeness error_code error_message
 """.split()
 # Columns that hold free text, which a spreadsheet could take for a formula.
 GUARDED = [
-    "input_query", "target_crate", "target_repository_url", "candidate_scope", "repository_url", "github_full_name",
-    "default_branch", "cargo_lock_path", "error_message",
+    "input_query", "target_crate", "target_version", "target_repository_url", "repository_url", "github_full_name", "default_branch",
+    "head_sha", "tree_sha", "cargo_lock_path", "cargo_lock_blob_sha", "msrv_effective", "msrv_source", "error_code", "error_message",
 ]
+# Error codes of a row, in the order in which they are listed, and what each says.
+MESSAGES = {
+    "tree_truncated": "the recursive tree was truncated; that a file is absent is not proven",
+    "manifest_inventory_partial": "not all manifests were read and understood",
+    "sparse_index_enrichment_partial": "one or more published candidates use fallback declarations",
+    "repository_matched_file_limit": "the repository has more matching files than the limit",
+    "lockfile_symlink": "the lockfile is a symbolic link and was not followed",
+    "lockfile_too_large": "the lockfile is larger than a file may be",
+    "repository_matched_file_byte_budget": "the repository's byte budget was used up",
+    "lockfile_parse_failed": "the lockfile could not be parsed",
+    "lockfile_fetch_failed": "the lockfile could not be fetched",
+    "lock_graph_unclassified": "the lock graph could not be classified",
+    "unsupported_repository": "no supported repository is named",
+    "repository_resolution_failed": "the repository could not be looked up",
+    "default_branch_head_failed": "the head of the default branch could not be read",
+}
+NOTES = [
+    "Code search and dependents data are bounded and not exhaustive.",
+    "A lock entry records a resolution; it does not prove that a build or a run uses it.",
+    "A dependency is confirmed only by a direct or transitive path from a root of a lock graph; presence without one is kept, but not confirmed.",
+]
 # Relations as the facts name them; the registry's source; targets that name an operating system.
 RELATIONS = {
     "direct": "recorded_direct", "transitive": "recorded_transitive", "both": "recorded_direct_and_transitive",
@@ -55,29 +77,70 @@ def group_key(repository: Column, name: Column, version: Column) -> Column:
     )
 
 
-def candidate_groups(candidates: DataFrame) -> DataFrame:
+def _has(df: DataFrame, name: str, kind: str) -> Column:
+    """A column that a capture may lack."""
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+def _published_cell(d: str, target: str) -> Column:
+    """The twelve fields of a published declaration."""
+    return F.struct(
+        F.col("name").alias("dependent_crate"), F.col("version").alias("dependent_version"),
+        F.coalesce("version_id", F.lit(0)).cast("long").alias("dependent_version_id"), F.coalesce("downloads", F.lit(0)).cast("long").alias("dependent_downloads"),
+        F.col(f"{d}.alias").alias("dependency_alias"), F.lit(target).alias("dependency_package"), F.col(f"{d}.requirement").alias("requirement"),
+        F.col(f"{d}.kind").alias("kind"), F.col(f"{d}.optional").alias("optional"), F.col(f"{d}.target").alias("target"),
+        F.col(f"{d}.registry").alias("registry"), F.col("enrichment_error").alias("enrichment_error"),
+    )
+
+
+def fallback_declarations(candidates: DataFrame, target: str) -> DataFrame:
+    """candidates whose lookup failed get one declaration from the listing (listed: the requirement and kind that the
+    dependents' page shows), and keep the error; others stay as they are."""
+    listed = F.col("listed")
+    own = F.col("declarations")
+    fields = candidates.schema["declarations"].dataType.elementType.fieldNames()
+    given = {"alias": F.lit(target), "requirement": listed["requirement"], "kind": listed["kind"], "optional": listed["optional"], "target": listed["target"]}
+    one = F.struct(*[given.get(c, F.lit(None)).alias(c) for c in fields]).cast(candidates.schema["declarations"].dataType.elementType)
+    failed = F.col("enrichment_error").isNotNull() & (F.coalesce(F.size(own), F.lit(0)) <= 0)
+    return candidates.withColumn("declarations", F.when(failed, F.array(one)).otherwise(own)).drop("listed")
+
+
+def candidate_groups(candidates: DataFrame, seeds: DataFrame | None = None, target: str = "") -> DataFrame:
     """One row per group: its sets of URLs, dependents and declarations, and three-valued flags over them.
 
-    candidates: (name, version, repository, position, declarations, enrichment_error, source).
+    candidates: (name, version, repository, position, declarations, enrichment_error, source), and version_id and
+    downloads if they are known. seeds: (key, url, source), repositories found by code search: they add their URLs
+    and sources to a group, or make one without publications.
     """
     keyed = candidates.withColumn("key", group_key(F.col("repository"), F.col("name"), F.col("version")))
+    for name in ("version_id", "downloads"):
+        keyed = keyed.withColumn(name, _has(candidates, name, "long"))
     unknown = F.col("enrichment_error").isNotNull()
-    per_group = keyed.groupBy("key").agg(
-        F.min_by("repository", "position").alias("repository"),
-        aggregates.sorted_set(sanitise_url(F.col("repository"))).alias("urls"),
+    columns = ["key", "repository", sanitise_url(F.col("repository")).alias("url"), "source", "name", "version", unknown.alias("unknown"), "position"]
+    listed = keyed.select(*columns, F.lit(True).alias("published"))
+    if seeds is not None:
+        none = lambda kind: F.lit(None).cast(kind)
+        found = seeds.select(
+            "key", F.col("url").alias("repository"), "url", "source", none("string").alias("name"), none("string").alias("version"),
+            F.lit(False).alias("unknown"), none(dict(listed.dtypes)["position"]).alias("position"), F.lit(False).alias("published"),
+        )
+        listed = listed.unionByName(found)
+    per_group = listed.groupBy("key").agg(
+        F.min_by("repository", F.struct(F.col("position").isNull(), "position", "repository")).alias("repository"),
+        aggregates.sorted_set(F.col("url")).alias("urls"),
         aggregates.sorted_set(F.col("source")).alias("sources"),
         aggregates.sorted_set(F.col("name")).alias("dependents"),
-        aggregates.sorted_set(F.concat_ws("@", "name", "version")).alias("versions"),
-        F.bool_or(unknown).alias("unknown"),
-        F.min("position").alias("position"),
-        F.count(F.lit(1)).alias("releases"),
+        aggregates.sorted_set(F.when(F.col("name").isNotNull(), F.concat_ws("@", "name", "version"))).alias("versions"),
+        F.bool_or("unknown").alias("unknown"),
+        F.coalesce(F.min("position"), F.lit(2**31 - 1)).alias("position"),
+        F.count_if("published").alias("releases"),
     )
-    spread = keyed.select("key", "position", "name", "version", F.explode("declarations").alias("d"))
+    spread = keyed.withColumn("d", F.explode("declarations"))
+    order = [F.col(c) for c in ("name", "version", "d.kind", "d.alias", "d.requirement", "d.target")]
     declared = spread.groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct("name", "version", "d.kind", "d.alias", "d.requirement", "d.target", "position"))).alias("published"),
+        aggregates.sorted_structs(order, _published_cell("d", target)).alias("published"),
         aggregates.sorted_set(F.col("d.kind")).alias("kinds"),
         aggregates.sorted_set(F.col("d.target")).alias("targets"),
-        F.collect_list("d.accepts").alias("_accepts"),
         F.bool_or("d.optional").alias("_some"),
         F.bool_or(~F.col("d.optional")).alias("_other"),
         F.count(F.lit(1)).alias("_n"),
@@ -100,6 +163,18 @@ def candidate_groups(candidates: DataFrame) -> DataFrame:
     )
 
 
+def code_seeds(hits: DataFrame) -> DataFrame:
+    """(key, url, source): the repositories of code-search hits, each hit once a source.
+
+    hits: (query, path, full_name, html_url, private), query being `lock` or `manifest`. Private hits, files whose last
+    path component is not the very file, and names that are no repository are left out.
+    """
+    wanted = F.when(F.col("query") == "lock", "Cargo.lock").otherwise("Cargo.toml")
+    public = filters.code_hits(hits, wanted).withColumn("_key", repository_key(F.col("full_name")))
+    source = F.concat(F.lit("code_search_"), F.col("query"), F.lit("_seed"))
+    return public.filter("_key is not null").select(F.concat(F.lit("github:"), F.col("_key")).alias("key"), F.col("html_url").alias("url"), source.alias("source")).distinct()
+
+
 def select_files(tree: DataFrame, options: ScanOptions) -> DataFrame:
     """Per repository: its manifests and locks under the file cap and the byte budget, as one fold each.
 
@@ -169,43 +244,62 @@ def lock_evidence(files: DataFrame, options: ScanOptions, target: str) -> DataFr
         F.col("sha").alias("cargo_lock_blob_sha"),
         F.when(F.col("_status") != "read", F.col("_status")).when(F.col("error").isNotNull(), "parse_failed").otherwise("parsed").alias("lock_status"),
         F.coalesce("versions", F.array().cast("array<string>")).alias("resolved_versions"),
+        F.coalesce("sources", F.array().cast("array<struct<version:string,source:string>>")).alias("resolved_sources"),
         F.coalesce("exact", F.lit(0)).alias("exact"),
         F.coalesce("exact_registry", F.lit(0)).alias("exact_registry"),
         F.when(~read, "unknown").when(found, "present").otherwise("absent").alias("exact_resolution_status"),
         named.alias("recorded_relation"),
         F.when(found, F.col("depth")).alias("shortest_dependency_depth"),
-        (read & found & (F.col("legacy_root") | ~F.col("buildable") | (named == RELATIONS["unclassified"]))).alias("graph_partial"),
+        (read & found & (F.col("legacy_root") | ~F.col("buildable"))).alias("graph_partial"),
     )
 
 
-def fact_rows(
-    candidates: DataFrame, repositories: DataFrame, tree: DataFrame, options: ScanOptions, target: str
-) -> DataFrame:
+@dataclass
+class Scan:
+    """A scan's facts, ordered by repository, URL and lockfile, and one row of counts over all its stages."""
+
+    facts: DataFrame
+    summary: DataFrame
+
+
+def fact_rows(candidates: DataFrame, repositories: DataFrame, tree: DataFrame, options: ScanOptions, target: str) -> DataFrame:
+    """The facts of a scan alone."""
+    return scan(candidates, repositories, tree, options, target).facts
+
+
+def scan(
+    candidates: DataFrame, repositories: DataFrame, tree: DataFrame, options: ScanOptions, target: str, hits: DataFrame | None = None, search_total: int = 0
+) -> Scan:
     """One row of FACT_COLUMNS per lockfile, one for a repository without, and one for a group without repository.
 
     repositories: (key, repo_id, full_name, html_url, default_branch, fork, archived, disabled, private, pushed_at,
     head_sha, tree_sha, committed_at, truncated), key as in candidate_groups; a head or tree that could not be
-    captured is null. No group and no failed lookup is lost: it is a row with an error code.
+    captured is null. hits: code-search hits as in code_seeds, of search_total reported. No group and no failed lookup
+    is lost: it is a row with an error code.
     """
-    kept = filters.filter_candidates(candidates, options.kinds, options.optional_mode, options.requirement_mode)
-    groups = candidate_groups(kept)
+    listed = candidates.orderBy("position").limit(options.max_candidates) if options.max_candidates is not None else candidates
+    kept = filters.filter_candidates(listed, options.kinds, options.optional_mode, options.requirement_mode)
+    seeds = code_seeds(hits) if hits is not None else None
+    groups = written(candidate_groups(kept, seeds, target), "groups")
     looked = groups.filter(F.col("key").startswith("github:")).join(repositories, "key", "left")
-    chosen = selection.overscan(looked, "key", "repo_id", "private", options.max_repositories, options.jobs)
+    chosen = written(selection.overscan(looked, "key", "repo_id", "private", options.max_repositories, options.jobs), "chosen")
     public = chosen.filter("kept").withColumn("_fate", filters.disposition(F.col("fork"), F.col("archived"), options.include_forks, options.include_archived))
     observed = F.lit(options.observed_at).cast("timestamp")
     act = filters.activity(
         F.col("committed_at"), observed, options.stale_days, options.activity,
         F.lit(options.since).cast("date") if options.since else None, F.lit(options.before).cast("date") if options.before else None,
     )
-    alive = public.filter("_fate = 'keep'").withColumn("_activity", act)
-    failed_head = alive.filter("committed_at is null or head_sha is null")
-    active = alive.filter("committed_at is not null and head_sha is not null and _activity is not null")
+    alive = public.withColumn("_activity", F.when(F.col("_fate") == "keep", act))
+    there = F.col("committed_at").isNotNull() & F.col("head_sha").isNotNull()
+    failed_head = alive.filter((F.col("_fate") == "keep") & ~there)
+    active = alive.filter((F.col("_fate") == "keep") & there & F.col("_activity").isNotNull())
     # groups that lead to one repository are one: the first by position stands for them
     merged = written(
         active.groupBy("repo_id").agg(
             *[F.min_by(c, "position").alias(c) for c in ("key", "full_name", "html_url", "default_branch", "fork", "archived", "disabled", "pushed_at", "head_sha", "tree_sha", "committed_at", "truncated", "_activity", "optional_declarations", "any_requirement_accepts", "any_exact_pin")],
             *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("urls", "sources", "dependents", "versions", "kinds", "targets", "published")],
             F.bool_or("unknown").alias("unknown"),
+            F.sum("releases").alias("releases"),
         ),
         "repositories",
     )
@@ -214,8 +308,10 @@ def fact_rows(
     manifests = analyze_manifests(
         files.filter("not is_lock and admitted and fetched").select(F.col("repo_id").cast("string").alias("scope"), "path", "text"), "scope", target, options.version
     )
+    kind_order = F.create_map(*[F.lit(x) for pair in KIND_ORDER.items() for x in pair])[F.col("kind")]
+    cell = F.struct("path", "kind", "target", "alias", F.col("spec_version").alias("requirement"), "optional", "inherited", F.col("requirement.accepts").alias("accepts"), F.col("requirement.exact_pin").alias("exact_pin"))
     declared = manifests.declarations.groupBy("scope").agg(
-        F.array_sort(F.collect_list(F.struct("path", "kind", "target", "alias", "spec_version"))).alias("current"),
+        aggregates.sorted_structs([F.col("path"), kind_order, F.col("target"), F.col("alias")], cell).alias("current"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all(F.coalesce("target", F.lit("")), F.lit(OS_PATTERN), 1))))).alias("os"),
         F.bool_or(F.col("target").isNull()).alias("unconditional"),
     )
@@ -231,7 +327,15 @@ def fact_rows(
         .join(repo_files, "repo_id", "left").join(locks, "repo_id", "left").join(declared, "scope", "left")
         .join(broken, "scope", "left").join(msrv, "scope", "left").join(observations, "scope", "left")
     )
-    return _project(scanned, groups, failed_head, looked, options, target)
+    # a file that was passed over, or a tree cut short, leaves the manifests incomplete
+    unread = files.filter("not is_lock and not (admitted and fetched)").select(F.col("repo_id").cast("string").alias("scope")).distinct().withColumn("_unread", F.lit(True))
+    scanned = scanned.join(unread, "scope", "left").withColumn(
+        "manifest_partial", F.coalesce("manifest_partial", F.lit(False)) | F.coalesce("_unread", F.lit(False)) | F.coalesce("truncated", F.lit(False))
+    )
+    facts = written(_project(scanned, groups, failed_head, chosen, options, target), "facts")
+    stages = {"kept": kept, "listed": listed, "groups": groups, "chosen": chosen, "alive": alive, "files": files, "repo_files": repo_files, "hits": hits}
+    order = ["github_full_name", "repository_url", "cargo_lock_path"]
+    return Scan(facts.orderBy(*order), summary(facts, stages, options, target, search_total))
 
 
 def _flag(value: Column) -> Column:
@@ -243,81 +347,137 @@ def _project(scanned: DataFrame, groups: DataFrame, failed_head: DataFrame, look
     context = {
         "observed_at_utc": options.observed_at, "input_query": options.query, "target_crate": target,
         "target_version": options.version, "target_repository_url": options.repository or "", "globally_exhaustive": "false",
-        "candidate_scope": "captured registry candidates", "scan_policy_json": json.dumps(options.policy(), sort_keys=True),
+        "candidate_scope": SCOPES[options.discovery], "scan_policy_json": json.dumps(options.policy(), sort_keys=True),
     }
     published = {
         "candidate_sources_json": json_cell(F.col("sources")), "dependent_crates_json": json_cell(F.col("dependents")),
         "dependent_versions_json": json_cell(F.col("versions")), "published_requirements_json": json_cell(F.col("published")),
         "dependency_kinds_json": json_cell(F.col("kinds")), "dependency_targets_json": json_cell(F.col("targets")),
         "optional_declarations": F.col("optional_declarations"), "any_requirement_accepts": F.col("any_requirement_accepts"),
-        "published_direct_status": F.when(F.size("published") > 0, "present").otherwise("not_observed"),
+        "published_direct_status": F.when(F.col("releases") > 0, "present").otherwise("not_observed"),
         "any_exact_pin": F.col("any_exact_pin"), "original_repository_urls_json": json_cell(F.col("urls")),
     }
-    unread = {c: F.lit("unknown") for c in ("archived", "fork", "disabled", "stale", "tree_truncated", "lock_status", "exact_resolution_status", "recorded_relation", "current_direct_status", "os_has_unconditional_declaration")}
+    unread = {c: F.lit("[]") for c in ("resolved_target_versions_json", "resolved_target_sources_json", "manifest_paths_json", "current_direct_requirements_json", "msrv_observations_json", "os_observed_targets_json")}
+    unread |= {c: F.lit("0") for c in ("repository_matched_cargo_file_count", "repository_matched_file_bytes_downloaded", "exact_occurrence_count", "exact_crates_io_occurrence_count")}
+    unread |= {"repository_matched_file_limit": F.lit(options.file_cap), "repository_matched_file_byte_budget": F.lit(options.byte_budget)}
+    unread |= {c: F.lit("unknown") for c in ("inventory_status", "evidence_completeness", "archived", "fork", "disabled", "stale", "tree_truncated", "lock_status", "exact_resolution_status", "recorded_relation", "current_direct_status", "os_has_unconditional_declaration")}
 
     def row(df: DataFrame, values: dict[str, Column]) -> DataFrame:
         whole = {c: F.lit("") for c in FACT_COLUMNS} | unread | {k: F.lit(v) for k, v in context.items()} | published | values
         cells = {c: F.coalesce(whole[c].cast("string"), F.lit("")) for c in FACT_COLUMNS}
         return df.select(*[(csv_safe(v) if c in GUARDED else v).alias(c) for c, v in cells.items()])
 
-    codes = aggregates.joined_errors(
-        F.when(F.col("truncated"), "tree_truncated"),
-        F.when(F.col("manifest_partial"), "manifest_inventory_partial"),
-        F.when(F.col("unknown"), "sparse_index_enrichment_partial"),
-        F.when(F.col("lock_status") == "repository_file_limit_exceeded", "repository_matched_file_limit"),
-        F.when(F.col("lock_status") == "symlink_not_followed", "lockfile_symlink"),
-        F.when(F.col("lock_status") == "too_large", "lockfile_too_large"),
-        F.when(F.col("lock_status") == "repository_byte_budget_exceeded", "repository_matched_file_byte_budget"),
-        F.when(F.col("lock_status") == "parse_failed", "lockfile_parse_failed"),
-        F.when(F.col("lock_status") == "fetch_failed", "lockfile_fetch_failed"),
-        F.when(F.col("graph_partial"), "lock_graph_unclassified"),
-    )
+    lock = lambda status: F.col("lock_status") == status
+    raised = {
+        "tree_truncated": F.col("truncated"), "manifest_inventory_partial": F.col("manifest_partial"), "sparse_index_enrichment_partial": F.col("unknown"),
+        "repository_matched_file_limit": lock("repository_file_limit_exceeded"), "lockfile_symlink": lock("symlink_not_followed"),
+        "lockfile_too_large": lock("too_large"), "repository_matched_file_byte_budget": lock("repository_byte_budget_exceeded"),
+        "lockfile_parse_failed": lock("parse_failed"), "lockfile_fetch_failed": lock("fetch_failed"), "lock_graph_unclassified": F.col("graph_partial"),
+    }
+    codes = aggregates.joined_errors(*[F.when(c, code) for code, c in raised.items()])
+    messages = aggregates.joined_errors(*[F.when(c, MESSAGES[code]) for code, c in raised.items()], separator=" | ")
+    partial = aggregates.completeness(F.col("truncated") | F.col("over_cap") | F.col("budget_hit"), F.col("_codes"))
     none = F.col("cargo_lock_path").isNull()
     whole = row(
-        scanned.withColumn("_codes", codes),
+        scanned.withColumn("_codes", codes).withColumn("_messages", messages),
         {
             "repository_url": F.col("html_url"), "github_repository_id": F.col("repo_id"), "github_full_name": F.col("full_name"),
             "default_branch": F.col("default_branch"), "head_sha": F.col("head_sha"), "tree_sha": F.col("tree_sha"),
             "head_committed_at": F.date_format("committed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "repo_pushed_at": F.date_format("pushed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
             "archived": _flag(F.col("archived")), "fork": _flag(F.col("fork")), "disabled": _flag(F.col("disabled")), "stale": _flag(F.col("_activity.stale")),
             "tree_truncated": _flag(F.col("truncated")),
-            "inventory_status": aggregates.completeness(F.col("truncated") | F.col("over_cap") | F.col("budget_hit"), F.col("_codes")),
+            "inventory_status": partial,
             "repository_matched_cargo_file_count": F.coalesce("matched", F.lit(0)), "repository_matched_file_limit": F.lit(options.file_cap),
             "repository_matched_file_bytes_downloaded": F.coalesce("bytes", F.lit(0)), "repository_matched_file_byte_budget": F.lit(options.byte_budget),
             "cargo_lock_path": F.col("cargo_lock_path"), "cargo_lock_blob_sha": F.col("cargo_lock_blob_sha"),
             "lock_status": F.when(none, F.when(F.col("truncated"), "unknown_truncated").otherwise("not_found")).otherwise(F.col("lock_status")),
-            "resolved_target_versions_json": json_cell(F.col("resolved_versions")),
+            "resolved_target_versions_json": json_cell(F.coalesce("resolved_versions", F.array().cast("array<string>"))),
+            "resolved_target_sources_json": json_cell(F.coalesce("resolved_sources", F.array().cast("array<struct<version:string,source:string>>"))),
             "exact_resolution_status": F.when(none, F.when(F.col("truncated"), "unknown").otherwise("not_observed")).otherwise(F.col("exact_resolution_status")),
-            "exact_occurrence_count": F.col("exact"), "exact_crates_io_occurrence_count": F.col("exact_registry"),
-            "manifest_paths_json": json_cell(F.col("manifest_paths")),
-            "current_direct_status": F.when(F.size("current") > 0, "present").when(F.coalesce("manifest_partial", F.lit(False)) | F.col("truncated"), "unknown").otherwise("absent"),
-            "current_direct_requirements_json": json_cell(F.col("current")),
-            "msrv_effective": F.coalesce("msrv", F.when(F.coalesce("manifest_partial", F.lit(False)), "unknown").otherwise("not_declared")),
-            "msrv_source": F.coalesce("msrv_source", F.lit("not_declared")), "msrv_observations_json": json_cell(F.col("observed")),
+            "exact_occurrence_count": F.coalesce("exact", F.lit(0)), "exact_crates_io_occurrence_count": F.coalesce("exact_registry", F.lit(0)),
+            "manifest_paths_json": F.coalesce(json_cell(F.col("manifest_paths")), F.lit("[]")),
+            "current_direct_status": F.when(F.size("current") > 0, "present").when(F.col("manifest_partial"), "unknown").otherwise("absent"),
+            "current_direct_requirements_json": F.coalesce(json_cell(F.col("current")), F.lit("[]")),
+            "msrv_effective": F.coalesce("msrv", F.when(F.col("manifest_partial"), "unknown").otherwise("not_declared")),
+            "msrv_source": F.when(F.coalesce("msrv_source", F.lit("not_declared")) != "not_declared", F.col("msrv_source")).when(F.col("manifest_partial"), "unknown").otherwise("not_declared"),
+            "msrv_observations_json": F.coalesce(json_cell(F.col("observed")), F.lit("[]")),
             "os_observed_targets_json": json_cell(F.coalesce("os", F.array().cast("array<string>"))),
-            "os_has_unconditional_declaration": F.when(F.col("unconditional"), "true").when(F.coalesce("manifest_partial", F.lit(False)), "unknown").otherwise("false"),
+            "os_has_unconditional_declaration": F.when(F.col("unconditional"), "true").when(F.col("unconditional").isNull() & F.col("manifest_partial"), "unknown").otherwise("false"),
             "recorded_relation": F.coalesce("recorded_relation", F.lit("unknown")), "shortest_dependency_depth": F.col("shortest_dependency_depth"),
-            "evidence_completeness": aggregates.completeness(F.lit(False), F.col("_codes")), "error_code": F.col("_codes"),
+            "evidence_completeness": partial, "error_code": F.col("_codes"), "error_message": F.col("_messages"),
         },
     )
-    fail = lambda code, status, quality: {"inventory_status": F.lit(status), "evidence_completeness": F.lit(quality), "error_code": F.lit(code)}
+    fail = lambda code, status, quality: {"inventory_status": F.lit(status), "evidence_completeness": F.lit(quality), "error_code": F.lit(code), "error_message": F.lit(MESSAGES[code])}
     unsupported = row(groups.filter(~F.col("key").startswith("github:")), {"repository_url": sanitise_url(F.col("repository"))} | fail("unsupported_repository", "unsupported_repository", "unavailable"))
-    unresolved = row(looked.filter("repo_id is null"), {"repository_url": sanitise_url(F.col("repository"))} | fail("repository_resolution_failed", "failed", "failed"))
+    unresolved = row(looked.filter("repo_id is null and considered"), {"repository_url": sanitise_url(F.col("repository"))} | fail("repository_resolution_failed", "failed", "failed"))
     headless = row(failed_head, {"repository_url": F.col("html_url"), "github_full_name": F.col("full_name")} | fail("default_branch_head_failed", "failed", "failed"))
     return whole.unionByName(unsupported).unionByName(unresolved).unionByName(headless)
 
 
-def summary(facts: DataFrame) -> DataFrame:
-    """One row of counts over the facts; a lost or partial row makes the whole partial."""
-    counted = lambda column, value: F.count_if(F.col(column) == value)
-    confirmed = F.when(F.col("recorded_relation").isin(RELATIONS["direct"], RELATIONS["transitive"], RELATIONS["both"]), F.col("github_repository_id"))
-    return facts.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct(F.when(F.col("github_repository_id") != "", F.col("github_repository_id"))).alias("repositories_scanned"),
-        counted("lock_status", "parsed").alias("locks_parsed"),
-        counted("exact_resolution_status", "present").alias("exact_locks"),
-        F.count_distinct(confirmed).alias("confirmed_repositories"),
-        counted("inventory_status", "unsupported_repository").alias("unsupported"),
-        counted("inventory_status", "failed").alias("failed"),
-        F.coalesce(F.bool_or(F.col("evidence_completeness") != "complete"), F.lit(False)).alias("partial"),
+def summary(facts: DataFrame, stages: dict[str, DataFrame | None], options: ScanOptions, target: str, search_total: int = 0) -> DataFrame:
+    """One row with the 36 fields of a scan's summary; a lost or partial row makes the whole partial."""
+    counted = lambda column, value: F.count_if(F.col(column) == value).alias(f"{column}_{value}")
+    confirmed = F.when(F.col("recorded_relation").isin(RELATIONS["direct"], RELATIONS["transitive"], RELATIONS["both"]) & (F.col("exact_occurrence_count") > 0), F.col("github_repository_id"))
+    scanned = F.when((F.col("head_sha") != "") & (F.col("github_repository_id") != ""), F.col("github_repository_id"))
+    code = lambda c: F.count_if(F.col("error_code") == c)
+    of_facts = facts.agg(
+        F.count(F.lit(1)).alias("output_rows"),
+        F.count_distinct(scanned).alias("repositories_scanned"),
+        F.count_distinct(F.when(F.col("evidence_completeness") == "partial", scanned)).alias("repositories_partial"),
+        (code("repository_resolution_failed") + code("default_branch_head_failed")).alias("repositories_failed"),
+        code("unsupported_repository").alias("repositories_unsupported"),
+        F.count_if(F.col("cargo_lock_path") != "").alias("lockfiles_found"),
+        F.count_if(F.col("lock_status") == "parsed").alias("lockfiles_parsed"),
+        F.count_distinct(confirmed).alias("repositories_exact_confirmed"),
+        F.coalesce(F.sum(F.col("exact_occurrence_count").cast("long")), F.lit(0)).alias("exact_occurrences"),
     )
+    of_candidates = stages["kept"].agg(F.count(F.lit(1)).alias("candidate_release_records"), F.count_distinct("name").alias("candidate_crates"))
+    at_most = options.max_candidates
+    limited = stages["listed"].agg((F.lit(at_most is not None) & (F.count(F.lit(1)) >= (at_most or 0))).alias("candidate_limit_reached"))
+    of_groups = stages["groups"].agg(F.count(F.lit(1)).alias("candidate_repositories"))
+    most = options.max_repositories
+    held = F.count_distinct(F.when(F.col("kept"), F.col("repo_id")))
+    of_chosen = stages["chosen"].agg(
+        F.count_if(F.coalesce("private", F.lit(False)) & F.col("considered")).alias("repositories_filtered_as_private"),
+        (F.lit(most is not None) & (held >= (most or 0))).alias("repository_limit_reached"),
+        (F.lit(most is not None) & (held < (most or 0)) & (F.count(F.lit(1)) >= 4 * (most or 0))).alias("repository_resolution_budget_exhausted"),
+    )
+    keep = F.col("_fate") == "keep"
+    of_alive = stages["alive"].agg(
+        F.count_distinct(F.when(F.col("_fate") == "fork", F.col("repo_id"))).alias("repositories_filtered_as_forks"),
+        F.count_distinct(F.when(F.col("_fate") == "archived", F.col("repo_id"))).alias("repositories_filtered_as_archived"),
+        F.count_distinct(F.when(keep & F.col("committed_at").isNotNull() & F.col("_activity").isNull(), F.col("repo_id"))).alias("repositories_filtered_by_activity"),
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    of_files = stages["repo_files"].agg(
+        total("matched").alias("matched_cargo_files"), total("bytes").alias("matched_cargo_file_bytes_downloaded"),
+        F.count_if("over_cap").alias("repositories_file_limit_exceeded"), F.count_if("budget_hit").alias("repositories_byte_budget_exceeded"),
+    )
+    hits = stages["hits"]
+    if hits is None:
+        of_hits = facts.sparkSession.range(1).select(F.lit(0).cast("long").alias("code_search_results_returned"), F.lit(0).cast("long").alias("code_search_private_results_discarded"))
+    else:
+        of_hits = hits.agg(F.count(F.lit(1)).alias("code_search_results_returned"), F.count_if("private").alias("code_search_private_results_discarded"))
+    row = of_facts
+    for part in (of_candidates, limited, of_groups, of_chosen, of_alive, of_files, of_hits):
+        row = row.join(F.broadcast(part), F.lit(True))  # one row each
+    incomplete = F.lit(search_total) > F.col("code_search_results_returned")
+    partial = (F.col("repositories_partial") > 0) | (F.col("repositories_failed") > 0) | (F.col("repositories_unsupported") > 0) | F.col("repository_resolution_budget_exhausted") | incomplete
+    extra = [
+        F.when(F.col("repository_resolution_budget_exhausted"), "repository lookups stopped at the bounded overscan before the wanted number was found"),
+        F.when(incomplete, "code-search candidates were capped or reported as incomplete; they are supplemental only"),
+    ]
+    context = {
+        "observed_at_utc": options.observed_at, "input_query": options.query, "target_crate": target, "target_version": options.version,
+        "globally_exhaustive": False, "candidate_scope": SCOPES[options.discovery], "policy": json.dumps(options.policy(), sort_keys=True),
+    }
+    return row.select(
+        *[F.lit(v).alias(k) for k, v in context.items()],
+        "candidate_limit_reached", "repository_limit_reached", "repository_resolution_budget_exhausted", "candidate_release_records", "candidate_crates",
+        "candidate_repositories", "repositories_scanned", "repositories_filtered_by_activity", "repositories_filtered_as_forks",
+        "repositories_filtered_as_archived", "repositories_filtered_as_private", "repositories_unsupported", "repositories_partial", "repositories_failed",
+        "lockfiles_found", "lockfiles_parsed", "repositories_exact_confirmed", "exact_occurrences", "matched_cargo_files",
+        "matched_cargo_file_bytes_downloaded", "repositories_file_limit_exceeded", "repositories_byte_budget_exceeded", "code_search_results_returned",
+        F.lit(search_total).cast("long").alias("code_search_total_count"), incomplete.alias("code_search_incomplete"), "code_search_private_results_discarded",
+        "output_rows", partial.alias("partial"), F.array_compact(F.array(*[F.lit(n) for n in NOTES], *extra)).alias("notes"),
+    )

@@ -98,7 +98,8 @@ def test_scan_of_two_candidates_in_one_repository(spark):
         "repo_id long, path string, size long, mode string, text string, sha string, fetched boolean",
     )
     options = ScanOptions(query="dep", version="1.2.3", observed_at="2025-06-01 00:00:00")
-    facts = scan.fact_rows(candidates, repositories, tree, options, "dep")
+    done = scan.scan(candidates, repositories, tree, options, "dep")
+    facts = done.facts
     assert facts.columns == scan.FACT_COLUMNS
     rows = {r.cargo_lock_path or r.error_code: r for r in facts.collect()}
     assert set(rows) == {"a/Cargo.lock", "b/Cargo.lock", "unsupported_repository"}
@@ -107,8 +108,44 @@ def test_scan_of_two_candidates_in_one_repository(spark):
     assert (b.recorded_relation, b.shortest_dependency_depth) == ("recorded_present_unclassified", "0")
     assert a.dependent_crates_json == '["one","two"]' and a.any_exact_pin == "true" and a.msrv_effective == "1.80.0"
     assert a.current_direct_status == "present" and a.stale == "false" and a.os_has_unconditional_declaration == "true"
-    total = scan.summary(facts).first()
-    assert (total.rows, total.repositories_scanned, total.locks_parsed, total.exact_locks, total.confirmed_repositories) == (3, 1, 2, 2, 1)
+    total = done.summary.first()
+    assert len(done.summary.columns) == 36
+    assert (total.output_rows, total.repositories_scanned, total.lockfiles_parsed, total.exact_occurrences, total.repositories_exact_confirmed) == (3, 1, 2, 2, 1)
+    assert (total.candidate_release_records, total.candidate_crates, total.candidate_repositories, total.repositories_unsupported) == (3, 3, 3, 1)
+    # a target that is its own root is unclassified, and the graph is complete all the same
+    assert (b.evidence_completeness, b.inventory_status, b.error_code, b.error_message) == ("complete", "complete", "", "")
+    assert rows["unsupported_repository"].error_message
+    assert a.resolved_target_sources_json == '[{"version":"1.2.3","source":"registry+https://github.com/rust-lang/crates.io-index"}]'
+    assert '"dependency_package":"dep"' in a.published_requirements_json and a.published_requirements_json.count("enrichment_error") == 2
+    assert [r.cargo_lock_path for r in facts.collect()] == ["", "a/Cargo.lock", "b/Cargo.lock"]
+
+
+def test_scan_with_seeds_and_broken_files(spark):
+    declaration = "struct<alias: string, requirement: string, kind: string, optional: boolean, target: string, registry: string, accepts: boolean, exact_pin: boolean>"
+    candidates = spark.createDataFrame([], f"name string, version string, repository string, position int, yanked boolean, declarations array<{declaration}>, enrichment_error string, source string")
+    hits = spark.createDataFrame(
+        [("lock", "x/Cargo.lock", "O/R", "https://github.com/O/R", False), ("lock", "not-Cargo.lock", "o/z", "u", False), ("manifest", "Cargo.toml", "o/r", "https://github.com/o/r", False), ("lock", "Cargo.lock", "o/p", "u", True), ("lock", "Cargo.lock", "odd", "u", False)],
+        "query string, path string, full_name string, html_url string, private boolean",
+    )
+    fields = "key string, repo_id long, full_name string, html_url string, default_branch string, fork boolean, archived boolean, disabled boolean, private boolean, pushed_at timestamp, head_sha string, tree_sha string, committed_at timestamp, truncated boolean"
+    repositories = spark.createDataFrame([("github:o/r", 7, "o/r", "https://github.com/o/r", "main", False, False, False, False, None, "abc", "def", None, True)], fields).withColumn("committed_at", F.lit("2025-01-01").cast("timestamp"))
+    missing = '[[package]]\nname = "root"\nversion = "1.0.0"\ndependencies = ["gone"]\n[[package]]\nname = "dep"\nversion = "1.2.3"\n'
+    tree = spark.createDataFrame(
+        [(7, "Cargo.toml", 1, "100644", "[", "m", True), (7, "a/Cargo.lock", len(missing), "100644", missing, "la", True), (7, "b/Cargo.lock", 3, "120000", "x", "lb", True), (7, "c/Cargo.lock", 3, "100644", None, "lc", False), (7, "d/Cargo.lock", 3, "100644", "[", "ld", True)],
+        "repo_id long, path string, size long, mode string, text string, sha string, fetched boolean",
+    )
+    options = ScanOptions(query="=dep", version="1.2.3", observed_at="2025-06-01 00:00:00", discovery="code")
+    done = scan.scan(candidates, repositories, tree, options, "dep", hits, search_total=9)
+    rows = {r.cargo_lock_path: r for r in done.facts.collect()}
+    assert {k: r.lock_status for k, r in rows.items()} == {"a/Cargo.lock": "parsed", "b/Cargo.lock": "symlink_not_followed", "c/Cargo.lock": "fetch_failed", "d/Cargo.lock": "parse_failed"}
+    a = rows["a/Cargo.lock"]
+    assert a.error_code == "tree_truncated;manifest_inventory_partial;lock_graph_unclassified" and a.error_message.count(" | ") == 2
+    assert (a.evidence_completeness, a.inventory_status, a.msrv_source, a.msrv_effective, a.os_has_unconditional_declaration) == ("partial", "partial", "unknown", "unknown", "unknown")
+    assert (a.published_direct_status, a.any_requirement_accepts, a.optional_declarations) == ("not_observed", "unknown", "unknown")
+    assert a.candidate_sources_json == '["code_search_lock_seed","code_search_manifest_seed"]' and a.input_query == "'=dep"
+    total = done.summary.first()
+    assert (total.partial, total.code_search_incomplete, total.code_search_results_returned, total.code_search_private_results_discarded) == (True, True, 5, 1)
+    assert (total.lockfiles_found, total.lockfiles_parsed, total.repositories_partial, total.repositories_exact_confirmed, len(total.notes)) == (4, 1, 1, 0, 4)
 
 
 def test_options_and_exit_codes():
