@@ -189,3 +189,68 @@ def test_report_positions_without_one_task(spark):
     plan = report.ranked(df, report.sort_keys("last-commit-desc"))._jdf.queryExecution().optimizedPlan().toString()
     assert "_range" in plan, "rows are sorted in ranges, not as one group"
     assert report.ranked(df.limit(0), report.sort_keys("last-commit-desc")).count() == 0
+
+
+def captures(spark, repositories=(), total=None):
+    from provenio.plans.resolve import Captures
+
+    crates = [
+        ("serde", "1.0.0", "https://github.com/serde-rs/serde", 900), ("serde_derive", "1.0.0", "https://github.com/serde-rs/serde", 800),
+        ("My-Tool", "0.3.0", "https://github.com/o/my-tool", 5), ("hidden-name", "0.1.0", "https://github.com/o/boxes", 7), ("boxed", "0.1.0", "https://github.com/else/boxes", 9),
+        ("tokio", "1.0.0", None, 700), ("tokio-util", "0.7.0", None, 600),
+    ]
+    schema = "name string, max_version string, repository string, downloads long"
+    catalog = spark.createDataFrame(crates, schema).withColumn("homepage", F.lit(None).cast("string")).withColumn("description", F.lit(None).cast("string"))
+    manifest = '[package]\nname = "hidden-name"\n'
+    files = [("crate/Cargo.toml", "100644", None, manifest), ("link/Cargo.toml", "120000", None, '[package]\nname = "serde"\n'), ("big/Cargo.toml", "100644", 600 << 10, '[package]\nname = "tokio"\n')]
+    rows = [(full, full.split("/")[1], private, files, False) for full, private in repositories]
+    held = spark.createDataFrame(rows, "full_name string, name string, private boolean, manifests array<struct<path: string, mode: string, size: long, text: string>>, truncated boolean")
+    return Captures(catalog, held, total)
+
+
+def test_resolution(spark):
+    from provenio.plans import resolve
+
+    plain = captures(spark)
+    row = resolve.resolve(plain, " my_tool ").first()
+    assert (row.resolution_method, row.selected.name, row.requires_selection, row.alternatives) == ("exact_crate", "My-Tool", False, [])
+    assert resolve.resolve(plain, "anything", explicit="SERDE").first().selected.match_reason == "explicit_crate"
+    with pytest.raises(LookupError):
+        resolve.resolve(plain, "x", explicit="absent")
+    with pytest.raises(ValueError):
+        resolve.resolve(plain, "  ")
+    with pytest.raises(ValueError):
+        resolve.resolve(plain, "https://u:p@github.com/a/b")
+    serde = captures(spark, [("serde-rs/serde", False)])
+    row = resolve.resolve(serde, "https://github.com/serde-rs/serde").first()
+    assert (row.resolution_method, row.selected, [c.name for c in row.alternatives]) == ("repository_metadata_ambiguous", None, ["serde", "serde_derive"])
+    assert all(c.score == 1.0 and c.match_reason == "repository_url" for c in row.alternatives)
+    boxes = captures(spark, [("o/boxes", False), ("p/boxes", True)])
+    row = resolve.resolve(boxes, "Boxes").first()
+    assert (row.resolution_method, row.selected.name, row.requires_selection) == ("repository_name_metadata", "hidden-name", False)
+    assert any("manifests" in note for note in row.diagnostics)
+    with pytest.raises(PermissionError):
+        resolve.resolve(boxes, "p/boxes")
+    cut = resolve.resolve(captures(spark, [("o/boxes", False)], total=50), "boxes").first()
+    assert cut.resolution_method == "ranked_suggestions" and len(cut.diagnostics) == 2 and cut.alternatives[0].name == "boxed"
+    taken = resolve.resolve(plain, "my-toll", accept_closest=True).first()
+    left = resolve.resolve(plain, "my-toll").first()
+    assert left.selected is None and left.requires_selection and left.resolution_method == "ranked_suggestions"
+    assert taken.selected is None or taken.resolution_method == "accepted_closest"
+
+
+def test_ranking_reasons_and_the_clear_winner(spark):
+    from provenio.operators.resolution import clear_winner, rank_candidates, top_candidates
+
+    rows = [("rust-thing", None, 5), ("thing", "https://github.com/a/thing", 1), ("thing-rs", None, 9), ("far", "https://github.com/b/thingy", 3)]
+    crates = spark.createDataFrame(rows, "name string, repository string, downloads long")
+    found = {r.name: (r.match_reason, r.score) for r in rank_candidates(crates, "thing-rs").collect()}
+    assert found["thing-rs"] == ("canonical_name", 1.0) and found["thing"] == ("repository_affix_normalization", 0.98)
+    assert found["far"][0] == "repository_name_similarity" and found["far"][1] < 0.97
+    same = {r.name: r.match_reason for r in rank_candidates(crates, "x", "B/Thingy").collect()}
+    assert same["far"] == "repository_url"
+    top = top_candidates(rank_candidates(crates, "thing-rs"), 3)
+    assert [r.name for r in top.orderBy("rank").collect()][:2] == ["thing-rs", "thing"]
+    assert clear_winner(top).first().selected is False
+    scores = spark.createDataFrame([("a", 1, 0.9), ("b", 2, 0.84)], "name string, rank int, score double")
+    assert clear_winner(scores).first().selected and not clear_winner(scores.filter("rank = 2").withColumn("rank", F.lit(1))).first().selected
