@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from provenio.llm.common import free_name, partitions_for, text_or_empty, written
 
 SPACE = "▁"
-SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 LETTER = re.compile(r"[^\W\d_]")
 #: A character that no piece covers costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
@@ -30,9 +29,9 @@ LONGEST_WORD = 48
 #: Up to so many characters a plain list of symbols is merged faster than a heap.
 SHORT_WORD = 40
 #: Words that a Python worker remembers besides; then it starts over.
-MEMORY = 250_000
+MEMORY = 200_000
 #: Distinct words that a task counts before it sends what it has.
-COUNTED = 400_000
+COUNTED = 200_000
 
 
 @dataclass
@@ -59,7 +58,7 @@ class PieceTable:
         return frozenset(piece[:k] for piece in self.pieces for k in range(1, len(piece) + 1))
 
     def word_pattern(self) -> re.Pattern:
-        """What parts a segment into words such that no piece reaches from one into the next.
+        """What parts a text into words such that no piece reaches from one into the next.
 
         A word is a stretch of letters or of other characters, with the space marks before it. Letters that some
         piece joins with a character of the other kind count as that kind; in the end no piece joins the two.
@@ -121,11 +120,6 @@ def piece_table(model_file: str) -> PieceTable:
     return PieceTable(pieces, byte_ids, output)
 
 
-def segments(text: str) -> list[str]:
-    """The stretches between the spaces of a text, with the spaces before them."""
-    return SEGMENT.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-
 # ---- the lattice
 
 
@@ -302,7 +296,7 @@ class WordCodes(dict):
     def __init__(self, dictionary: dict[str, bytes], table: PieceTable, room: int):
         super().__init__(dictionary)
         self.dictionary, self.table, self.most = dictionary, table, len(dictionary) + room
-        self.by_merging = table.by_merging
+        self.by_merging, self.split = table.by_merging, table.splitter()
         self.unknown, self.beginnings = table.unknown_score, frozenset() if self.by_merging else table.beginnings()
 
     def __missing__(self, word: str) -> bytes:
@@ -318,30 +312,9 @@ class WordCodes(dict):
             self[word] = ids
         return ids
 
-
-class SegmentCodes(dict):
-    """segment -> the packed ids of its words, so that words are parted once for each segment met; of bounded room."""
-
-    def __init__(self, words: WordCodes, room: int):
-        self.of_word, self.room = words.__getitem__, room
-        self.table = words.table
-        self.split = words.table.splits
-        self.parts = words.table.word_pattern().findall
-
-    def __missing__(self, segment: str) -> bytes:
-        found = b"".join(map(self.of_word, self.parts(segment) if self.split else [segment]))
-        if len(self) >= self.room:
-            self.clear()
-        if len(segment) <= LONGEST_WORD:
-            self[segment] = found
-        return found
-
     def text(self, text: str) -> tuple[bytes, bool]:
         """A text's packed piece ids, and whether decoding them gives it again."""
-        if not self.split:
-            found = self[SPACE + text.replace(" ", SPACE)] if text else b""
-        else:
-            found = b"".join(map(self.__getitem__, segments(text)))
+        found = b"".join(map(self.__getitem__, self.split(text)))
         return found, decoded_bytes(array("i", found), self.table) == text.encode()
 
 
@@ -350,26 +323,23 @@ class SegmentCodes(dict):
 
 def frequent_words(df: DataFrame, text_col: str, limit: int, table: PieceTable) -> DataFrame:
     """(word): the `limit` most frequent words of all texts, of up to LONGEST_WORD characters. Each task counts its
-    own words first; words that it meets once, most of all words and the least frequent, are not sent."""
+    own words first, COUNTED distinct ones at a time; those met once among them, most of all words and the least
+    frequent, are not sent."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, met = table.word_pattern().findall, Counter()
+        split, met = table.splitter(), Counter()
 
         def counted() -> pa.RecordBatch:
-            # the words of a segment are looked for once for each distinct segment
-            found: Counter = Counter()
-            for segment, n in met.items():
-                for word in parts(segment) if table.splits else [segment]:
-                    found[word] += n
-            kept = [(word, n) for word, n in found.items() if n > 1 and len(word) <= LONGEST_WORD]
+            kept = {word: n for word, n in met.items() if n > 1 and len(word) <= LONGEST_WORD}
             met.clear()
-            return pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in kept], pa.string()), "n": pa.array([n for _, n in kept], pa.int64())})
+            return pa.RecordBatch.from_pydict({"word": pa.array(kept.keys(), pa.string()), "n": pa.array(kept.values(), pa.int64())})
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                met.update(segments(text) if table.splits else [SPACE + text.replace(" ", SPACE)] if text else [])
-            if len(met) >= COUNTED:
-                yield counted()
+            for k in range(0, len(batch), 200):
+                for text in batch.column(0).slice(k, 200).to_pylist():
+                    met.update(split(text))
+                if len(met) >= COUNTED:
+                    yield counted()
         yield counted()
 
     counted = df.select(text_or_empty(text_col).alias("t")).mapInArrow(count, "word string, n long")
@@ -402,10 +372,10 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", dictionary_wo
     dictionary = spark.sparkContext.broadcast({r["word"]: array("i", r["ids"]).tobytes() for r in encoded.toLocalIterator()})
 
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codes = SegmentCodes(WordCodes(dictionary.value, table, MEMORY), MEMORY)
+        codes = WordCodes(dictionary.value, table, MEMORY)
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                found = [codes.text(text) for text in batch.slice(k, 500).to_pylist()]
+            for k in range(0, len(batch), 200):
+                found = [codes.text(text) for text in batch.slice(k, 200).to_pylist()]
                 stops = np.cumsum([0, *[len(ids) // 4 for ids, _ in found]])
                 values = np.frombuffer(b"".join([ids for ids, _ in found]), np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(values))

@@ -94,12 +94,12 @@ def test_ids_are_the_librarys(spark):
 def test_words_part_only_where_no_piece_joins():
     import sentencepiece
 
-    from provenio.llm.piece_lattice import SegmentCodes, WordCodes
+    from provenio.llm.piece_lattice import WordCodes
 
     library, table = sentencepiece.SentencePieceProcessor(model_file=MODEL), piece_table(MODEL)
     rng, pool = random.Random(12), "aeinrtsé日カ²½١9_.,;:()!'\"{}=*-/\r\n\t▁ \u0301\u200d😀ßÇ"
     assert table.splits and table.word_pattern().findall("▁▁Mr.\nSmith2²") == ["▁▁Mr", ".\n", "Smith", "2²"]
-    codes = SegmentCodes(WordCodes({}, table, 50), 50)
+    codes = WordCodes({}, table, 50)
     for _ in range(3000):
         text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 24)))
         ids, same = codes.text(text)
