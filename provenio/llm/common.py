@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,3 +120,12 @@ def free_prefix(df: DataFrame) -> str:
     while any(c.startswith(prefix) for c in df.columns):
         prefix += "_"
     return prefix
+
+
+def give_back() -> None:
+    """At the end of a Python task: hand unused memory of Arrow and of the C library back to the system, as the
+    worker lives on and would keep it beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenio.llm.common import discard, partitions_for, written
+from provenio.llm.common import discard, give_back, partitions_for, written
 from provenio.llm.components import connected_components
 
 #: Each partition of the domain is cut into so many parts, of which every subset but one part is a signature.
@@ -226,6 +226,7 @@ def supported_documents(df: DataFrame, id_col: str, text_col: str, width: int, p
         task = TaskContext.get().partitionId()
         for k, (ids, sets) in enumerate(_chunks(batches, width)):
             yield pd.DataFrame(_dealt((task << 24) + k, ids, sets, bits, buckets))
+        give_back()
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         about = rows[["chunk", "ids", "ns", "held", "f1", "f2"]]
@@ -240,6 +241,7 @@ def supported_documents(df: DataFrame, id_col: str, text_col: str, width: int, p
             if places is not None:
                 held[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.int32)
         n = np.array(about["ns"], np.int64)
+        give_back()
         chance = (n > 0) & (100 * held >= percent * n)
         return pd.DataFrame({"id": list(about["ids"]), "n": n, "f1": about["f1"], "f2": about["f2"], "chance": chance})
 
@@ -281,6 +283,7 @@ def node_sets(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, width
                         "sigs": [scheme.signatures(s).view(np.int64) for s in sets],
                     }
                 )
+        give_back()
 
     return texts.mapInPandas(sign, f"node {kind}, n long, hs array<long>, bits array<long>, sigs array<long>").filter("n > 0")
 

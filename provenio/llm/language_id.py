@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenio.llm.common import free_prefix, text_or_empty
+from provenio.llm.common import free_prefix, give_back, text_or_empty
 
 UNDETERMINED = "und"
 #: Bytes that the network reads from a zero state; texts are read as so many such stretches as they need.
@@ -291,6 +291,7 @@ def detect_language(
                 names += [network.labels[c] for c in best]
                 scores += found[np.arange(len(best)), best].tolist()
             yield pd.DataFrame({"lang_pred": names, "score": np.clip(scores, 0.0, 1.0)})
+        give_back()
 
     judge.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     if network is None:

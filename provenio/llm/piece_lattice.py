@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenio.llm.common import free_name, partitions_for, text_or_empty, written
+from provenio.llm.common import free_name, give_back, partitions_for, text_or_empty, written
 
 SPACE = "▁"
 LETTER = re.compile(r"[^\W\d_]")
@@ -29,9 +29,9 @@ LONGEST_WORD = 48
 #: Up to so many characters a plain list of symbols is merged faster than a heap.
 SHORT_WORD = 40
 #: Words that a Python worker remembers besides; then it starts over.
-MEMORY = 200_000
+MEMORY = 100_000
 #: Distinct words that a task counts before it sends what it has.
-COUNTED = 200_000
+COUNTED = 150_000
 
 
 @dataclass
@@ -341,6 +341,7 @@ def frequent_words(df: DataFrame, text_col: str, limit: int, table: PieceTable)
                 if len(met) >= COUNTED:
                     yield counted()
         yield counted()
+        give_back()
 
     counted = df.select(text_or_empty(text_col).alias("t")).mapInArrow(count, "word string, n long")
     summed = counted.groupBy("word").agg(F.sum("n").alias("n"))
@@ -381,6 +382,8 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", dictionary_wo
                 lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(values))
                 columns = [lists, pa.array(np.diff(stops)), pa.array([same for _, same in found], pa.bool_())]
                 yield pa.StructArray.from_arrays(columns, names=added)
+        del codes
+        give_back()
 
     ids_of.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     udf = F.arrow_udf(ids_of, "piece_ids array<int>, n_pieces long, round_trip boolean")
