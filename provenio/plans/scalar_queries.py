@@ -219,8 +219,8 @@ def requirement_accepts(spark, sf_dir):
     return found.select("requirement", "version", "e.accepts", "e.exact_pin", F.col("e.error").isNotNull().alias("failed"))
 
 
-_CELL = """CASE doc_id % 5 WHEN 0 THEN '=' || left(text, 20) WHEN 1 THEN '＠' || left(text, 20)
-    WHEN 2 THEN left(text, 20) || '|`' WHEN 3 THEN chr(9) || left(text, 20) ELSE left(text, 20) END"""
+_CELL = """CASE doc_id % 5 WHEN 0 THEN '=' || text WHEN 1 THEN '＠' || text
+    WHEN 2 THEN text || '|`' WHEN 3 THEN chr(9) || text ELSE text END"""
 
 
 @register(
