@@ -20,15 +20,19 @@ def strict_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     Two right rows with one key that a left row has, or a left row without partner, are an error.
     """
     # one row a key, with its values in a struct: the right side is planned and shuffled once
+    own = "_"
+    while any(c.startswith(own) for c in [*left.columns, *right.columns]):
+        own += "_"
+    key, n, row = f"{own}key", f"{own}n", f"{own}right"
     values = [c for c in right.columns if c != right_key]
-    per_key = right.filter(F.col(right_key).isNotNull()).groupBy(F.col(right_key).alias("_key")).agg(
-        F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(F.lit(True).alias("_there"), *values)).alias("_right")
+    per_key = right.filter(F.col(right_key).isNotNull()).groupBy(F.col(right_key).alias(key)).agg(
+        F.count(F.lit(1)).alias(n), F.any_value(F.struct(F.lit(True).alias(f"{own}there"), *values)).alias(row)
     )
-    joined = left.join(per_key, F.col(left_key) == F.col("_key"), "left")
+    joined = left.join(per_key, F.col(left_key) == F.col(key), "left")
     asked = F.coalesce(F.col(left_key).cast("string"), F.lit("null"))
-    once = guard(joined, F.coalesce(F.col("_n"), F.lit(1)) > 1, F.concat(F.lit(f"more than one {right_key} "), asked))
-    found = guard(once, F.col("_n").isNull(), F.concat(F.lit(f"no {right_key} for {left_key} "), asked))
-    return found.select(*left.columns, *[F.col("_key").alias(c) if c == right_key else F.col(f"_right.{c}").alias(c) for c in right.columns])
+    once = guard(joined, F.coalesce(F.col(n), F.lit(1)) > 1, F.concat(F.lit(f"more than one {right_key} "), asked))
+    found = guard(once, F.col(n).isNull(), F.concat(F.lit(f"no {right_key} for {left_key} "), asked))
+    return found.select(*left.columns, *[F.col(key).alias(c) if c == right_key else F.col(f"{row}.{c}").alias(c) for c in right.columns])
 
 
 def enrich(left: DataFrame, right: DataFrame, on: list[str], fallbacks: dict[str, Column], error: Column) -> DataFrame:

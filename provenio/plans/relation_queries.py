@@ -395,7 +395,8 @@ def repository_disposition(spark, sf_dir):
     SELECT l_orderkey, count(*) FILTER (l_partkey % 5 = 0) AS occurrences, count(*) FILTER (l_partkey % 5 = 0 AND l_linenumber = 2) AS exact,
            count(*) FILTER (l_partkey % 5 = 0 AND l_returnflag = 'N') AS registry,
            count(*) FILTER (l_partkey % 5 = 0 AND l_linenumber = 2 AND l_returnflag = 'N') AS exact_registry,
-           coalesce(string_agg(DISTINCT CASE WHEN l_partkey % 5 = 0 THEN l_linenumber || '.0.0' END, '|' ORDER BY CASE WHEN l_partkey % 5 = 0 THEN l_linenumber || '.0.0' END), '') AS versions
+           coalesce(string_agg(DISTINCT CASE WHEN l_partkey % 5 = 0 THEN l_linenumber || '.0.0' END, '|' ORDER BY CASE WHEN l_partkey % 5 = 0 THEN l_linenumber || '.0.0' END), '') AS versions,
+           coalesce(string_agg(CASE WHEN l_partkey % 5 = 0 THEN l_linenumber || '.0.0@' || l_returnflag END, '|' ORDER BY l_linenumber || '.0.0', l_returnflag), '') AS sources
     FROM lineitem GROUP BY l_orderkey
     """,
 )
@@ -407,4 +408,5 @@ def resolved_counts(spark, sf_dir):
         F.col("l_returnflag").alias("source"),
     )
     found = aggregates.resolved_counts(packages, "l_orderkey", "p0", "2.0.0", "N")
-    return found.withColumn("versions", F.array_join("versions", "|"))
+    cells = F.transform("sources", lambda s: F.concat_ws("@", s["version"], s["source"]))
+    return found.withColumn("versions", F.array_join("versions", "|")).withColumn("sources", F.array_join(cells, "|"))

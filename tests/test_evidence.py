@@ -20,6 +20,9 @@ def test_strict_join_does_not_lose_rows(spark):
         joins.strict_join(left, one.limit(0), "key", "k").count()
     with pytest.raises(Exception, match="more than one k"):
         joins.strict_join(left, one.unionByName(one), "key", "k").count()
+    named = left.select("id", F.col("key").alias("_key"))
+    found = joins.strict_join(named, one.select(F.col("k").alias("_n"), F.col("v").alias("_there")), "_key", "_n")
+    assert found.columns == ["id", "_key", "_n", "_there"] and sorted(map(tuple, found.collect())) == [(1, 10, 10, "x"), (2, 10, 10, "x")]
 
 
 def relation(spark, edges, nodes, targets):
