@@ -257,3 +257,32 @@ def test_ranking_reasons_and_the_clear_winner(spark):
     assert clear_winner(top).first().selected is False
     scores = spark.createDataFrame([("a", 1, 0.9), ("b", 2, 0.84)], "name string, rank int, score double")
     assert clear_winner(scores).first().selected and not clear_winner(scores.filter("rank = 2").withColumn("rank", F.lit(1))).first().selected
+
+
+def test_index_fallback_and_first_rows(spark):
+    candidates = spark.createDataFrame([("a", "1.0.0", 0), ("b", "1.0.0", 1), ("c", "1.0.0", 2)], "name string, version string, position int")
+    declared = spark.createDataFrame(
+        [("a", "1.0.0", [("x", "^1")], None), ("b", "1.0.0", None, "no such release")],
+        "name string, version string, declarations array<struct<alias: string, requirement: string>>, error string",
+    )
+    spare = F.struct(F.lit("x").alias("alias"), F.lit("*").alias("requirement"))
+    found = {r.name: r for r in index.with_fallback(candidates, declared, ["name", "version"], spare).collect()}
+    assert {k: r.enrichment_error for k, r in found.items()} == {"a": None, "b": "no such release", "c": "no index file"}
+    assert {k: [tuple(d) for d in r.declarations] for k, r in found.items()} == {"a": [("x", "^1")], "b": [("x", "*")], "c": [("x", "*")]}
+
+    pages = spark.createDataFrame([(0, 2, 0, 7), (0, 1, 0, 7), (0, 1, 1, 8), (0, 1, 2, 9), (1, 1, 0, 7)], "scope int, page int, position int, version_id int")
+    first = index.first_rows(pages, ["scope"])
+    assert sorted(map(tuple, first.collect())) == [(0, 1, 0, 7), (0, 1, 1, 8), (0, 1, 2, 9), (1, 1, 0, 7)]
+    assert {r.version_id for r in index.first_rows(pages.filter("scope = 0"), ["scope"], 2).collect()} == {7, 8}
+    assert index.first_rows(pages.limit(0), ["scope"]).count() == 0
+
+
+def test_next_page_and_excerpts(spark):
+    from provenio.functions.text import excerpt
+    from provenio.operators.selection import has_next_page
+
+    pages = spark.createDataFrame([(100, 100, 250), (100, 250, 250), (50, 250, 300)], "n int, seen int, total int")
+    more = pages.select("seen", "n", has_next_page(F.col("n"), F.col("seen"), F.col("total"), 100).alias("more"))
+    assert [r.more for r in more.collect()] == [True, False, False]
+    texts = spark.createDataFrame([("short",), ("x" * 513,), ("é" * 512,), (None,)], "t string")
+    assert [r[0] for r in texts.select(excerpt(F.col("t"))).collect()] == ["short", "x" * 512 + "…", "é" * 512, None]
