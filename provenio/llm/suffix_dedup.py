@@ -21,8 +21,9 @@ COVER = (0, 1, 2, 3, 7, 11, 19)
 PIECE = 1 << 20
 #: Pieces are gathered up to so many bytes, and runs that such a block has twice are sent once.
 BLOCK = 2 << 20
-#: Bytes of runs in a bucket, on average, if their number follows the input.
+#: Bytes of runs in a bucket, on average, if their number follows the input; one with more than the limit is split.
 BUCKET_BYTES = 4 << 20
+BUCKET_LIMIT = 8 * BUCKET_BYTES
 LAST_ID = np.iinfo(np.int64).max
 
 _FACTOR = 0x5851F42D4C957F2D
@@ -83,33 +84,29 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(found[: len(found) - rest], found[rest:]) if rest else found
 
 
-def _runs(data: np.ndarray, starts_ok: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Rolling, np.ndarray, np.ndarray]:
-    """(first start, number of starts, hash of the gram) of the runs of windows with one least gram, the hashes, all grams and the least."""
-    rolling = Rolling(data)
-    grams = rolling.windows(GRAM)
-    least = window_minima(grams, length - GRAM + 1)
-    least = least[: len(starts_ok)]
+def _runs(grams: np.ndarray, starts_ok: np.ndarray, width: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, number of starts, least gram) of the runs of windows with one least gram of `width` bytes."""
+    least = window_minima(grams, length - width + 1)[: len(starts_ok)]
     edge = np.ones(len(least), bool)
     edge[1:] = (least[1:] != least[:-1]) | (starts_ok[1:] != starts_ok[:-1])
     first = np.flatnonzero(edge)
     count = np.diff(first, append=len(least))
     ok = starts_ok[first]
-    return first[ok], count[ok], mixed(least[first[ok]] ^ np.uint64(length)), rolling, grams, least[first[ok]]
+    return first[ok], count[ok], least[first[ok]]
 
 
-def _may_hold_gram_twice(grams: np.ndarray, first: np.ndarray, count: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
+def _may_hold_gram_twice(grams: np.ndarray, first: np.ndarray, count: np.ndarray, least: np.ndarray, places: int) -> np.ndarray:
     """False for a run that surely has its least gram at one place only: no window of it is there twice then.
 
-    Long runs have it twice; of the others the gram's places are counted by 16 bits of the hash, over the longest
-    stretch that such a run has, so that a few more than those that have it twice are True.
+    places: of grams in a window. Long runs have it twice; of the others the gram's places are counted by 16 bits of
+    the hash, over the longest stretch that such a run has, so that a few more than those that have it twice are True.
     """
-    width = length - GRAM + 1
-    reach = 2 * width - 1
+    reach = 2 * places - 1
     tags = np.zeros(len(grams) + reach, np.uint16)
     tags[: len(grams)] = grams.astype(np.uint16)
     windows = np.lib.stride_tricks.sliding_window_view(tags, reach)
     own = least.astype(np.uint16)[:, None]
-    found = count > width
+    found = count > places
     for k in range(0, len(first), 1 << 14):
         hits = np.flatnonzero(windows[first[k : k + (1 << 14)]] == own[k : k + (1 << 14)]) // reach
         found[k : k + (1 << 14)] |= np.bincount(hits, minlength=min(1 << 14, len(first) - k)) > 1
@@ -143,53 +140,106 @@ def _packed(bucket: int, docs: np.ndarray, starts: np.ndarray, counts: np.ndarra
     return row | {"grams": None if grams is None else order(grams, np.uint64), "twice": None if twice is None else order(twice, bool), "body": body}
 
 
-def deal_runs(block: list[tuple[int, int, bytes]], length: int, buckets: int, turn: int, turns: int) -> list[dict]:
-    """The runs of a block of pieces whose bucket is dealt in this turn, a row for each bucket.
+def gram_widths(length: int) -> list[int]:
+    """The widths of the grams that name a window's bucket, level by level: the last is the whole window."""
+    return [width for width in (GRAM, 2 * GRAM) if width < length] + [length]
+
+
+class Block:
+    """The windows of a block of pieces, and the runs of them that go to one bucket.
+
+    At the first level a window's bucket is named by its least gram of GRAM bytes. Windows of a bucket that is over
+    its limit (hot: the numbers of such buckets by level, ascending) are named anew by wider grams, in the end by all
+    their bytes. Equal windows have equal names at each level, so they meet wherever they go.
+    """
+
+    def __init__(self, block: list[tuple[int, int, bytes]], length: int, buckets: int, hot: list[np.ndarray]):
+        self.pieces = sorted(block, key=lambda x: x[:2])
+        self.length, self.buckets, self.hot = length, buckets, hot
+        self.whole = b"".join(x[2] for x in self.pieces)
+        self.data = np.frombuffer(self.whole, np.uint8)
+        self.base = np.concatenate([[0], np.cumsum([len(x[2]) for x in self.pieces])])
+        self.rolling = Rolling(self.data)
+
+    def levels(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(places of grams in a window, first starts, counts, least grams, buckets, all grams) of each level."""
+        ok = np.ones(len(self.data) - self.length + 1, bool)
+        for stop in self.base[1:-1]:
+            ok[stop - self.length + 1 : stop] = False
+        for level, width in enumerate(gram_widths(self.length)):
+            grams = self.rolling.windows(width)
+            first, count, least = _runs(grams, ok, width, self.length)
+            bucket = level * self.buckets + (self.named(least) % np.uint64(self.buckets)).astype(np.int64)
+            split = np.isin(bucket, self.hot[level]) if level < len(self.hot) else np.zeros(len(first), bool)
+            stays = ~split
+            yield self.length - width + 1, first[stays], count[stays], least[stays], bucket[stays], grams
+            if not split.any():
+                return
+            change = np.zeros(len(ok) + 1, np.int64)
+            change[first[split]] += 1
+            change[first[split] + count[split]] -= 1
+            ok = np.cumsum(change[:-1]) > 0
+
+    def named(self, least: np.ndarray) -> np.ndarray:
+        return mixed(least ^ np.uint64(self.length))
+
+    def places(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, starts in the document) of some starts."""
+        of = np.searchsorted(self.base, first, side="right") - 1
+        docs = np.array([x[0] for x in self.pieces], np.int64)[of]
+        return docs, first - self.base[of] + np.array([x[1] for x in self.pieces], np.int64)[of]
+
+    def again(self, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Whether the very bytes of a run are those of an earlier run of the block."""
+        prints = self.rolling.spans(first, first + count + self.length - 1) ^ mixed(count.astype(np.uint64))
+        order = np.argsort(prints, kind="stable")
+        again = np.zeros(len(first), bool)
+        cut = lambda r: self.whole[first[r] : first[r] + count[r] + self.length - 1]
+        leader = None
+        # equal prints: the earliest stays, those with the very same bytes are repeats of it
+        for k in np.flatnonzero(prints[order][1:] == prints[order][:-1]) + 1:
+            one, two = order[k - 1], order[k]
+            if leader is None or prints[leader] != prints[one]:
+                leader = one
+            again[two] = count[leader] == count[two] and cut(leader) == cut(two)
+        return again
+
+    def sizes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets, bytes that the block sends them) of the first level whose hot buckets are not known yet."""
+        for level, (_, first, count, _, bucket, _) in enumerate(self.levels()):
+            if level == len(self.hot):
+                left = ~self.again(first, count)
+                found, which = np.unique(bucket[left], return_inverse=True)
+                return found, np.bincount(which, count[left] + self.length - 1, len(found)).astype(np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+
+
+def deal_runs(block: Block, turn: int, turns: int) -> list[dict]:
+    """The runs of a block whose bucket is dealt in this turn, a row for each bucket.
 
     A run that the block has more than once goes out once, for its earliest place; the starts of its other
-    places are repeats already and go out as such (bucket -1). So a passage that is in every document is sent
+    places are repeats already and go out as such (bucket below 0). So a passage that is in every document is sent
     once a block, not once a document.
     """
-    block.sort(key=lambda x: x[:2])
-    data = np.frombuffer(b"".join(x[2] for x in block), np.uint8)
-    sizes = np.array([len(x[2]) for x in block])
-    base = np.concatenate([[0], np.cumsum(sizes)])
-    ok = np.ones(len(data) - length + 1, bool)
-    for stop in base[1:-1]:
-        ok[stop - length + 1 : stop] = False
-    first, count, named, rolling, grams, least = _runs(data, ok, length)
-    bucket = (named % np.uint64(buckets)).astype(np.int64)
-    mine = bucket % turns == turn
-    first, count, bucket, named = first[mine], count[mine], bucket[mine], named[mine]
-    if not len(first):
-        return []
-    twice = _may_hold_gram_twice(grams, first, count, least[mine], length)
-    of = np.searchsorted(base, first, side="right") - 1
-    docs = np.array([x[0] for x in block], np.int64)[of]
-    starts = first - base[of] + np.array([x[1] for x in block], np.int64)[of]
-    prints = rolling.spans(first, first + count + length - 1) ^ mixed(count.astype(np.uint64))
-    order = np.argsort(prints, kind="stable")
-    again = np.zeros(len(first), bool)
-    whole = data.tobytes()
-    # equal prints: the earliest stays, those with the very same bytes are repeats of it
-    same = np.flatnonzero(prints[order][1:] == prints[order][:-1]) + 1
-    leader = None
-    for k in same:
-        one, two = order[k - 1], order[k]
-        if leader is None or prints[leader] != prints[one]:
-            leader = one
-        cut = lambda r: whole[first[r] : first[r] + count[r] + length - 1]
-        again[two] = count[leader] == count[two] and cut(leader) == cut(two)
     rows = []
-    if again.any():
-        rows.append(_packed(-1 - int(docs[0] % buckets), docs[again], starts[again], count[again]))
-    left = np.flatnonzero(~again)
-    left = left[np.argsort(bucket[left], kind="stable")]
-    cuts = np.flatnonzero(np.diff(bucket[left], prepend=-1))
-    for a, b in zip(cuts, np.append(cuts[1:], len(left))):
-        part = left[a:b]
-        body = b"".join([whole[f : f + c + length - 1] for f, c in zip(first[part].tolist(), count[part].tolist())])
-        rows.append(_packed(int(bucket[part[0]]), docs[part], starts[part], count[part], named[part], twice[part], body))
+    for places, first, count, least, bucket, grams in block.levels():
+        mine = bucket % turns == turn
+        first, count, least, bucket = first[mine], count[mine], least[mine], bucket[mine]
+        if not len(first):
+            continue
+        named = block.named(least)
+        twice = _may_hold_gram_twice(grams, first, count, least, places)
+        docs, starts = block.places(first)
+        again = block.again(first, count)
+        if again.any():
+            rows.append(_packed(-1 - int(docs[0] % block.buckets), docs[again], starts[again], count[again]))
+        left = np.flatnonzero(~again)
+        left = left[np.argsort(bucket[left], kind="stable")]
+        cuts = np.flatnonzero(np.diff(bucket[left], prepend=-1))
+        for a, b in zip(cuts, np.append(cuts[1:], len(left))):
+            part = left[a:b]
+            body = b"".join([block.whole[f : f + c + block.length - 1] for f, c in zip(first[part].tolist(), count[part].tolist())])
+            rows.append(_packed(int(bucket[part[0]]), docs[part], starts[part], count[part], named[part], twice[part], body))
     return rows
 
 
@@ -332,19 +382,42 @@ RUNS = "bucket long, docs binary, starts binary, counts binary, grams binary, tw
 FOUND = "docs binary, starts binary, counts binary"
 
 
-def repeated_starts(df: DataFrame, length: int, buckets: int, turns: int) -> DataFrame:
+def hot_buckets(df: DataFrame, length: int, buckets: int, limit: int) -> list[np.ndarray]:
+    """By level, the buckets that would get more than `limit` bytes of runs and are split for it; df: (i, t).
+
+    Blocks send sums by bucket, which are combined where they are made. What comes back is a number for each `limit`
+    bytes of runs at most. As a rule no bucket is over, and one look is all.
+    """
+    hot: list[np.ndarray] = []
+    while len(hot) < len(gram_widths(length)) - 1:
+
+        def sizes(batches: Iterator[pd.DataFrame], hot=tuple(hot)) -> Iterator[pd.DataFrame]:
+            for block in _blocks(batches, length):
+                found, size = Block(block, length, buckets, list(hot)).sizes()
+                yield pd.DataFrame({"bucket": found, "size": size})
+
+        summed = df.mapInPandas(sizes, "bucket long, size long").groupBy("bucket").agg(F.sum("size").alias("size"))
+        over = [row["bucket"] for row in summed.filter(F.col("size") > limit).select("bucket").toLocalIterator()]
+        if not over:
+            break
+        hot.append(np.sort(np.array(over, np.int64)))
+    return hot
+
+
+def repeated_starts(df: DataFrame, length: int, buckets: int, turns: int, limit: int) -> DataFrame:
     """(id, at, n): intervals of starts whose window of `length` bytes also starts earlier; df: (i, t), no nulls.
 
     Each turn deals one share of the buckets: it ships the runs of these alone, sorts bucket by bucket, and its
-    shuffle files are dropped before the next. A bucket is one group of one task, BUCKET_BYTES on average.
+    shuffle files are dropped before the next. A bucket is one group of one task, BUCKET_BYTES on average; those
+    over the limit are split by wider grams.
     """
-    spark = df.sparkSession
+    hot = hot_buckets(df, length, buckets, limit)
     found = None
     for turn in range(turns):
 
         def deal(batches: Iterator[pd.DataFrame], turn=turn) -> Iterator[pd.DataFrame]:
             for block in _blocks(batches, length):
-                rows = deal_runs(block, length, buckets, turn, turns)
+                rows = deal_runs(Block(block, length, buckets, hot), turn, turns)
                 if rows:
                     yield pd.DataFrame(rows)
 
@@ -397,6 +470,7 @@ def suffix_dedup(
     turns: int = 2,
     buckets: int | None = None,
     with_text: bool = True,
+    bucket_limit: int = BUCKET_LIMIT,
 ) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept_text) for each row of df.
 
@@ -406,8 +480,10 @@ def suffix_dedup(
     without with_text).
 
     Windows are dealt to buckets by the least hash of the grams they hold, so that equal windows meet and
-    neighbours travel together as bytes, some four bytes for each of the text; each bucket is sorted by itself, with
-    long ties resolved by the ranks of a difference cover's sample. Intervals of removed starts, not positions, come
+    neighbours travel together as bytes, some four bytes for each of the text. Buckets that would get more than
+    bucket_limit bytes, as a gram with very many different surroundings makes them, are counted first and their
+    windows dealt by wider grams, in the end by all their bytes. Each bucket is sorted by itself, with long ties
+    resolved by the ranks of a difference cover's sample. Intervals of removed starts, not positions, come
     back and are joined to their documents.
 
     Edge cases: no rows give no rows; null and empty texts have nothing to remove; texts of any length are read in
@@ -422,7 +498,7 @@ def suffix_dedup(
         total = whole.agg(F.sum(F.octet_length("t"))).first()[0] or 0
         buckets = max(8, 1 + 4 * total // BUCKET_BYTES)
     judged = whole.select("i", "t") if "again" not in whole.columns else whole.select("i", "t").dropDuplicates(["i"])
-    starts = repeated_starts(judged.filter(F.octet_length("t") >= length), length, buckets, turns)
+    starts = repeated_starts(judged.filter(F.octet_length("t") >= length), length, buckets, turns, bucket_limit)
     of_doc = written(
         starts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("hits")), "repeats-of-doc"
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from provenio.llm.components import connected_components
 from provenio.llm.jaccard_join import one_of_each_group, part_enum, similarity_groups
-from provenio.llm.suffix_dedup import suffix_dedup
+from provenio.llm.suffix_dedup import Block, _blocks, deal_runs, hot_buckets, suffix_dedup
 
 
 def feature_set(text, width):
@@ -135,14 +135,41 @@ def test_suffix_dedup(spark):
     rows += [(-5, ""), (99, None), (None, "x" * 300), (70, "y" * 99), (71, "y" * 100), (72, "y" * 101), (73, "".join(rng.choice("abc") for _ in range(5000)))]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_bytes string").repartition(3)
     wanted = brute_suffixes(rows, 100)
-    for turns in (1, 3):
-        found = suffix_dedup(df, turns=turns, buckets=16).collect()
+    # with a limit of 300 bytes nearly all buckets are split twice, with 3,000 some
+    for turns, limit in ((1, 1 << 20), (3, 300), (2, 3000)):
+        found = suffix_dedup(df, turns=turns, buckets=16, bucket_limit=limit).collect()
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == wanted
     for r in found:
         assert sum(s["bytes"] for s in r.spans) == r.n_removed
     assert suffix_dedup(df.limit(0)).count() == 0
 
 
+def test_a_gram_with_many_surroundings_is_split(spark):
+    """Passages of 40 and of 80 bytes in 600 texts each: no bucket of the dealt runs holds them all."""
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    short, long = noise(40), noise(80)
+    rows = [(k, noise(200) + (short if k % 2 else long) + noise(200)) for k in range(1200)]
+    rows += [(2000 + k, rows[k][1][50:350]) for k in range(40)]
+    limit, buckets = 40_000, 256
+    df = spark.createDataFrame(rows, "i long, t string").repartition(4).cache()
+    hot = hot_buckets(df, 100, buckets, limit)
+    assert len(hot) == 2 and all(len(level) for level in hot)
+
+    def most(hot):
+        sizes = {}
+        for block in _blocks([df.toPandas()], 100):
+            for row in deal_runs(Block(block, 100, buckets, hot), 0, 1):
+                if row["bucket"] >= 0:
+                    sizes[row["bucket"]] = sizes.get(row["bucket"], 0) + len(row["body"])
+        return max(sizes.values())
+
+    # 256 buckets are some 10,000 bytes each beside what is hot
+    assert most(hot) < most([]) / 2
+    found = suffix_dedup(df, id_col="i", text_col="t", buckets=buckets, bucket_limit=limit).collect()
+    assert {r.i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == brute_suffixes(rows, 100)
+
+
 def test_suffixes_of_repeated_and_of_text_ids(spark):
     t, other = "q" * 40 + "abcdefghij" * 26, "z" * 20 + "abcdefghij" * 26
     rows = [(5, t), (5, t), (5, other), (9, t), (None, "k" * 150), (None, "k" * 150), (None, "l" * 150)]
