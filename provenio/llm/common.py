@@ -17,8 +17,8 @@ WHITE_CLASS = "[\\x20\\x09-\\x0D]"
 WORD_CLASS = "[^\\x20\\x09-\\x0D]"
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Arrow batches of texts and feature sets: a Python worker holds one at a time.
-SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Arrow batches of texts and feature sets: a Python worker holds one at a time, and the pools of the JVM keep a few of each size.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
