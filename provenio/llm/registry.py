@@ -12,13 +12,16 @@ from provenio.llm.archives import pages_through_archives
 from provenio.llm.bpe_counts import token_counts
 from provenio.llm.common import scratch_path
 from provenio.llm.exact_dedup import exact_dedup
+from provenio.llm.filter_audit import filter_audit
 from provenio.llm.jaccard_join import similarity_groups
 from provenio.llm.language_id import detect_language
 from provenio.llm.mixing import mix_sources
+from provenio.llm.periodic_runs import periodic_runs
 from provenio.llm.piece_lattice import encode
 from provenio.llm.quality_rules import quality_rules
 from provenio.llm.sharding import shard_by_key
 from provenio.llm.suffix_dedup import suffix_dedup
+from provenio.llm.toxicity import score_toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +88,35 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return score_toxicity(_documents(spark, sf_dir).select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(_documents(spark, sf_dir).select("doc_id", "text"), plant=True)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("back"), (-r["period"]).alias("short"), r["start"], r["period"])))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select("doc_id", "runs", "collapsed", best.alias("best")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
+    audited = filter_audit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return audited.select(
+        "part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -97,6 +129,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_language_id": op10_language_id,
+        "op11_toxicity": op11_toxicity,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 

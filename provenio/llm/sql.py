@@ -102,9 +102,57 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source
 """
 
+OP13 = """
+WITH texts AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents
+), marks AS (
+    SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id
+), judged AS (
+    SELECT t.part, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic,
+           [len(w) < 50,
+            100 * len(list_distinct(w)) < 65 * len(w),
+            100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text),
+            regexp_matches(text, '[#$%&*|]'),
+            coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY t.text), false)] AS fails
+    FROM texts t LEFT JOIN marks m ON t.doc_id = m.doc_id
+), profiles AS (
+    SELECT part, fails, count(*) AS docs, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY ALL
+), letters AS (
+    SELECT unnest(range(1, 6)) AS f
+), orders AS (
+    SELECT [a.f, b.f, c.f, d.f, e.f] AS places,
+           substr('ABCDE', a.f, 1) || substr('ABCDE', b.f, 1) || substr('ABCDE', c.f, 1) || substr('ABCDE', d.f, 1) || substr('ABCDE', e.f, 1) AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+    SELECT filter_order, places, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM orders
+), seen AS (
+    SELECT part, filter_order, step, places[step] AS f, docs, good, toxic,
+           fails[places[step]] AS fails_now,
+           list_bool_or(list_transform(places[1:step - 1], lambda x: fails[x])) IS TRUE AS gone,
+           len(list_filter(fails, lambda x: x)) = 1 AS once
+    FROM profiles, steps
+), counted AS (
+    SELECT part, filter_order, step, f,
+           CAST(coalesce(sum(docs) FILTER (NOT gone AND NOT fails_now), 0) AS BIGINT) AS kept,
+           CAST(coalesce(sum(docs) FILTER (NOT gone AND fails_now), 0) AS BIGINT) AS removed,
+           CAST(coalesce(sum(docs) FILTER (gone AND fails_now), 0) AS BIGINT) AS redundant,
+           CAST(coalesce(sum(docs) FILTER (fails_now AND once), 0) AS BIGINT) AS unique_fails,
+           CAST(coalesce(sum(good) FILTER (NOT gone AND fails_now), 0) AS BIGINT) AS good_lost,
+           CAST(coalesce(sum(toxic) FILTER (NOT gone AND fails_now), 0) AS BIGINT) AS toxic_lost
+    FROM seen GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
 ORACLES = {
     "op3_exact_dedup": OP3,
     "op4_warc": OP4,
     "op5_mix_sources": OP5,
     "op9_quality_rules": OP9,
+    "op13_filter_audit": OP13,
 }
