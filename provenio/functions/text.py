@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,13 +106,13 @@ def _jaro(a: str, b: str) -> float:
     if not mine:
         return 0.0
     other = [c for c, u in zip(b, used) if u]
-    swaps = sum(x != y for x, y in zip(mine, other)) / 2
+    swaps = sum(x != y for x, y in zip(mine, other)) // 2
     m = len(mine)
     return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
 
 
 def jaro_winkler_text(a: str, b: str) -> float:
-    """Jaro-Winkler similarity: a common prefix of up to four characters adds to a Jaro similarity over 0.7."""
+    """Jaro-Winkler similarity of two texts on the driver: a common prefix of up to four characters adds to a Jaro similarity over 0.7."""
     base = _jaro(a, b)
     if base <= 0.7:
         return base
@@ -125,11 +124,60 @@ def jaro_winkler_text(a: str, b: str) -> float:
     return base + prefix * 0.1 * (1 - base)
 
 
-def _similarities(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_winkler_text(x, y) for x, y in zip(a, b)], dtype="float64")
+def _bound(value: Column, body) -> Column:
+    """body(v) with v evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def jaro(a: Column, b: Column) -> Column:
+    """Jaro similarity by a fold over the code points of a: each takes the first equal one of b that is near enough and
+    still free. Half of the matched pairs that stand in another order, rounded down, count as transpositions."""
+
+    def compared(pair: Column) -> Column:
+        x, y, reach = pair["a"], pair["b"], pair["reach"]
+        start = F.struct(F.transform(y, lambda c: F.when(c != "", c)).alias("free"), F.array().cast("array<string>").alias("mine"))
+
+        def step(state: Column, i: Column) -> Column:
+            c = F.get(x, i)
+            near = F.filter(F.sequence(F.lit(0), F.size(y) - 1), lambda j: (j >= i - reach) & (j <= i + reach) & F.coalesce(F.get(state["free"], j) == c, F.lit(False)))
+            at = F.coalesce(F.get(near, F.lit(0)), F.lit(-1))
+            return F.struct(
+                F.transform(state["free"], lambda v, k: F.when(k != at, v)).alias("free"),
+                F.when(at >= 0, F.concat(state["mine"], F.array(c))).otherwise(state["mine"]).alias("mine"),
+            )
+
+        def score(state: Column) -> Column:
+            theirs = F.array_compact(F.transform(y, lambda c, k: F.when(F.get(state["free"], k).isNull(), c)))
+            odd = F.size(F.filter(F.zip_with(state["mine"], theirs, lambda p, q: p != q), lambda different: different))
+            m = F.size(state["mine"]).cast("double")
+            return F.when(m == 0, F.lit(0.0)).otherwise((m / F.size(x) + m / F.size(y) + (m - F.floor(odd / 2)) / m) / 3)
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(x) - 1), start, step, score)
+
+    reach = F.greatest(F.floor(F.greatest(F.char_length(a), F.char_length(b)) / 2) - 1, F.lit(0))
+    pair = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"), reach.cast("int").alias("reach"))
+    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).when(a.isNotNull() & b.isNotNull(), _bound(pair, compared))
+
+
+def _with_prefix(base: Column, a: Column, b: Column) -> Column:
+    """A common prefix of up to four characters adds to a similarity over 0.7."""
+    same = lambda k: F.when((F.char_length(a) >= k) & (F.char_length(b) >= k) & (F.substring(a, 1, k) == F.substring(b, 1, k)), k).otherwise(0)
+    prefix = F.greatest(*[same(k) for k in range(1, 5)])
+    return _bound(base, lambda x: F.when(x > 0.7, x + prefix * 0.1 * (1 - x)).otherwise(x))
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
-    """Jaro-Winkler similarity, 0 to 1, in Arrow batches; Spark has no expression for it. Compare few, distinct names."""
-    _similarities.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    return F.pandas_udf(_similarities, "double")(a, b)
+    """Jaro-Winkler similarity, 0 to 1, in the JVM; null where a text is. It is a fold, of length times length: compare few."""
+    return _with_prefix(jaro(a, b), a, b)
+
+
+def jaro_winkler_bound(text: str, b: Column) -> Column:
+    """What the Jaro-Winkler similarity with a given text is at most: as if every character that both have, as often as
+    both have it, were matched in order. Cheap: a replacement per distinct character of the text."""
+    if not text:
+        return jaro_winkler(F.lit(text), b)
+    length = F.char_length(b)
+    shared = [F.least(F.lit(text.count(c)), length - F.char_length(F.replace(b, F.lit(c), F.lit("")))) for c in sorted(set(text))]
+    m = sum(shared[1:], shared[0]).cast("double")
+    base = F.when(b == text, 1.0).when(m == 0, 0.0).otherwise((m / len(text) + m / length + 1) / 3)
+    return F.when(b.isNotNull(), _with_prefix(base, F.lit(text), b))

@@ -41,26 +41,30 @@ def analyze_manifests(files: DataFrame, scope: str, target: str, version: str) -
     members = nearest_root(
         parsed.filter("parsed").withColumn("workspace", named), roots.select(scope, "root_path", "root_position"), [scope]
     )
-    spread = members.select(scope, "path", "root_path", F.explode("declarations").alias("d")).select(scope, "path", "root_path", "d.*")
+    spread = members.select(scope, "path", "root_path", F.col("package").alias("package_name"), F.explode("declarations").alias("d")).select(
+        scope, "path", "root_path", "package_name", "d.*"
+    )
     own = spread.filter(~F.col("inherited"))
     templates = roots.select(scope, "root_path", F.explode("templates").alias("t")).select(
         scope, "root_path", F.col("t.alias").alias("alias"), "t.optional", *[F.col(f"t.{c}").alias(f"base_{c}") for c in SPEC]
     )
     inherited = inherit_templates(spread.filter("inherited"), templates, [scope, "root_path", "alias"])
     taken = inherited.filter("found").select(
-        scope, "path", "alias", "kind", "target", "optional", F.lit(True).alias("inherited"),
+        scope, "path", "package_name", "alias", "kind", "target", "optional", F.lit(True).alias("inherited"), F.col("root_path").alias("inherited_from"),
         *[F.col(f"base_{c}").alias(f"spec_{c}") for c in SPEC],
     )
     plain = own.select(
-        scope, F.col("path"), "alias", "kind", "target", F.coalesce("optional", F.lit(False)).alias("optional"), "inherited",
-        *[F.col(c).alias(f"spec_{c}") for c in SPEC],
+        scope, "path", "package_name", "alias", "kind", "target", F.coalesce("optional", F.lit(False)).alias("optional"), "inherited",
+        F.lit(None).cast("string").alias("inherited_from"), *[F.col(c).alias(f"spec_{c}") for c in SPEC],
     )
     everything = plain.unionByName(taken).filter(F.coalesce("spec_package", "alias") == target)
     requirement = evaluate_requirement(F.col("spec_version"), F.lit(version))
     declarations = everything.withColumn("requirement", F.when(F.col("spec_version").isNotNull(), requirement))
+    lost = F.col("root_path").isNull()
     missing = inherited.filter(~F.col("found")).select(
-        scope, "path", F.lit("workspace_dependency_unresolved").alias("code"), F.col("alias").alias("message")
-    )
+        scope, "path", F.when(lost, "workspace_root_unresolved").otherwise("workspace_dependency_unresolved").alias("code"),
+        F.when(lost, F.concat(F.lit("no workspace root was found for "), "alias")).otherwise(F.concat_ws(" ", F.col("root_path"), F.lit("has no template for"), "alias")).alias("message"),
+    )
     noted = parsed.select(scope, "path", F.explode("diagnostics").alias("n")).select(scope, "path", "n.code", "n.message")
     msrv = members.join(roots.select(scope, "root_path", F.col("root_rust_version").alias("_shared")), [scope, "root_path"], "left").select(
         scope,

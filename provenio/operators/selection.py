@@ -36,17 +36,19 @@ def reserved_bytes(size: Column, max_file: int, budget: int) -> Column:
 
 
 def greedy_budget(items: Column, budget: Column, max_file: int, consumed: Column | None = None) -> Column:
-    """struct(consumed, hit, admitted): files admitted one by one while they fit what is left of the budget.
+    """struct(consumed, hit, admitted, refused): files admitted one by one while they fit what is left of the budget.
 
     items: an array, in order, of struct(key, size, actual, fetched). One that does not fit is passed over, sets
     hit, and smaller ones after it may still get in. An unknown size gets in while anything is left. A file that was
-    not fetched takes nothing. State depends on all decisions before, so this is a fold and not a running sum.
+    not fetched takes nothing. State depends on all decisions before, so this is a fold and not a running sum. The keys
+    of those that did not fit are listed as well (refused).
     """
     empty = F.array().cast("array<string>")
     start = F.struct(
         (consumed if consumed is not None else F.lit(0)).cast("long").alias("consumed"),
         F.lit(False).alias("hit"),
         empty.alias("admitted"),
+        empty.alias("refused"),
     )
 
     def step(state: Column, item: Column) -> Column:
@@ -57,6 +59,7 @@ def greedy_budget(items: Column, budget: Column, max_file: int, consumed: Column
             (state["consumed"] + taken).alias("consumed"),
             (state["hit"] | ~fits).alias("hit"),
             F.when(fits & item["fetched"], F.concat(state["admitted"], F.array(item["key"].cast("string")))).otherwise(state["admitted"]).alias("admitted"),
+            F.when(fits, state["refused"]).otherwise(F.concat(state["refused"], F.array(item["key"].cast("string")))).alias("refused"),
         )
 
     return F.aggregate(items, start, step)
@@ -72,23 +75,24 @@ def shallowest(df: DataFrame, group: str, path: str, most: int = 16) -> DataFram
 def overscan(
     groups: DataFrame, key: str, identity: str, private: str, most: int | None, jobs: int = 4, factor: int = 4
 ) -> DataFrame:
-    """groups with position, considered and kept: a scan in key order until `most` public identities are held.
+    """groups with position, held, considered and kept: a scan in key order until `most` public identities are held.
 
     At most factor * most groups are looked at, in batches of `jobs`; the last batch is the one in which the number
     of distinct public identities reaches `most`, and the first `most` of them are kept, with the later rows of a
-    kept identity inside the scan. Without `most` all public rows are. Only the rows that a bounded selection may
-    look at go through an ordered window.
+    kept identity inside the scan; held is how many there are up to a row. Without `most` all public rows are. Only the
+    rows that a bounded selection may look at go through an ordered window.
     """
     if most is None:
-        return groups.withColumn("considered", F.lit(True)).withColumn("kept", F.col(identity).isNotNull() & ~F.col(private))
+        found = groups.withColumn("position", F.lit(None).cast("int")).withColumn("held", F.lit(None).cast("long"))
+        return found.withColumn("considered", F.lit(True)).withColumn("kept", F.col(identity).isNotNull() & ~F.col(private))
     cut = groups.orderBy(key).limit(factor * most)
     ordered = cut.withColumn("position", F.row_number().over(Window.orderBy(key)) - 1)
     public = F.col(identity).isNotNull() & ~F.col(private)
     first = F.row_number().over(Window.partitionBy(F.when(public, F.col(identity))).orderBy("position")) == 1
     news = ordered.withColumn("_new", (public & first).cast("int"))
     held = F.sum("_new").over(Window.orderBy("position"))
-    counted = news.withColumn("_held", held)
-    last = F.min(F.when(F.col("_held") >= most, F.floor(F.col("position") / jobs))).over(Window.partitionBy())
+    counted = news.withColumn("held", held)
+    last = F.min(F.when(F.col("held") >= most, F.floor(F.col("position") / jobs))).over(Window.partitionBy())
     scanned = counted.withColumn("considered", last.isNull() | (F.floor(F.col("position") / jobs) <= last) if most else F.lit(False))
-    rank_of = F.min(F.when(public, F.col("_held"))).over(Window.partitionBy(F.when(public, F.col(identity))))
-    return scanned.withColumn("kept", F.col("considered") & public & (rank_of <= most)).drop("_new", "_held")
+    rank_of = F.min(F.when(public, F.col("held"))).over(Window.partitionBy(F.when(public, F.col(identity))))
+    return scanned.withColumn("kept", F.col("considered") & public & (rank_of <= most)).drop("_new")

@@ -144,31 +144,66 @@ def blob_contents(spark, sf_dir):
     return found.select("doc_id", F.col("b.data").cast("string").alias("data"), "b.error")
 
 
-@register("name_similarity")
+def _likeness(a: str, b: str) -> str:
+    """SQL of Jaro-Winkler, of which the prefix counts only over 0.7: DuckDB has the Jaro similarity."""
+    prefix = "CASE " + " ".join(f"WHEN length({a}) >= {k} AND length({b}) >= {k} AND substr({a}, 1, {k}) = substr({b}, 1, {k}) THEN {k}" for k in (4, 3, 2, 1)) + " ELSE 0 END"
+    return f"(SELECT CASE WHEN j > 0.7 THEN j + ({prefix}) * 0.1 * (1 - j) ELSE j END FROM (SELECT jaro_similarity({a}, {b}) AS j))"
+
+
+@register("name_similarity", f"SELECT name, round({_likeness("'blue small box'", 'name')}, 9) AS similarity FROM (SELECT DISTINCT p_name AS name FROM part)")
 def name_similarity(spark, sf_dir):
-    """Jaro-Winkler of distinct part names with one name; other engines differ in the prefix rule, so no SQL."""
+    """Jaro-Winkler of distinct part names with one name."""
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
     return names.select("name", F.round(jaro_winkler(F.lit("blue small box"), F.col("name")), 9).alias("similarity"))
 
 
-@register("fuzzy_rank_topk")
+def _ranked_sql(names: str, query: str, stem: str, repository: bool) -> str:
+    """SQL of the ranking of names (name, downloads), canonical as `c`; a repository has its package's name."""
+    repo = f"greatest({_likeness(f"'{query}'", 'c')}, {_likeness(f"'{stem}'", 'c')})" if repository else "0.0"
+    return f"""
+    SELECT name, downloads, reason, CASE reason WHEN 'canonical_name' THEN 1.0 WHEN 'repository_affix_normalization' THEN 0.98
+                                               WHEN 'repository_name_similarity' THEN by_repo * 0.97 ELSE by_name END AS score FROM (
+        SELECT *, CASE WHEN c = '{query}' THEN 'canonical_name' WHEN c = '{stem}' THEN 'repository_affix_normalization'
+                       WHEN by_repo > by_name THEN 'repository_name_similarity' ELSE 'crate_name_similarity' END AS reason FROM (
+            SELECT *, greatest({_likeness(f"'{query}'", 'c')}, {_likeness(f"'{stem}'", 'c')}) AS by_name, {repo} AS by_repo
+            FROM (SELECT *, replace(lower(name), '-', '_') AS c FROM ({names}))))
+    """
+
+
+@register(
+    "fuzzy_rank_topk",
+    f"""
+    SELECT row_number() OVER (ORDER BY score DESC, downloads DESC, name) AS rank, name, reason AS match_reason, round(score, 9) AS score
+    FROM ({_ranked_sql("SELECT replace(p_name, ' ', '-') AS name, sum(p_size) AS downloads FROM part GROUP BY 1", 'rust_small_blue_box', 'small_blue_box', True)})
+    ORDER BY 1 LIMIT 10
+    """,
+)
 def fuzzy_rank_topk(spark, sf_dir):
     """The ten best packages for a query."""
     part = table(spark, sf_dir, "part")
     crates = part.groupBy(F.replace("p_name", F.lit(" "), F.lit("-")).alias("name")).agg(F.sum("p_size").alias("downloads"))
     crates = crates.withColumn("repository", F.concat(F.lit("https://github.com/owner/"), "name"))
-    query = "rust-small-blue-box"
-    top = resolution.top_candidates(resolution.rank_candidates(crates, query), 10)
+    top = resolution.best_candidates(crates, "rust-small-blue-box", 10)
     return top.select("rank", "name", "match_reason", F.round("score", 9).alias("score"))
 
 
-@register("clear_winner")
+@register(
+    "clear_winner",
+    f"""
+    WITH ranked AS (
+        SELECT name, score, row_number() OVER (ORDER BY score DESC, name) AS r
+        FROM ({_ranked_sql("SELECT DISTINCT replace(p_name, ' ', '-') AS name, 0 AS downloads FROM part", 'small_blue_box', 'small_blue_box', False)})
+    )
+    SELECT max(name) FILTER (r = 1) AS name,
+           coalesce(max(score) FILTER (r = 1) >= 0.85 AND (max(score) FILTER (r = 2) IS NULL OR max(score) FILTER (r = 1) - max(score) FILTER (r = 2) >= 0.05), false) AS selected
+    FROM ranked
+    """,
+)
 def clear_winner(spark, sf_dir):
     """The package that a query means, if one scores high and leads clearly."""
     names = table(spark, sf_dir, "part").select(F.replace("p_name", F.lit(" "), F.lit("-")).alias("name")).distinct()
     crates = names.withColumn("downloads", F.lit(0)).withColumn("repository", F.lit(None).cast("string"))
-    top = resolution.top_candidates(resolution.rank_candidates(crates, "small-blue-box"), 2)
-    return resolution.clear_winner(top)
+    return resolution.clear_winner(resolution.best_candidates(crates, "small-blue-box", 2))
 
 
 @register(
@@ -252,6 +287,52 @@ def report_json(spark, sf_dir):
     return report.json_lines(ordered, ["github_full_name", "head_committed_at"])
 
 
+_REPORT_SQL = """
+    facts AS (
+        SELECT coalesce(o_orderstatus, '') AS g, 'o/r' || o_orderkey AS repo, strftime(o_orderdate, '%Y-%m-%d') AS day,
+               CASE WHEN o_custkey % 4 = 0 THEN 'not_declared' ELSE '1.' || o_custkey % 90 || '.0' END AS msrv
+        FROM orders
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY g ORDER BY day, repo) AS position, count(*) OVER (PARTITION BY g) AS n,
+               (SELECT min(g) FROM facts) AS first_group, (SELECT max(g) FROM facts) AS last_group FROM facts
+    )
+"""
+
+
+@register(
+    "report_json_grouped",
+    f"""
+    WITH {_REPORT_SQL}
+    SELECT g AS "group", position,
+           CASE WHEN position = 1 AND g = first_group THEN '[' || chr(10) ELSE '' END
+           || CASE WHEN position = 1 THEN '  {{' || chr(10) || '    "group": "' || g || '",' || chr(10) || '    "rows": [' || chr(10) ELSE '' END
+           || '      {{' || chr(10) || '        "github_full_name": "' || repo || '",' || chr(10) || '        "head_committed_at": "' || day || '",' || chr(10)
+           || '        "msrv_effective": "' || msrv || '",' || chr(10) || '        "os_observed_targets_json": "[\\"linux\\"]",' || chr(10)
+           || '        "stale": "' || g || '"' || chr(10) || '      }}'
+           || CASE WHEN position = n THEN chr(10) || '    ]' || chr(10) || '  }}' ELSE '' END
+           || CASE WHEN position = n AND g = last_group THEN chr(10) || ']' ELSE ',' || chr(10) END AS text
+    FROM placed
+    """,
+)
+def report_json_grouped(spark, sf_dir):
+    facts = _inventory(spark, sf_dir).withColumn("os_observed_targets_json", F.lit('["linux"]')).drop("head_sha")
+    return report.json_document(facts, report.sort_keys("last-commit-asc"), facts.columns, F.col("stale"))
+
+
+@register(
+    "report_markdown",
+    f"""
+    WITH {_REPORT_SQL}
+    SELECT g AS "group", position,
+           CASE WHEN position = 1 THEN '### ' || g || chr(10) || chr(10) || '| Repository | Last Commit | MSRV | OS | Stale |' || chr(10) || '|---|---|---|---|---|' || chr(10) ELSE '' END
+           || '| `' || repo || '` | ' || day || ' | ' || msrv || ' | [] | ' || g || ' |' || chr(10) || CASE WHEN position = n THEN chr(10) ELSE '' END AS text
+    FROM placed
+    """,
+)
+def report_markdown(spark, sf_dir):
+    return report.markdown_document(_inventory(spark, sf_dir), report.sort_keys("last-commit-asc"), F.col("stale"))
+
+
 @register(
     "exit_code",
     """

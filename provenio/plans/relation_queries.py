@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from provenio.operators.evidence import judgements
 from provenio.operators import aggregates, filters, joins, selection
 from provenio.plans import scan
 from provenio.plans.registry import register, table
@@ -156,7 +157,7 @@ def paged_scan(spark, sf_dir):
 def group_candidates(spark, sf_dir):
     key = F.concat(F.lit("https://github.com/O"), (F.col("l_suppkey") % 17).cast("string"), F.lit("/R"), (F.col("l_suppkey") % 5).cast("string"))
     declaration = F.struct(
-        F.lit("dep").alias("alias"), F.lit("^1").alias("requirement"), F.col("l_returnflag").alias("kind"), (F.col("l_linestatus") == "O").alias("optional"),
+        F.lit("dep").alias("alias"), F.lit("dep").alias("package"), F.lit("^1").alias("requirement"), F.col("l_returnflag").alias("kind"), (F.col("l_linestatus") == "O").alias("optional"),
         F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("registry"),
         F.when(F.col("l_quantity") <= 25, F.col("l_partkey") % 2 == 0).alias("accepts"), F.lit(False).alias("exact_pin"),
     )
@@ -166,9 +167,8 @@ def group_candidates(spark, sf_dir):
         F.when(F.col("l_partkey") % 5 == 0, "lookup failed").alias("enrichment_error"), F.lit("registry").alias("source"),
     )
     groups = scan.candidate_groups(candidates)
-    return groups.select(
-        "key", "releases", *[F.array_join(c, "|").alias(c) for c in ("dependents", "versions", "kinds")], "any_requirement_accepts", "optional_declarations"
-    )
+    judged = [judgements()[c].alias(c) for c in ("any_requirement_accepts", "optional_declarations")]
+    return groups.select("key", "releases", *[F.array_join(c, "|").alias(c) for c in ("dependents", "versions", "kinds")], *judged)
 
 
 @register(

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from provenio.functions.text import canonical_name, search_terms
 from provenio.functions.urls import final_component, parse_repository, repository_key, sensitive_url
 from provenio.operators.joins import not_yet_known
-from provenio.operators.resolution import clear_winner, first_search_hits, rank_candidates, top_candidates
+from provenio.operators.resolution import best_candidates, clear_winner, first_search_hits
 from provenio.operators.selection import bounded, shallowest
 from provenio.sources.documents import manifests
+from provenio.sources.scratch import written
 
 # Manifests read for package names, and bytes that each may have; candidates asked for at least.
 MANIFEST_FILES, MANIFEST_BYTES = 16, 512 << 10
@@ -132,8 +133,7 @@ def resolve_repository(captures: Captures, query: str, full_name: str, limit: in
     notes = ["the tree in which manifests were looked for was truncated"] if truncated else []
     if more := added.count():
         notes.append(f"manifests of the default branch added {more} published package(s)")
-    ranked = rank_candidates(keyed.unionByName(added).drop("identity"), name, canonical)
-    top = top_candidates(ranked, limit).cache()
+    top = written(best_candidates(keyed.unionByName(added).drop("identity"), name, limit, canonical), "ranked")
     one = top.count() == 1
     method = f"{prefix}repository_metadata{'' if one else '_ambiguous'}"
     return envelope(query, top if one else top.limit(0), top.limit(0) if one else top, method, notes)
@@ -175,7 +175,7 @@ def resolve(captures: Captures, query: str, limit: int = 20, explicit: str | Non
         notes.append("the bounded page of results has repositories of this very name, which need not be all; name owner/repo")
     elif len(same) > 1:
         notes.append("several public repositories have this very name; name owner/repo")
-    top = top_candidates(rank_candidates(search_candidates(captures.crates, query, max(limit, LEAST_PER_TERM)), query), limit).cache()
+    top = written(best_candidates(search_candidates(captures.crates, query, max(limit, LEAST_PER_TERM)), query, limit), "ranked")
     winner = clear_winner(top).first()
     taken = accept_closest and winner["selected"]
     chosen = canonical_name(F.col("name")) == canonical_name(F.lit(winner["name"])) if taken else F.lit(False)

@@ -1,126 +1,381 @@
-"""The scan as queries: snapshots made from orders (releases) and customers (repositories)."""
+"""The scan as queries: snapshots made from orders (releases) and customers (repositories), with the SQL of each rule.
+
+An order is a release that names its customer's repository. A repository's number is its customer's, but every tenth
+customer's leads to the one before it; from that number follow what the repository is and which files it has.
+"""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provenio.functions.urls import index_path
+from provenio.operators.evidence import evaluated, evidence, judgements, merged_evidence, ordered_declarations
 from provenio.plans import scan
 from provenio.plans.options import ScanOptions
 from provenio.plans.registry import register, table
+from provenio.sources.trees import read_trees, truncated
 
-OPTIONS = ScanOptions(query="dep", version="1.2.3", observed_at="2025-06-01 00:00:00", stale_days=100)
-SHOWN = """
-github_full_name repository_url cargo_lock_path lock_status exact_resolution_status exact_occurrence_count recorded_relation shortest_dependency_depth
-dependent_crates_json any_requirement_accepts optional_declarations published_direct_status msrv_effective msrv_source current_direct_status
-stale inventory_status evidence_completeness error_code
-""".split()
+OPTIONS = ScanOptions(
+    query="dep", version="1.2.3", observed_at="2025-06-01 00:00:00", stale_days=100, discovery="both", since="2024-12-01",
+    max_file_bytes=2000, byte_budget=1000, file_cap=4,
+)
+REGISTRY = scan.REGISTRY
 _PACKAGE = '[[package]]\nname = "{}"\nversion = "{}"\n'
-_DEP = _PACKAGE.format("dep", "1.2.3") + 'source = "registry+https://github.com/rust-lang/crates.io-index"\n'
-#: By customer modulo 4: a direct and a transitive dependency, a target that is its own root, and no target.
-LOCKS = [
-    _PACKAGE.format("root", "0.1.0") + 'dependencies = ["dep"]\n' + _DEP,
-    _PACKAGE.format("root", "0.1.0") + 'dependencies = ["bridge"]\n' + _PACKAGE.format("bridge", "0.1.0") + 'dependencies = ["dep"]\n' + _DEP,
-    _DEP,
-    _PACKAGE.format("other", "2.0.0"),
-]
-MANIFEST = '[package]\nname = "m"\nrust-version = "1.80.0"\n[dependencies]\ndep = "^1"\n'
-
-
-def snapshots(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(candidates, repositories, tree): an order is a release, its customer the repository that it names."""
-    key = F.col("o_custkey")
-    declaration = F.struct(
-        F.lit("dep").alias("alias"), F.lit("^1").alias("requirement"), F.lit("normal").alias("kind"), (F.col("o_orderstatus") == "F").alias("optional"),
-        F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("registry"),
-        F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey") % 2 == 0).alias("accepts"), F.lit(False).alias("exact_pin"),
-    )
-    candidates = table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("name"), F.lit("1.0.0").alias("version"),
-        F.when(key % 7 != 0, F.concat(F.lit("https://github.com/C"), key.cast("string"), F.lit("/r"))).alias("repository"),
-        F.col("o_orderkey").alias("position"), F.lit(False).alias("yanked"), F.array(declaration).alias("declarations"),
-        F.lit(None).cast("string").alias("enrichment_error"), F.lit("registry").alias("source"),
+_DEP = _PACKAGE.format("dep", "1.2.3") + f'source = "{REGISTRY}"\n'
+DIRECT = _PACKAGE.format("root", "0.1.0") + 'dependencies = ["dep"]\n' + _DEP
+TRANSITIVE = _PACKAGE.format("root", "0.1.0") + 'dependencies = ["bridge"]\n' + _PACKAGE.format("bridge", "0.1.0") + 'dependencies = ["dep"]\n' + _DEP
+OTHER = _PACKAGE.format("other", "2.0.0")
+USES = '[package]\nname = "m"\nrust-version = "1.80.0"\n[dependencies]\ndep = "^1"\n[target."cfg(target_os = \\"linux\\")".dev-dependencies]\nrenamed = { package = "dep", version = "=1.2.3" }\n'
+IDLE = '[package]\nname = "n"\n[dependencies]\nother = "1"\n'
+#: By repository modulo 9: (path, mode, type, size, text) of the tree's entries; a size of None is not stated, and a text
+#: of None was not fetched.
+FILES = [
+    [("Cargo.lock", "040000", "tree", None, None), ("Cargo.toml", "100644", "blob", len(USES), USES), ("README.md", "100644", "blob", 9, None), ("sub/Cargo.lock", "100644", "blob", len(DIRECT), DIRECT)],
+    [("Cargo.lock", "100644", "blob", len(TRANSITIVE), TRANSITIVE), ("Cargo.toml", "100644", "blob", len(USES), USES)],
+    [("Cargo.lock", "100644", "blob", None, _DEP)],
+    [("Cargo.lock", "100644", "blob", len(OTHER), OTHER), ("Cargo.toml", "100644", "blob", len(IDLE), IDLE)],
+    [("Cargo.toml", "100644", "blob", len(USES), USES), ("a/Cargo.lock", "100644", "blob", 1, "["), ("b/Cargo.lock", "100644", "blob", len(DIRECT), DIRECT)],
+    [("Cargo.toml", "100644", "blob", len(IDLE), IDLE)],
+    [("a/Cargo.lock", "120000", "blob", 3, "../"), ("b/Cargo.lock", "100644", "blob", 5, None), ("c/Cargo.lock", "100644", "blob", 3000, OTHER), ("c/Cargo.toml", "100644", "blob", 3000, USES)],
+    [("Cargo.lock", "100644", "blob", 1500, DIRECT), ("Cargo.toml", "100644", "blob", len(USES), USES)],
+    [("a/Cargo.lock", "100644", "blob", len(OTHER), OTHER), ("a/Cargo.toml", "100644", "blob", len(IDLE), IDLE), ("b/Cargo.lock", "100644", "blob", len(OTHER), OTHER), ("b/Cargo.toml", "100644", "blob", len(USES), USES), ("c/Cargo.lock", "100644", "blob", len(OTHER), OTHER)],
+]
+
+
+def _tree_text(files: list[tuple]) -> str:
+    entries = [{"path": p, "mode": m, "type": t, "sha": f"s-{p}"} | ({} if size is None else {"size": size}) for p, m, t, size, _ in files]
+    return json.dumps({"sha": "t", "truncated": False, "tree": entries}, separators=(",", ":"))
+
+
+def releases(spark, sf_dir: str) -> DataFrame:
+    """Candidates from a listing and index files; every ninth order of some customers has no index file."""
+    o, k = F.col("o_orderkey"), F.col("o_custkey")
+    requirement = (
+        F.when(k % 4 == 0, "^2").when(k % 4 == 1, F.when(o % 3 == 0, "not one").otherwise("^2")).when(k % 4 == 2, F.when(o % 2 == 0, "=1.2.3").otherwise("^2")).otherwise("^1")
+    )
+    listing = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("o"), o.cast("string")).alias("name"), F.lit("1.0.0").alias("version"),
+        F.when(k % 7 != 0, F.concat(F.lit("https://github.com/C"), k.cast("string"), F.lit("/r"))).alias("repository"),
+        o.alias("position"), o.alias("version_id"), F.lit(0).alias("downloads"), (o % 13 == 0).alias("yanked"), F.lit("registry").alias("source"),
+        F.struct(
+            requirement.alias("requirement"), F.when(o % 7 == 0, "dev").otherwise("normal").alias("kind"), ((k % 3 == 0) & (F.col("o_orderstatus") == "F")).alias("optional"),
+            F.when(o % 10 == 0, "cfg(unix)").alias("target"),
+        ).alias("listed"),
+        ((o % 9 != 0) | (k % 5 != 0)).alias("indexed"),
     )
+    dependency = F.struct(F.lit("dep").alias("name"), F.col("listed.requirement").alias("req"), F.col("listed.kind").alias("kind"), F.col("listed.optional").alias("optional"), F.col("listed.target").alias("target"))
+    line = F.to_json(F.struct("name", F.col("version").alias("vers"), F.array(dependency).alias("deps")))
+    index_files = listing.filter("indexed").select(index_path(F.col("name")).alias("path"), F.concat(F.lit("\n"), line, F.lit("\n{cut")).alias("body"))
+    return scan.published_candidates(listing.drop("indexed"), index_files, "dep")
+
+
+def snapshots(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(candidates, repositories, tree, hits)."""
     k = F.col("c_custkey")
-    name = F.concat(F.lit("c"), k.cast("string"), F.lit("/r"))
-    there = k % 17 != 0
-    repositories = table(spark, sf_dir, "customer").filter(k % 19 != 0).select(
-        F.concat(F.lit("github:"), name).alias("key"), k.alias("repo_id"), name.alias("full_name"), F.concat(F.lit("https://github.com/"), name).alias("html_url"),
-        F.lit("main").alias("default_branch"), (k % 11 == 0).alias("fork"), (k % 13 == 0).alias("archived"), F.lit(False).alias("disabled"), F.lit(False).alias("private"),
-        F.lit(None).cast("timestamp").alias("pushed_at"), F.when(there, F.concat(F.lit("h"), k.cast("string"))).alias("head_sha"), F.when(there, F.lit("t")).alias("tree_sha"),
-        F.when(there, F.to_timestamp(F.date_sub(F.lit("2025-06-01").cast("date"), (k % 200).cast("int")))).alias("committed_at"), F.lit(False).alias("truncated"),
+    customers = table(spark, sf_dir, "customer").select(k, (k - (k % 10 == 4).cast("int")).alias("r"))
+    r = F.col("r")
+    name = F.concat(F.lit("c"), r.cast("string"), F.lit("/r"))
+    text = F.element_at(F.array(*[F.lit(_tree_text(files)) for files in FILES]), (r % 9 + 1).cast("int"))
+    body = F.when(r % 29 == 0, F.substring(text, 1, 40)).when(r % 31 == 0, F.replace(text, F.lit('"truncated":false'), F.lit('"truncated":true'))).otherwise(text)
+    trees = read_trees(customers.filter(k == r).select(r.alias("repo_id"), body.alias("body")), ["repo_id"])
+    head = r % 17 != 0
+    captured = customers.filter(k % 19 != 0).select(
+        F.concat(F.lit("C"), k.cast("string"), F.lit("/r.git")).alias("requested"), r.alias("repo_id"), name.alias("full_name"), F.concat(F.lit("https://github.com/"), name).alias("html_url"),
+        F.lit("main").alias("default_branch"), (r % 11 == 0).alias("fork"), (r % 13 == 0).alias("archived"), F.lit(False).alias("disabled"), (r % 23 == 0).alias("private"),
+        F.when(r % 2 == 0, F.to_timestamp(F.lit("2025-05-31 10:20:30"))).alias("pushed_at"), F.when(head, F.concat(F.lit("h"), r.cast("string"))).alias("head_sha"),
+        F.when(head, F.lit("t")).alias("tree_sha"), F.when(head & (r % 3 != 0), F.to_timestamp(F.date_sub(F.lit("2025-06-01").cast("date"), (r % 200).cast("int")))).alias("committer_at"),
+        F.when(head, F.to_timestamp(F.date_sub(F.lit("2025-06-01").cast("date"), (r % 200).cast("int")))).alias("author_at"),
     )
-    lock = F.element_at(F.array(*[F.lit(x) for x in LOCKS]), (k % 4 + 1).cast("int"))
-    files = F.array(
-        F.struct(F.lit("Cargo.toml").alias("path"), F.lit(MANIFEST).alias("text")), F.struct(F.lit("sub/Cargo.lock").alias("path"), lock.alias("text"))
-    )
-    tree = table(spark, sf_dir, "customer").select(k.alias("repo_id"), F.explode(files).alias("f")).select(
-        "repo_id", "f.path", F.octet_length("f.text").cast("long").alias("size"), F.lit("100644").alias("mode"), "f.text", F.lit("b").alias("sha"), F.lit(True).alias("fetched")
-    )
-    return candidates, repositories, tree
+    repositories = captured.join(trees.states.select("repo_id", truncated(F.col("tree_state")).alias("truncated")), "repo_id")
+    blob = lambda path, text: F.struct(F.lit(path).alias("path"), F.lit(text).alias("text"), F.lit(text is not None).alias("fetched"))
+    blobs = F.element_at(F.array(*[F.array(*[blob(p, text) for p, _, _, _, text in files]) for files in FILES]), (r % 9 + 1).cast("int"))
+    tree = trees.entries.join(customers.filter(k == r).select(r.alias("repo_id"), F.inline(blobs)), ["repo_id", "path"])
+    kinds = F.array(F.struct(F.lit("lock").alias("query"), F.lit("x/Cargo.lock").alias("path")), F.struct(F.lit("manifest").alias("query"), F.lit("x/not-Cargo.toml").alias("path")))
+    hits = customers.filter(k % 12 == 0).select(
+        F.inline(kinds), F.concat(F.lit("C"), k.cast("string"), F.lit("/r")).alias("full_name"), F.concat(F.lit("https://github.com/c"), k.cast("string"), F.lit("/r")).alias("html_url"),
+        (k % 24 == 0).alias("private"),
+    )
+    return releases(spark, sf_dir), repositories, tree, hits
 
 
-_STAGES = """
-    WITH c AS (
-        SELECT o_orderkey, o_custkey AS k, 'o' || o_orderkey AS name, o_orderstatus = 'F' AS optional,
-               CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 2 = 0 END AS accepts,
-               CASE WHEN o_custkey % 7 = 0 THEN 'm' || o_orderkey ELSE 'c' || o_custkey END AS key FROM orders
-    ), g AS (
-        SELECT key, any_value(k) AS k, '["' || string_agg(DISTINCT name, '","' ORDER BY name) || '"]' AS dependents, count(*) AS releases,
-               CASE WHEN bool_or(coalesce(accepts, false)) THEN 'true' WHEN count(accepts) < count(*) THEN 'unknown' ELSE 'false' END AS any_accepts,
-               CASE WHEN bool_or(optional) AND bool_or(NOT optional) THEN 'mixed' WHEN bool_or(optional) THEN 'all' ELSE 'none' END AS optional
-        FROM c GROUP BY key
-    ), fated AS (
-        SELECT *, CASE WHEN k % 7 = 0 THEN 'unsupported' WHEN k % 19 = 0 THEN 'unresolved' WHEN k % 11 = 0 THEN 'fork' WHEN k % 13 = 0 THEN 'archived'
-                       WHEN k % 17 = 0 THEN 'headless' ELSE 'scanned' END AS fate FROM g
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _cells(rows: list[dict]) -> str:
+    return json.dumps(rows, separators=(",", ":"))
+
+
+def _declaration(path: str, alias: str, kind: str, target: str | None, requirement: str, pin: bool) -> dict:
+    return {
+        "manifest_path": path, "package_name": "m", "alias": alias, "dependency_package": "dep", "kind": kind, "target": target, "requirement": requirement,
+        "requirement_accepts": True, "explicit_exact_pin": pin, "requirement_error": None, "optional": False, "git": None, "path": None, "registry": None,
+        "workspace_inherited": False, "workspace_manifest_path": None,
+    }
+
+
+def _manifest_rows() -> str:
+    """By kind of repository what its manifests say: VALUES of (v, matched, bytes, paths, current, observed, msrv, source, os, unconditional, direct, note)."""
+    uses = _cells([_declaration("Cargo.toml", "dep", "normal", None, "^1", False), _declaration("Cargo.toml", "renamed", "development", 'cfg(target_os = "linux")', "=1.2.3", True)])
+    seen = lambda path, msrv: _cells([{"manifest_path": path, "msrv": msrv, "source": "package_field" if msrv else "not_declared"}])
+    dep = (uses, seen("Cargo.toml", "1.80.0"), "1.80.0", "package_field", '["linux"]', "true", "present")
+    idle = lambda path: ("[]", seen(path, None), "not_declared", "not_declared", "[]", "false", "absent")
+    unread = ("[]", "[]", "unknown", "unknown", "[]", "unknown", "unknown")
+    rows = [
+        (0, 2, len(USES) + len(DIRECT), '["Cargo.toml"]', *dep, ""),
+        (1, 2, len(USES) + len(TRANSITIVE), '["Cargo.toml"]', *dep, ""),
+        (2, 1, len(_DEP), "[]", "[]", "[]", "not_declared", "not_declared", "[]", "false", "absent", ""),
+        (3, 2, len(IDLE) + len(OTHER), '["Cargo.toml"]', *idle("Cargo.toml"), ""),
+        (4, 3, len(USES) + 1 + len(DIRECT), '["Cargo.toml"]', *dep, ""),
+        (5, 1, len(IDLE), '["Cargo.toml"]', *idle("Cargo.toml"), ""),
+        (6, 4, 0, '["c/Cargo.toml"]', *unread, "c/Cargo.toml: is larger than a file may be"),
+        (7, 2, 0, '["Cargo.toml"]', *unread, "Cargo.toml: did not fit the byte budget"),
+        (8, 5, len(IDLE) + 3 * len(OTHER), '["a/Cargo.toml","b/Cargo.toml"]', "[]", seen("a/Cargo.toml", None), "unknown", "unknown", "[]", "unknown", "unknown",
+         "1 manifests were not read: the repository has more files than the limit"),
+    ]
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else _sql(x) for x in row) + ")" for row in rows)
+
+
+def _lock_rows() -> str:
+    """VALUES of (v, path, status, versions, sources, exact, resolution, relation, depth, code, message), a row per lockfile."""
+    target = ('["1.2.3"]', _cells([{"version": "1.2.3", "source": REGISTRY, "is_crates_io": True}]), 1, "present")
+    other, not_read = ("[]", "[]", 0, "absent"), ("[]", "[]", 0, "unknown")
+    rows = [
+        (0, "sub/Cargo.lock", "parsed", *target, "recorded_direct", "1", "", ""),
+        (1, "Cargo.lock", "parsed", *target, "recorded_transitive", "2", "", ""),
+        (2, "Cargo.lock", "parsed", *target, "recorded_present_unclassified", "0", "", ""),
+        (3, "Cargo.lock", "parsed", *other, "not_recorded", "", "", ""),
+        (4, "a/Cargo.lock", "parse_failed", *not_read, "unknown", "", "lockfile_parse_failed", "PARSE"),
+        (4, "b/Cargo.lock", "parsed", *target, "recorded_direct", "1", "", ""),
+        (6, "a/Cargo.lock", "symlink_not_followed", *not_read, "unknown", "", "lockfile_symlink", "the lockfile is a symbolic link; what it points to was not read"),
+        (6, "b/Cargo.lock", "fetch_failed", *not_read, "unknown", "", "lockfile_fetch_failed", "the lockfile could not be fetched"),
+        (6, "c/Cargo.lock", "too_large", *not_read, "unknown", "", "lockfile_too_large", "the lockfile has 3000 bytes; the limit is 2000"),
+        (7, "Cargo.lock", "repository_byte_budget_exceeded", *not_read, "unknown", "", "repository_matched_file_byte_budget", "the lockfile does not fit the repository's budget of 1000 bytes"),
+        *[(8, f"{x}/Cargo.lock", "parsed", *other, "not_recorded", "", "", "") for x in "abc"],
+    ]
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else _sql(x) for x in row) + ")" for row in rows)
+
+
+_POLICY = json.dumps(
+    {
+        "requirement_filter": "any", "discovery": "both", "dependency_kinds": ["normal", "dev", "build"], "optional": "include", "include_forks": False,
+        "exclude_archived": False, "stale_after_days": 100, "activity": "all", "committed_since": "2024-12-01", "committed_before": None, "max_candidates": None,
+        "max_repositories": None, "code_search_limit": 100, "max_file_bytes": 2000, "repository_matched_file_limit": 4, "repository_matched_file_byte_budget": 1000,
+        "repository_byte_budget_priority": "Cargo.lock before Cargo.toml", "repository_resolution_overscan_factor": 4, "jobs": 4, "allow_partial": False, "require_match": False,
+    },
+    separators=(",", ":"),
+)
+#: Releases and hits, what they lead to, and the evidence of each: a repository of all that leads to it, each group that
+#: leads nowhere, each release without a repository.
+_STAGES = f"""
+    WITH released AS (
+        SELECT o_orderkey AS o, o_custkey AS k, 'o' || o_orderkey AS name, o_orderkey % 9 = 0 AND o_custkey % 5 = 0 AS lost,
+               CASE o_custkey % 4 WHEN 0 THEN '^2' WHEN 1 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'not one' ELSE '^2' END
+                    WHEN 2 THEN CASE WHEN o_orderkey % 2 = 0 THEN '=1.2.3' ELSE '^2' END ELSE '^1' END AS req,
+               o_custkey % 3 = 0 AND o_orderstatus = 'F' AS optional, CASE WHEN o_orderkey % 7 = 0 THEN 'dev' ELSE 'normal' END AS kind,
+               CASE WHEN o_orderkey % 10 = 0 THEN 'cfg(unix)' END AS target, o_custkey % 7 <> 0 AS named
+        FROM orders WHERE o_orderkey % 13 <> 0
+    ), judged AS (
+        SELECT *, CASE WHEN req = 'not one' THEN NULL ELSE req <> '^2' END AS accepts, CASE WHEN req = 'not one' THEN NULL ELSE req = '=1.2.3' END AS pins,
+               '{{"dependent_crate":"' || name || '","dependent_version":"1.0.0","dependent_version_id":' || o || ',"dependent_downloads":0,"dependency_alias":"dep","dependency_package":"dep","requirement":"'
+               || req || '","kind":"' || kind || '","optional":' || CASE WHEN optional THEN 'true' ELSE 'false' END || ',"target":' || coalesce('"' || target || '"', 'null')
+               || ',"registry":null,"enrichment_error":' || CASE WHEN lost THEN '"no index file"' ELSE 'null' END || '}}' AS cell
+        FROM released
+    ), led AS (
+        SELECT k, name, o, lost, accepts, pins, optional, kind, target, cell, named, 'registry' AS source,
+               CASE WHEN named THEN 'https://github.com/C' || k || '/r' END AS url FROM judged
+        UNION ALL BY NAME
+        SELECT c_custkey AS k, true AS named, 'code_search_lock_seed' AS source, 'https://github.com/c' || c_custkey || '/r' AS url
+        FROM customer WHERE c_custkey % 12 = 0 AND c_custkey % 24 <> 0
+    ), placed AS (
+        SELECT *, k - CASE WHEN k % 10 = 4 THEN 1 ELSE 0 END AS r FROM led
+    ), identified AS (
+        SELECT *, CASE WHEN NOT named THEN 'unsupported' WHEN k % 19 = 0 THEN 'unresolved' WHEN r % 23 = 0 THEN 'private' WHEN r % 11 = 0 THEN 'fork' WHEN r % 17 = 0 THEN 'headless'
+                            WHEN r % 200 > 182 THEN 'inactive' WHEN r % 29 = 0 THEN 'treeless' ELSE 'scanned' END AS fate,
+               CASE WHEN NOT named THEN name WHEN k % 19 = 0 THEN 'k' || k ELSE 'r' || r END AS identity
+        FROM placed
+    ), proofs AS (
+        SELECT identity, any_value(fate) AS fate, any_value(r) AS r, any_value(k) AS k, count(name) AS releases, count(lost) FILTER (lost) AS unenriched,
+               coalesce('["' || string_agg(DISTINCT source, '","' ORDER BY source) || '"]', '[]') AS sources,
+               coalesce('["' || string_agg(DISTINCT name, '","' ORDER BY name) || '"]', '[]') AS dependents,
+               coalesce('["' || string_agg(DISTINCT name || '@1.0.0', '","' ORDER BY name || '@1.0.0') || '"]', '[]') AS versions,
+               '[' || coalesce(string_agg(cell, ',' ORDER BY name), '') || ']' AS published,
+               coalesce('["' || string_agg(DISTINCT kind, '","' ORDER BY kind) || '"]', '[]') AS kinds,
+               coalesce('["' || string_agg(DISTINCT target, '","' ORDER BY target) || '"]', '[]') AS targets,
+               coalesce('["' || string_agg(DISTINCT url, '","' ORDER BY url) || '"]', '[]') AS urls, min(url) AS url,
+               CASE WHEN bool_or(accepts) THEN 'true' WHEN bool_or(lost) OR count(name) = 0 OR count(accepts) < count(name) THEN 'unknown' ELSE 'false' END AS any_accepts,
+               CASE WHEN bool_or(pins) THEN 'true' WHEN bool_or(lost) OR count(name) = 0 OR count(pins) < count(name) THEN 'unknown' ELSE 'false' END AS any_pin,
+               CASE WHEN bool_or(optional) AND bool_or(NOT optional) THEN 'mixed' WHEN bool_or(lost) OR count(name) = 0 THEN 'unknown' WHEN bool_or(optional) THEN 'all' ELSE 'none' END AS optional
+        FROM identified GROUP BY identity
+    ), manifests(v, matched, bytes, paths, current, observed, msrv, msrv_source, os, unconditional, direct, note) AS (VALUES {_manifest_rows()}),
+    locks(v, path, status, found, sources_found, exact, resolution, relation, depth, code, message) AS (VALUES {_lock_rows()}),
+    scanned AS (
+        SELECT p.*, m.* EXCLUDE (v), p.r % 31 = 0 AS truncated, l.* EXCLUDE (v), m.note <> '' OR p.r % 31 = 0 AS incomplete
+        FROM proofs p JOIN manifests m ON m.v = p.r % 9 LEFT JOIN locks l ON l.v = p.r % 9 WHERE fate = 'scanned'
+    ), coded AS (
+        SELECT *, array_to_string([x FOR x IN [CASE WHEN truncated THEN 'tree_truncated' END, CASE WHEN incomplete THEN 'manifest_inventory_partial' END,
+                                               CASE WHEN unenriched > 0 THEN 'sparse_index_enrichment_partial' END, nullif(code, '')] IF x IS NOT NULL], ';') AS codes,
+               array_to_string([x FOR x IN [CASE WHEN truncated THEN 'the tree was cut short, so a file that is not listed may be there' END, CASE WHEN incomplete THEN note END,
+                                            CASE WHEN unenriched > 0 THEN 'some published releases have only what the listing shows of them' END, nullif(message, '')] IF x IS NOT NULL], ' | ') AS messages
+        FROM scanned
     )
 """
+_FACTS = f"""
+    SELECT '2025-06-01 00:00:00' AS observed_at_utc, 'dep' AS input_query, 'dep' AS target_crate, '1.2.3' AS target_version, '' AS target_repository_url,
+           'false' AS globally_exhaustive,
+           'releases in the registry whose published metadata names the target as a dependency; and repositories that a bounded public code search led to' AS candidate_scope,
+           {_sql(_POLICY)} AS scan_policy_json, p.sources AS candidate_sources_json, p.dependents AS dependent_crates_json, p.versions AS dependent_versions_json,
+           p.published AS published_requirements_json, p.kinds AS dependency_kinds_json, p.targets AS dependency_targets_json, p.optional AS optional_declarations,
+           CASE WHEN p.releases > 0 THEN 'present' ELSE 'not_observed' END AS published_direct_status, p.any_accepts AS any_requirement_accepts, p.any_pin AS any_exact_pin,
+           p.urls AS original_repository_urls_json,
+           CASE p.fate WHEN 'unsupported' THEN '' WHEN 'unresolved' THEN p.url ELSE 'https://github.com/c' || p.r || '/r' END AS repository_url,
+           CASE WHEN there THEN CAST(p.r AS VARCHAR) ELSE '' END AS github_repository_id,
+           CASE p.fate WHEN 'unsupported' THEN '' WHEN 'unresolved' THEN 'C' || p.k || '/r' ELSE 'c' || p.r || '/r' END AS github_full_name,
+           CASE WHEN there THEN 'main' ELSE '' END AS default_branch, CASE WHEN headed THEN 'h' || p.r ELSE '' END AS head_sha, CASE WHEN headed THEN 't' ELSE '' END AS tree_sha,
+           CASE WHEN headed THEN strftime(DATE '2025-06-01' - CAST(p.r % 200 AS INTEGER), '%Y-%m-%dT00:00:00Z') ELSE '' END AS head_committed_at,
+           CASE WHEN there AND p.r % 2 = 0 THEN '2025-05-31T10:20:30Z' ELSE '' END AS repo_pushed_at,
+           CASE WHEN there THEN CASE WHEN p.r % 13 = 0 THEN 'true' ELSE 'false' END ELSE 'unknown' END AS archived,
+           CASE WHEN there THEN 'false' ELSE 'unknown' END AS fork, CASE WHEN there THEN 'false' ELSE 'unknown' END AS disabled,
+           CASE WHEN headed THEN CASE WHEN p.r % 200 >= 100 THEN 'true' ELSE 'false' END ELSE 'unknown' END AS stale,
+           CASE WHEN c.identity IS NOT NULL THEN CASE WHEN codes = '' THEN 'complete' ELSE 'partial' END WHEN p.fate = 'unsupported' THEN 'unsupported_repository' ELSE 'failed' END AS inventory_status,
+           CASE WHEN c.identity IS NULL THEN 'unknown' WHEN truncated THEN 'true' ELSE 'false' END AS tree_truncated,
+           CAST(coalesce(matched, 0) AS VARCHAR) AS repository_matched_cargo_file_count, '4' AS repository_matched_file_limit,
+           CAST(coalesce(bytes, 0) AS VARCHAR) AS repository_matched_file_bytes_downloaded, '1000' AS repository_matched_file_byte_budget,
+           coalesce(path, '') AS cargo_lock_path, coalesce('s-' || path, '') AS cargo_lock_blob_sha,
+           CASE WHEN c.identity IS NULL THEN 'not_scanned' WHEN path IS NULL THEN CASE WHEN truncated THEN 'unknown_truncated' ELSE 'not_found' END ELSE status END AS lock_status,
+           coalesce(found, '[]') AS resolved_target_versions_json, coalesce(sources_found, '[]') AS resolved_target_sources_json,
+           CASE WHEN c.identity IS NULL THEN 'unknown' WHEN path IS NULL THEN CASE WHEN truncated THEN 'unknown' ELSE 'not_observed' END ELSE resolution END AS exact_resolution_status,
+           CAST(coalesce(exact, 0) AS VARCHAR) AS exact_occurrence_count, CAST(coalesce(exact, 0) AS VARCHAR) AS exact_crates_io_occurrence_count,
+           coalesce(paths, '[]') AS manifest_paths_json,
+           CASE WHEN c.identity IS NULL THEN 'unknown' WHEN direct = 'absent' AND truncated THEN 'unknown' ELSE direct END AS current_direct_status, coalesce(current, '[]') AS current_direct_requirements_json,
+           CASE WHEN msrv = 'not_declared' AND truncated THEN 'unknown' ELSE coalesce(msrv, '') END AS msrv_effective,
+           CASE WHEN msrv_source = 'not_declared' AND truncated THEN 'unknown' ELSE coalesce(msrv_source, '') END AS msrv_source,
+           coalesce(observed, '[]') AS msrv_observations_json, coalesce(os, '[]') AS os_observed_targets_json,
+           CASE WHEN unconditional IS NULL OR unconditional = 'false' AND truncated THEN 'unknown' ELSE unconditional END AS os_has_unconditional_declaration,
+           coalesce(relation, 'unknown') AS recorded_relation, coalesce(depth, '') AS shortest_dependency_depth,
+           CASE WHEN c.identity IS NOT NULL THEN CASE WHEN codes = '' THEN 'complete' ELSE 'partial' END WHEN p.fate = 'unsupported' THEN 'unavailable' ELSE 'failed' END AS evidence_completeness,
+           coalesce(codes, CASE p.fate WHEN 'unsupported' THEN 'unsupported_repository' WHEN 'unresolved' THEN 'repository_resolution_failed' WHEN 'headless' THEN 'default_branch_head_failed'
+                                       ELSE 'tree_fetch_failed' END) AS error_code,
+           coalesce(messages, CASE p.fate WHEN 'unsupported' THEN 'the release names no repository' WHEN 'unresolved' THEN 'the repository could not be looked up'
+                                          WHEN 'headless' THEN 'the head of the default branch could not be read' ELSE 'the tree of the head could not be read' END) AS error_message
+    FROM (SELECT *, fate IN ('headless', 'treeless', 'scanned') AS there, fate IN ('treeless', 'scanned') AS headed FROM proofs) p LEFT JOIN coded c ON c.identity = p.identity
+    WHERE p.fate NOT IN ('private', 'fork', 'inactive')
+"""
 
 
-@register(
-    "scan_facts",
-    _STAGES
-    + """
-    SELECT CASE WHEN fate IN ('headless', 'scanned') THEN 'c' || k || '/r' ELSE '' END AS github_full_name,
-           CASE fate WHEN 'unsupported' THEN '' WHEN 'unresolved' THEN 'https://github.com/C' || k || '/r' ELSE 'https://github.com/c' || k || '/r' END AS repository_url,
-           CASE WHEN fate = 'scanned' THEN 'sub/Cargo.lock' ELSE '' END AS cargo_lock_path,
-           CASE WHEN fate = 'scanned' THEN 'parsed' ELSE 'unknown' END AS lock_status,
-           CASE WHEN fate <> 'scanned' THEN 'unknown' WHEN k % 4 = 3 THEN 'absent' ELSE 'present' END AS exact_resolution_status,
-           CASE WHEN fate = 'scanned' AND k % 4 <> 3 THEN '1' ELSE '0' END AS exact_occurrence_count,
-           CASE WHEN fate <> 'scanned' THEN 'unknown' WHEN k % 4 = 0 THEN 'recorded_direct' WHEN k % 4 = 1 THEN 'recorded_transitive'
-                WHEN k % 4 = 2 THEN 'recorded_present_unclassified' ELSE 'not_recorded' END AS recorded_relation,
-           CASE WHEN fate <> 'scanned' OR k % 4 = 3 THEN '' ELSE CAST((k % 4 + 1) % 3 AS VARCHAR) END AS shortest_dependency_depth,
-           dependents AS dependent_crates_json, any_accepts AS any_requirement_accepts, optional AS optional_declarations, 'present' AS published_direct_status,
-           CASE WHEN fate = 'scanned' THEN '1.80.0' ELSE '' END AS msrv_effective, CASE WHEN fate = 'scanned' THEN 'package_field' ELSE '' END AS msrv_source,
-           CASE WHEN fate = 'scanned' THEN 'present' ELSE 'unknown' END AS current_direct_status,
-           CASE WHEN fate <> 'scanned' THEN 'unknown' WHEN k % 200 >= 100 THEN 'true' ELSE 'false' END AS stale,
-           CASE fate WHEN 'scanned' THEN 'complete' WHEN 'unsupported' THEN 'unsupported_repository' ELSE 'failed' END AS inventory_status,
-           CASE fate WHEN 'scanned' THEN 'complete' WHEN 'unsupported' THEN 'unavailable' ELSE 'failed' END AS evidence_completeness,
-           CASE fate WHEN 'scanned' THEN '' WHEN 'unsupported' THEN 'unsupported_repository' WHEN 'unresolved' THEN 'repository_resolution_failed'
-                ELSE 'default_branch_head_failed' END AS error_code
-    FROM fated WHERE fate NOT IN ('fork', 'archived')
-    """,
-)
+def _parse_error(facts: DataFrame) -> DataFrame:
+    """What a TOML parser says of a broken lockfile is its own; the SQL has a mark there."""
+    return facts.withColumn("error_message", F.regexp_replace("error_message", "lockfile does not parse: [^|]*$", "PARSE"))
+
+
+@register("scan_facts", _STAGES + _FACTS)
 def scan_facts(spark, sf_dir):
-    return scan.fact_rows(*snapshots(spark, sf_dir), OPTIONS, "dep").select(*SHOWN)
+    candidates, repositories, tree, hits = snapshots(spark, sf_dir)
+    return _parse_error(scan.fact_rows(candidates, repositories, tree, OPTIONS, "dep", hits))
 
 
 @register(
     "scan_summary",
     _STAGES
-    + """
-    SELECT CAST(sum(releases) AS BIGINT) AS candidate_release_records, count(*) AS candidate_repositories,
-           count(*) FILTER (fate = 'scanned') AS repositories_scanned, count(*) FILTER (fate = 'fork') AS repositories_filtered_as_forks,
-           count(*) FILTER (fate = 'archived') AS repositories_filtered_as_archived, count(*) FILTER (fate = 'unsupported') AS repositories_unsupported,
-           count(*) FILTER (fate IN ('unresolved', 'headless')) AS repositories_failed, count(*) FILTER (fate = 'scanned') AS lockfiles_parsed,
-           count(*) FILTER (fate = 'scanned' AND k % 4 < 2) AS repositories_exact_confirmed, count(*) FILTER (fate = 'scanned' AND k % 4 < 3) AS exact_occurrences,
-           2 * count(*) FILTER (fate = 'scanned') AS matched_cargo_files, count(*) FILTER (fate NOT IN ('fork', 'archived')) AS output_rows, true AS partial
-    FROM fated
+    + f"""
+    , partly AS (
+        SELECT identity, any_value(matched) AS matched, any_value(bytes) AS bytes, any_value(r) AS r, bool_or(codes <> '') OR any_value(r) % 9 IN (7, 8) AS partial,
+               bool_or(exact > 0 AND relation IN ('recorded_direct', 'recorded_transitive')) AS confirmed FROM coded GROUP BY identity
+    )
+    SELECT '2025-06-01 00:00:00' AS observed_at_utc, 'dep' AS input_query, 'dep' AS target_crate, '1.2.3' AS target_version, false AS globally_exhaustive,
+           'releases in the registry whose published metadata names the target as a dependency; and repositories that a bounded public code search led to' AS candidate_scope,
+           {_sql(_POLICY)} AS policy, false AS candidate_limit_reached, false AS repository_limit_reached, false AS repository_resolution_budget_exhausted,
+           (SELECT count(*) FROM released) AS candidate_release_records, (SELECT count(DISTINCT name) FROM released) AS candidate_crates,
+           (SELECT count(DISTINCT CASE WHEN named THEN 'k' || k ELSE name END) FROM led) AS candidate_repositories,
+           (SELECT count(*) FROM partly) AS repositories_scanned, count(*) FILTER (fate = 'inactive') AS repositories_filtered_by_activity,
+           count(*) FILTER (fate = 'fork') AS repositories_filtered_as_forks, CAST(0 AS BIGINT) AS repositories_filtered_as_archived,
+           count(*) FILTER (fate = 'private') AS repositories_filtered_as_private, count(*) FILTER (fate = 'unsupported') AS repositories_unsupported,
+           (SELECT count(*) FROM partly WHERE partial) AS repositories_partial, count(*) FILTER (fate IN ('unresolved', 'headless', 'treeless')) AS repositories_failed,
+           (SELECT count(path) FROM coded) AS lockfiles_found, (SELECT count(*) FROM coded WHERE status = 'parsed') AS lockfiles_parsed,
+           (SELECT count(*) FROM partly WHERE confirmed) AS repositories_exact_confirmed, (SELECT CAST(coalesce(sum(exact), 0) AS BIGINT) FROM coded) AS exact_occurrences,
+           (SELECT CAST(coalesce(sum(matched), 0) AS BIGINT) FROM partly) AS matched_cargo_files, (SELECT CAST(coalesce(sum(bytes), 0) AS BIGINT) FROM partly) AS matched_cargo_file_bytes_downloaded,
+           (SELECT count(*) FROM partly WHERE r % 9 = 8) AS repositories_file_limit_exceeded, (SELECT count(*) FROM partly WHERE r % 9 = 7) AS repositories_byte_budget_exceeded,
+           (SELECT 2 * count(*) FROM customer WHERE c_custkey % 12 = 0) AS code_search_results_returned, CAST(100000 AS BIGINT) AS code_search_total_count, true AS code_search_incomplete,
+           (SELECT 2 * count(*) FROM customer WHERE c_custkey % 24 = 0) AS code_search_private_results_discarded,
+           (SELECT count(*) FROM coded) + count(*) FILTER (fate IN ('unsupported', 'unresolved', 'headless', 'treeless')) AS output_rows, true AS partial,
+           {_sql("|".join([*scan.NOTES, "the code search was cut off or said it was incomplete; what it led to is an addition, not a whole"]))} AS notes
+    FROM proofs
     """,
 )
 def scan_summary(spark, sf_dir):
-    return scan.scan(*snapshots(spark, sf_dir), OPTIONS, "dep").summary.select(
-        "candidate_release_records", "candidate_repositories", "repositories_scanned", "repositories_filtered_as_forks", "repositories_filtered_as_archived",
-        "repositories_unsupported", "repositories_failed", "lockfiles_parsed", "repositories_exact_confirmed", "exact_occurrences", "matched_cargo_files",
-        "output_rows", "partial",
+    candidates, repositories, tree, hits = snapshots(spark, sf_dir)
+    done = scan.scan(candidates, repositories, tree, OPTIONS, "dep", hits, search_total=100_000)
+    return done.summary.withColumn("notes", F.array_join("notes", "|"))
+
+
+@register(
+    "merged_evidence",
+    """
+    WITH c AS (
+        SELECT l_suppkey AS s, l_partkey % 4 AS q, l_linestatus = 'O' AS optional, l_partkey % 50 = 0 AS lost, l_orderkey AS o, l_linenumber AS n FROM lineitem
+    )
+    SELECT s // 2 AS identity, count(*) AS releases, count(DISTINCT s) AS aliases,
+           CASE WHEN bool_or(q = 0 OR q = 2) THEN 'true' WHEN bool_or(lost) OR bool_or(q = 3) THEN 'unknown' ELSE 'false' END AS any_requirement_accepts,
+           CASE WHEN bool_or(q = 0) THEN 'true' WHEN bool_or(lost) OR bool_or(q = 3) THEN 'unknown' ELSE 'false' END AS any_exact_pin,
+           CASE WHEN bool_or(optional) AND bool_or(NOT optional) THEN 'mixed' WHEN bool_or(lost) THEN 'unknown' WHEN bool_or(optional) THEN 'all' ELSE 'none' END AS optional_declarations,
+           'C' || min(s) || '/r' AS hint,
+           string_agg(req || CASE WHEN optional THEN '?' ELSE '' END, '|' ORDER BY o, n, req, optional) AS requirements
+    FROM (SELECT *, CASE q WHEN 0 THEN '=1.2.3' WHEN 1 THEN '^2' WHEN 2 THEN '^1' ELSE 'not one' END AS req FROM c
+          WHERE o % 100 = s % 100 OR o % 97 = s % 97 OR (s // 2) % 5 = 0 AND q = 1 OR (s // 2) % 7 = 0 AND q IN (1, 3))
+    GROUP BY 1
+    """,
+)
+def merged_evidence_query(spark, sf_dir):
+    """Two suppliers, two spellings of one repository: their evidence added up, then judged."""
+    s, o, q = F.col("l_suppkey"), F.col("l_orderkey"), F.col("l_partkey") % 4
+    pair = F.floor(s / 2)
+    some = (o % 100 == s % 100) | (o % 97 == s % 97) | ((pair % 5 == 0) & (q == 1)) | ((pair % 7 == 0) & q.isin(1, 3))
+    requirement = F.element_at(F.array(*[F.lit(x) for x in ("=1.2.3", "^2", "^1", "not one")]), (q + 1).cast("int"))
+    declaration = F.struct(
+        F.lit("dep").alias("alias"), requirement.alias("requirement"), F.lit("normal").alias("kind"), (F.col("l_linestatus") == "O").alias("optional"),
+        F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("registry"),
     )
+    named = F.concat(F.lit("C"), s.cast("string"), F.lit("/r"))
+    candidates = table(spark, sf_dir, "lineitem").filter(some).select(
+        F.lpad(o.cast("string"), 12, "0").alias("name"), F.lpad(F.col("l_linenumber").cast("string"), 3, "0").alias("version"), named.alias("repository"),
+        s.alias("position"), F.array(declaration).alias("declarations"), F.when(F.col("l_partkey") % 50 == 0, "lookup failed").alias("enrichment_error"),
+        F.lit("registry").alias("source"),
+    )
+    groups = scan.candidate_groups(evaluated(candidates, "dep", "1.2.3"))
+    number = F.floor(F.regexp_extract("key", "^github:c([0-9]+)/r$", 1).cast("long") / 2)
+    merged = merged_evidence(groups.withColumn("identity", number), ["identity"], F.count(F.lit(1)).alias("aliases"))
+    shown = F.transform(ordered_declarations(F.col("declarations")), lambda d: F.concat(d["requirement"], F.when(d["optional"], "?").otherwise("")))
+    return merged.select("identity", "releases", "aliases", "hint", *[c.alias(k) for k, c in judgements().items()], F.array_join(shown, "|").alias("requirements"))
+
+
+_ENTRIES = """
+    SELECT c_custkey, c_custkey % 6 AS v, path FROM customer, (VALUES (0, 'Cargo.toml'), (0, 'src/é.rs'), (1, 'Cargo.toml'), (1, 'src/é.rs'), (5, 'link')) f(v, path)
+    WHERE f.v = c_custkey % 6
+"""
+
+
+@register(
+    "tree_states",
+    f"""
+    SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'complete' WHEN 1 THEN 'truncated' WHEN 5 THEN 'complete' ELSE 'failed' END AS tree_state,
+           CASE c_custkey % 6 WHEN 2 THEN 'the tree does not parse' WHEN 3 THEN 'no tree was captured' WHEN 4 THEN 'an entry of the tree is not whole' END AS error,
+           (SELECT count(*) FROM ({_ENTRIES}) e WHERE e.c_custkey = customer.c_custkey) AS entries
+    FROM customer
+    """,
+)
+def tree_states(spark, sf_dir):
+    """Trees as JSON: whole, cut short, broken, missing, with half an entry, with a link and no mark."""
+    entry = '{{"path":"{}","mode":"{}","type":"blob","sha":"{}-a","size":3}}'
+    both = entry.format("Cargo.toml", "100644", "K") + "," + entry.format("src/é.rs", "100644", "K")
+    texts = [
+        '{"sha":"K","truncated":false,"tree":[' + both + "]}", '{"sha":"K","truncated":true,"tree":[' + both + "]}", '{"sha":"K","tree":[' + both, None,
+        '{"sha":"K","truncated":false,"tree":[{"path":"Cargo.toml","mode":"100644"}]}', '{"sha":"K","tree":[' + entry.format("link", "120000", "K") + '],"more":[1]}',
+    ]
+    text = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("c_custkey") % 6 + 1).cast("int"))
+    captures = table(spark, sf_dir, "customer").select("c_custkey", F.replace(text, F.lit('"K'), F.concat(F.lit('"'), F.col("c_custkey").cast("string"))).alias("body"))
+    trees = read_trees(captures, ["c_custkey"])
+    counts = trees.entries.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("entries"))
+    return trees.states.join(counts, "c_custkey", "left").select("c_custkey", "tree_state", "error", F.coalesce("entries", F.lit(0)).alias("entries"))

@@ -33,7 +33,7 @@ LOCK = (
 )
 
 
-def _dependency(alias: str, kind: str, target: str | None, spec, notes: list) -> dict | None:
+def _dependency(alias: str, kind: str, target: str | None, spec, notes: list, template: bool = False) -> dict | None:
     row = dict.fromkeys(("version", "package", "git", "local", "registry", "optional"))
     row |= {"alias": alias, "kind": kind, "target": target, "inherited": False}
     if isinstance(spec, str):
@@ -50,7 +50,7 @@ def _dependency(alias: str, kind: str, target: str | None, spec, notes: list) ->
             row["inherited"] = bool(value)
         else:  # a dependency's path is `local`, apart from the manifest's
             row["local" if name == "path" else name] = value
-    if row["inherited"] and any(spec.get(n) is not None for n in TEXT_FIELDS):
+    if row["inherited"] and not template and any(spec.get(n) is not None for n in TEXT_FIELDS):
         notes.append(("workspace_dependency_override", f"{alias} is inherited and has fields of its own"))
     return row
 
@@ -61,8 +61,6 @@ def _flattened(table: dict, target: str | None, notes: list) -> list[dict]:
         found = table.get(name)
         if isinstance(found, dict):
             rows += [r for alias, spec in found.items() if (r := _dependency(alias, kind, target, spec, notes))]
-        elif found is not None:
-            notes.append(("invalid_dependency_declaration", f"{name} is not a table"))
     return rows
 
 
@@ -89,9 +87,9 @@ def parse_manifest(text: str | None) -> dict:
     }
     if root is not None:
         shared = root.get("dependencies")
-        out["templates"] = [
-            r for alias, spec in (shared.items() if isinstance(shared, dict) else ()) if (r := _dependency(alias, "normal", None, spec, notes))
-        ]
+        found = [_dependency(alias, "normal", None, spec, notes, template=True) for alias, spec in (shared.items() if isinstance(shared, dict) else ())]
+        notes += [("invalid_workspace_dependency", f"{r['alias']} is a template and cannot itself be inherited") for r in found if r and r["inherited"]]
+        out["templates"] = [r for r in found if r and not r["inherited"]]
         out["root_rust_version"] = as_text((root.get("package") or {}).get("rust-version")) if isinstance(root.get("package"), dict) else None
     out["declarations"] = _flattened(doc, None, notes)
     targets = doc.get("target")

@@ -118,7 +118,7 @@ def test_scan_of_two_candidates_in_one_repository(spark):
     # a target that is its own root is unclassified, and the graph is complete all the same
     assert (b.evidence_completeness, b.inventory_status, b.error_code, b.error_message) == ("complete", "complete", "", "")
     assert rows["unsupported_repository"].error_message
-    assert a.resolved_target_sources_json == '[{"version":"1.2.3","source":"registry+https://github.com/rust-lang/crates.io-index"}]'
+    assert a.resolved_target_sources_json == '[{"version":"1.2.3","source":"registry+https://github.com/rust-lang/crates.io-index","is_crates_io":true}]'
     assert '"dependency_package":"dep"' in a.published_requirements_json and a.published_requirements_json.count("enrichment_error") == 2
     assert [r.cargo_lock_path for r in facts.collect()] == ["", "a/Cargo.lock", "b/Cargo.lock"]
 
