@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenio.functions.semver import semver_key
-from provenio.functions.text import csv_safe, json_cell
+from provenio.functions.text import ascii_lower, csv_safe, json_cell
 from provenio.functions.urls import final_component, index_path, parse_repository, repository_key, sanitise_url
 from provenio.operators import aggregates, filters, selection
 from provenio.operators.evidence import evaluated, evidence, judgements, merged_evidence, ordered_declarations
@@ -67,23 +67,6 @@ def address(repository: Column) -> Column:
     return F.when(url != "", url)
 
 
-def spelled(repository: Column) -> Column:
-    """owner/name as written, or null where that is no repository of the code host."""
-    parsed = parse_repository(repository)
-    return F.concat_ws("/", parsed["owner"], parsed["name"])
-
-
-def group_key(repository: Column, name: Column, version: Column) -> Column:
-    """Candidates of one repository have one key; those without get one of their own."""
-    url = address(repository)
-    known = repository_key(url)
-    return (
-        F.when(known.isNotNull(), F.concat(F.lit("github:"), known))
-        .when(url.isNotNull(), F.concat(F.lit("unsupported:"), F.lower(url)))
-        .otherwise(F.concat(F.lit("missing:"), name, F.lit("@"), version))
-    )
-
-
 def _has(df: DataFrame, name: str, kind: str) -> Column:
     """A column that a capture may lack."""
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
@@ -107,18 +90,32 @@ def published_candidates(listing: DataFrame, index_files: DataFrame, target: str
     return with_fallback(listing, declared, keys, shown).drop("listed")
 
 
+def keyed_candidates(candidates: DataFrame) -> DataFrame:
+    """Candidates with the key, url and hint (how the repository is spelled) of what they name."""
+    url = address(F.col("repository"))
+    parsed = candidates.withColumn("url", url).withColumn("_named", parse_repository(F.col("url")))
+    known = F.col("_named").isNotNull()
+    hint = F.when(known, F.concat_ws("/", "_named.owner", "_named.name"))
+    key = (
+        F.when(known, F.concat(F.lit("github:"), ascii_lower(F.concat_ws("/", "_named.owner", "_named.name"))))
+        .when(F.col("url").isNotNull(), F.concat(F.lit("unsupported:"), F.lower("url")))
+        .otherwise(F.concat(F.lit("missing:"), F.col("name"), F.lit("@"), F.col("version")))
+    )
+    return parsed.withColumn("key", key).withColumn("hint", hint).drop("_named")
+
+
 def candidate_groups(candidates: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """The evidence of each group of candidates, as a state that can be merged (operators/evidence.py).
 
     candidates: (name, version, repository, position, declarations, enrichment_error, source), declarations evaluated, and
     version_id and downloads if they are known. seeds: (key, hint, url, source), repositories found by code search:
-    they add their URLs and sources to a group, or make one without publications.
+    they add their URLs and sources to a group, or make one without publications. Candidates of one repository have
+    one key; those without get one of their own.
     """
     number = lambda name: F.coalesce(_has(candidates, name, "long"), F.lit(0)).cast("long").alias(name)
-    url = address(F.col("repository"))
-    rows = candidates.select(
-        group_key(F.col("repository"), F.col("name"), F.col("version")).alias("key"), "name", "version", number("version_id"), number("downloads"),
-        url.alias("url"), "source", F.when(repository_key(url).isNotNull(), spelled(url)).alias("hint"), F.col("position").cast("long").alias("position"),
+    keyed = candidates if "key" in candidates.columns else keyed_candidates(candidates)
+    rows = keyed.select(
+        "key", "name", "version", number("version_id"), number("downloads"), "url", "source", "hint", F.col("position").cast("long").alias("position"),
         "enrichment_error", "declarations",
     )
     if seeds is not None:
@@ -133,13 +130,10 @@ def code_seeds(hits: DataFrame) -> DataFrame:
     path component is not the very file, and names that are no repository are left out.
     """
     wanted = F.when(F.col("query") == "lock", "Cargo.lock").otherwise("Cargo.toml")
-    public = filters.code_hits(hits, wanted).withColumn("_key", repository_key(F.col("full_name")))
+    public = filters.code_hits(hits, wanted).withColumn("_named", parse_repository(F.col("full_name"))).filter("_named is not null")
     source = F.concat(F.lit("code_search_"), F.col("query"), F.lit("_seed"))
-    return (
-        public.filter("_key is not null")
-        .select(F.concat(F.lit("github:"), F.col("_key")).alias("key"), spelled(F.col("full_name")).alias("hint"), F.col("html_url").alias("url"), source.alias("source"))
-        .distinct()
-    )
+    hint = F.concat_ws("/", "_named.owner", "_named.name")
+    return public.select(F.concat(F.lit("github:"), ascii_lower(hint)).alias("key"), hint.alias("hint"), F.col("html_url").alias("url"), source.alias("source")).distinct()
 
 
 def captured_repositories(repositories: DataFrame) -> DataFrame:
@@ -371,7 +365,9 @@ def scan(
     repository are one before anything is judged. No group and no failed lookup is lost: it is a row with an error code.
     """
     listed = candidates.orderBy("position").limit(options.max_candidates) if options.max_candidates is not None else candidates
-    kept = filters.filter_candidates(evaluated(listed, target, options.version), options.kinds, options.optional_mode, options.requirement_mode)
+    # requirements and repositories are parsed once, then read
+    listed = written(evaluated(keyed_candidates(listed), target, options.version), "candidates")
+    kept = filters.filter_candidates(listed, options.kinds, options.optional_mode, options.requirement_mode)
     groups = candidate_groups(kept, code_seeds(hits) if hits is not None else None).withColumnRenamed("position", "first_position")
     asked = written(groups.join(captured_repositories(repositories), "key", "left"), "groups")
     hosted = F.col("key").startswith("github:")
