@@ -348,7 +348,9 @@ def frequent_words(df: DataFrame, text_col: str, limit: int, table: PieceTable)
     return summed.orderBy(F.col("n").desc(), "word").limit(limit).select("word")
 
 
-def encode(df: DataFrame, model_file: str, text_col: str = "text", dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
+def encode(
+    df: DataFrame, model_file: str, text_col: str = "text", dictionary_words: int = DICTIONARY_WORDS, remembered: int = MEMORY
+) -> DataFrame:
     """df with piece_ids (array of int), n_pieces and round_trip added.
 
     White space is kept, spaces become the space mark and one is put before the text, as the model's normaliser
@@ -358,7 +360,8 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", dictionary_wo
 
     The most frequent words, at most dictionary_words, are encoded once by the relational lattice and broadcast
     (their number is the bound: some 60 bytes each). A word outside is encoded in its task by the same rules, so
-    that no join of all words with all documents is needed, and nothing but the word counts is shuffled.
+    that no join of all words with all documents is needed, and nothing but the word counts is shuffled. A worker
+    remembers at most `remembered` such words; both numbers only trade memory for time.
 
     Edge cases: no rows give no rows; null and empty texts have no pieces; texts and words of any length are read
     whole; repeated rows are each encoded, and equal texts get equal ids; of pieces that tie in score the leftmost
@@ -373,7 +376,7 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", dictionary_wo
     dictionary = spark.sparkContext.broadcast({r["word"]: array("i", r["ids"]).tobytes() for r in encoded.toLocalIterator()})
 
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codes = WordCodes(dictionary.value, table, MEMORY)
+        codes = WordCodes(dictionary.value, table, remembered)
         for batch in batches:
             for k in range(0, len(batch), 200):
                 found = [codes.text(text) for text in batch.slice(k, 200).to_pylist()]
