@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenio.llm.common import written
+from provenio.llm.common import SMALL_BATCHES, written
 from provenio.llm.exact_dedup import exact_dedup
 from provenio.llm.jaccard_join import one_of_each_group
 from provenio.llm.language_id import UNDETERMINED, detect_language
@@ -17,8 +17,15 @@ from provenio.llm.registry import tokenizer_path
 LEAST_SCORE = 0.3
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python stages get small Arrow batches for as long as the session lives: executors keep what large ones once took."""
+    for name, value in SMALL_BATCHES.items():
+        spark.conf.set(name, value)
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is determined: those without a letter, or without a likely language, go."""
+    small_batches(spark)
     judged = detect_language(docs)
     return judged.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
 
@@ -40,6 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row with its piece ids; the text, which they give back, stays behind."""
+    small_batches(spark)
     # as the last stage it runs beside what four others have left in the executors: a smaller dictionary, a little slower
     encoded = encode(docs, tokenizer_path("piece_bpe_32k.model"), dictionary_words=50_000, remembered=40_000)
     return encoded.select("doc_id", "lang", "source", "n_pieces", "round_trip", "piece_ids")
