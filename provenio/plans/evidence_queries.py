@@ -9,7 +9,7 @@ from provenio.operators import resolution
 from provenio.operators.graph import confirms, lock_relations
 from provenio.plans import report
 from provenio.plans.registry import register, table
-from provenio.sources import blobs, documents, index
+from provenio.sources import blobs, documents, index, table_functions
 
 
 @register(
@@ -69,27 +69,40 @@ def lock_text_roundtrip(spark, sf_dir):
     )
 
 
-@register(
-    "manifest_flatten",
-    """
+_FLATTEN_SQL = """
     SELECT p_partkey, replace(p_name, ' ', '_') AS alias, CASE p_partkey % 3 WHEN 0 THEN 'normal' WHEN 1 THEN 'development' ELSE 'build' END AS kind,
            CASE WHEN p_partkey % 4 = 0 THEN 'cfg(unix)' END AS target, '=' || p_size || '.0.0' AS version, p_partkey % 5 = 0 AS optional
     FROM part
-    """,
-)
-def manifest_flatten(spark, sf_dir):
+"""
+
+
+def _manifest_texts(spark, sf_dir):
     kind = "CASE p_partkey % 3 WHEN 0 THEN 'dependencies' WHEN 1 THEN 'dev-dependencies' ELSE 'build_dependencies' END"
     head = f"CASE WHEN p_partkey % 4 = 0 THEN '[target.\"cfg(unix)\".' || {kind} || ']' ELSE '[' || {kind} || ']' END"
     spec = """CASE WHEN p_partkey % 5 = 0 THEN '{ version = "=' || p_size || '.0.0", optional = true }' ELSE '"=' || p_size || '.0.0"' END"""
-    texts = table(spark, sf_dir, "part").select(
+    return table(spark, sf_dir, "part").select(
         "p_partkey", F.expr(f"{head} || '\\n' || replace(p_name, ' ', '_') || ' = ' || {spec}").alias("text")
     )
-    parsed = documents.manifests(texts, ["p_partkey"]).select("p_partkey", F.explode("declarations").alias("d"))
+
+
+@register("manifest_flatten", _FLATTEN_SQL)
+def manifest_flatten(spark, sf_dir):
+    parsed = documents.manifests(_manifest_texts(spark, sf_dir), ["p_partkey"]).select("p_partkey", F.explode("declarations").alias("d"))
     return parsed.select(
         "p_partkey", "d.alias", "d.kind", "d.target", "d.version", F.coalesce("d.optional", F.lit(False)).alias("optional")
     )
 
 
+@register("manifest_flatten_in_sql", _FLATTEN_SQL)
+def manifest_flatten_in_sql(spark, sf_dir):
+    """manifest_flatten as Spark SQL, with a table function beside each text."""
+    table_functions.register_table_functions(spark)
+    return spark.sql(
+        "SELECT t.p_partkey, d.alias, d.kind, d.target, d.version, coalesce(d.optional, false) AS optional FROM {texts} t, LATERAL manifest_declarations(t.text) d",
+        texts=_manifest_texts(spark, sf_dir),
+    )
+
+
 @register(
     "index_lines",
     """

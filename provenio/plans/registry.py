@@ -32,7 +32,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from provenio.plans import evidence_queries, page_queries, relation_queries, scalar_queries, scan_queries  # noqa: F401
+    from provenio.plans import evidence_queries, page_queries, relation_queries, resolve_queries, scalar_queries, scan_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

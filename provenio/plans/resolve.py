@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from provenio.functions.text import canonical_name, search_terms
 from provenio.functions.urls import final_component, parse_repository, repository_key, sensitive_url
+from provenio.operators.catalog import CatalogIndex, search_index
 from provenio.operators.joins import not_yet_known
 from provenio.operators.resolution import best_candidates, clear_winner, first_search_hits
 from provenio.operators.selection import bounded, shallowest
@@ -29,12 +30,14 @@ class Captures:
     crates: (name, max_version, repository, homepage, description, downloads), the catalog. repositories: (full_name, name,
     private, manifests array of struct(path, mode, size, text), truncated). search_total and search_incomplete are
     what the code host reported for the search of repositories by name, of which repositories holds the items returned.
+    index: an index of the catalog, if it is searched more than once (operators/catalog.py).
     """
 
     crates: DataFrame
     repositories: DataFrame
     search_total: int | None = None
     search_incomplete: bool = False
+    index: CatalogIndex | None = None
 
 
 def validate_query(query: str, spark) -> str:
@@ -68,9 +71,14 @@ def search(crates: DataFrame, term: Column | str, limit: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= limit).drop("key")
 
 
-def search_candidates(crates: DataFrame, query: str, per_term: int) -> DataFrame:
+def search_candidates(captures: Captures, query: str, per_term: int) -> DataFrame:
     """The hits of all search terms of a query, each package once: of the first term that found it."""
-    return first_search_hits(search(crates, search_terms(F.lit(query)), per_term)).drop("term", "rank")
+    terms = search_terms(F.lit(query))
+    if captures.index is None:
+        found = search(captures.crates, terms, per_term)
+    else:
+        found = search_index(captures.index, captures.crates.sparkSession.range(1).select(F.explode(terms).alias("term")), per_term)
+    return first_search_hits(found).drop("term", "rank")
 
 
 def exact_named(repositories: DataFrame, query: str) -> DataFrame:
@@ -124,7 +132,7 @@ def resolve_repository(captures: Captures, query: str, full_name: str, limit: in
         raise PermissionError("private repositories are outside a public inventory")
     name, truncated, canonical = state[2], state[3], state[4]
     mine = belongs_to(F.col("repository"), canonical)
-    found = search_candidates(captures.crates, name, max(limit, LEAST_FOR_REPOSITORY)).filter(mine)
+    found = search_candidates(captures, name, max(limit, LEAST_FOR_REPOSITORY)).filter(mine)
     keyed = found.withColumn("identity", canonical_name(F.col("name")))
     names = package_names(repository).select(canonical_name(F.col("name")).alias("identity")).distinct()
     fresh = not_yet_known(names, keyed, "identity")
@@ -175,7 +183,7 @@ def resolve(captures: Captures, query: str, limit: int = 20, explicit: str | Non
         notes.append("the bounded page of results has repositories of this very name, which need not be all; name owner/repo")
     elif len(same) > 1:
         notes.append("several public repositories have this very name; name owner/repo")
-    top = written(best_candidates(search_candidates(captures.crates, query, max(limit, LEAST_PER_TERM)), query, limit), "ranked")
+    top = written(best_candidates(search_candidates(captures, query, max(limit, LEAST_PER_TERM)), query, limit), "ranked")
     winner = clear_winner(top).first()
     taken = accept_closest and winner["selected"]
     chosen = canonical_name(F.col("name")) == canonical_name(F.lit(winner["name"])) if taken else F.lit(False)

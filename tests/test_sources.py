@@ -146,3 +146,36 @@ def test_best_candidates_are_those_of_the_whole_ranking(spark):
     for query, limit in (("rust-serde", 7), ("tokio-rs", 1), ("zzz", 5)):
         whole = resolution.top_candidates(resolution.rank_candidates(crates, query), limit).orderBy("rank").collect()
         assert resolution.best_candidates(crates, query, limit).orderBy("rank").collect() == whole
+
+
+def test_search_by_index_is_search_by_scan(spark):
+    from provenio.operators.catalog import catalog_index, search_index
+    from provenio.plans.resolve import search
+
+    draw = random.Random(6)
+    some = lambda n: "".join(draw.choice("ab-_é ") for _ in range(draw.randrange(n)))
+    rows = sorted({some(7) or "a" for _ in range(200)})
+    crates = spark.createDataFrame([(n, some(9) if k % 3 else None, k % 5) for k, n in enumerate(rows)], "name string, description string, downloads int")
+    terms = ["a", "ab", "A-b", "aba_b", "é ", "zz", "", " ", "b é"]
+    index = catalog_index(crates)
+    found = search_index(index, spark.createDataFrame([(t,) for t in terms], "term string"), 4)
+    scanned = search(crates, F.array(*[F.lit(t) for t in terms]), 4)
+    kept = ["term", "rank", "name"]
+    assert sorted(map(tuple, found.select(kept).collect())) == sorted(map(tuple, scanned.select(kept).collect()))
+    assert search_index(index, spark.createDataFrame([], "term string"), 4).count() == 0
+    assert search_index(catalog_index(crates.limit(0)), spark.createDataFrame([("a",)], "term string"), 4).count() == 0
+
+
+def test_table_functions(spark):
+    from provenio.sources.table_functions import register_table_functions
+
+    register_table_functions(spark)
+    lock = '[[package]]\nname = "a"\nversion = "1.0.0"\ndependencies = ["b"]\n[[package]]\nname = "b"\nversion = "2.0.0"\n'
+    texts = spark.createDataFrame([(1, lock), (2, "["), (3, None)], "k int, text string")
+    found = spark.sql("SELECT k, p.name, p.version FROM {t}, LATERAL lock_packages(text) p ORDER BY name", t=texts).collect()
+    assert [tuple(r) for r in found] == [(1, "a", "1.0.0"), (1, "b", "2.0.0")]
+    assert [tuple(r) for r in spark.sql("SELECT e.* FROM {t}, LATERAL lock_edges(text) e", t=texts).collect()] == [(0, 1)]
+    notes = spark.sql("SELECT k, d.code FROM {t}, LATERAL manifest_diagnostics(text) d ORDER BY k", t=texts).collect()
+    assert [tuple(r) for r in notes] == [(2, "manifest_parse_error")]
+    with pytest.raises(Exception, match="a text is wanted"):
+        spark.sql("SELECT * FROM lock_edges(3)").collect()
