@@ -175,11 +175,12 @@ def semver_min(spark, sf_dir):
     """,
 )
 def semver_order(spark, sf_dir):
-    from pyspark.sql import Window
+    """Numbered by ranges, not in one task."""
+    from provenio.plans import report
 
     versions = table(spark, sf_dir, "lineitem").select(F.expr(_VERSION).alias("version")).distinct()
-    order = Window.orderBy(semver.semver_or_text_key(F.col("version")))
-    return versions.select("version", F.row_number().over(order).alias("rank"))
+    keyed = versions.withColumn("key", semver.semver_or_text_key(F.col("version")))
+    return report.ranked(keyed, [F.col("key")]).select("version", F.col("position").alias("rank"))
 
 
 _FULL = "l_linenumber % 3 || '.' || CAST(l_quantity AS BIGINT) % 4 || '.' || l_suppkey % 5"
