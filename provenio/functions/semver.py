@@ -5,24 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from provenio.functions.text import once
+
 # The public grammar of semantic versions (semver.org) and the largest part a version may have.
+LARGEST = 2**64 - 1
 _NUMBER = "(?:0|[1-9][0-9]*)"
 _IDENTIFIER = "(?:0|[1-9][0-9]*|[0-9]*[A-Za-z-][0-9A-Za-z-]*)"
 _PRE = f"{_IDENTIFIER}(?:\\.{_IDENTIFIER})*"
 _BUILD = "[0-9A-Za-z-]+(?:\\.[0-9A-Za-z-]+)*"
-VERSION = f"^({_NUMBER})\\.({_NUMBER})\\.({_NUMBER})(?:-({_PRE}))?(?:\\+({_BUILD}))?$"
+
+
+def _up_to(largest: int) -> str:
+    """A pattern of the numbers from 0 to largest, without leading zeros."""
+    digits = str(largest)
+    shorter = f"[1-9][0-9]{{0,{len(digits) - 2}}}"
+    below = [f"{digits[:k]}[{int(k == 0)}-{int(d) - 1}][0-9]{{{len(digits) - k - 1}}}" for k, d in enumerate(digits) if int(d) > int(k == 0)]
+    return f"(?:{'|'.join(['0', *below, digits, shorter])})"
+
+
+_IN_RANGE = _up_to(LARGEST)
+VERSION = f"^{_IN_RANGE}\\.{_IN_RANGE}\\.{_IN_RANGE}(?:-{_PRE})?(?:\\+{_BUILD})?$"
 _PART = f"{_NUMBER}|[*xX]"
 COMPARATOR = f"^\\s*(=|>=|>|<=|<|~|\\^)?\\s*({_PART})(?:\\.({_PART})(?:\\.({_PART})(?:-({_PRE}))?(?:\\+{_BUILD})?)?)?\\s*$"
-LARGEST = 2**64 - 1
+_SPACES = " \t\n\x0b\f\r\u0085\u2028\u2029"
 
 
-def _part(text: Column, pattern: str, group: int) -> Column:
-    """A numeric group, null where it is absent, a wildcard, or out of range."""
-    found = F.regexp_extract(text, pattern, group)
-    number = F.when(found.rlike("^[0-9]{1,20}$"), found.cast("decimal(20,0)"))
+def _number(text: Column) -> Column:
+    """A number, null where the text is absent, a wildcard, or out of range."""
+    number = text.try_cast("decimal(20,0)")
     return F.when(number <= F.lit(str(LARGEST)).cast("decimal(20,0)"), number)
 
 
+def _core_and_pre(text: Column) -> tuple[Column, Column]:
+    """Of a version without what stands before it: the parts between dots, and what stands between the first - and the +."""
+    plain = F.substring_index(text, "+", 1)
+    core = F.substring_index(plain, "-", 1)
+    return core, F.substr(plain, F.char_length(core) + 2)
+
+
 def _identifiers(pre: Column) -> Column:
     """Pre-release identifiers in an order that array comparison keeps: numbers first, by value."""
     parts = F.when(pre == "", F.array().cast("array<string>")).otherwise(F.split(pre, "\\."))
@@ -39,18 +59,19 @@ def _identifiers(pre: Column) -> Column:
 def semver_key(version: Column) -> Column:
     """struct(major, minor, patch, release, pre): compares as versions do; null unless a full x.y.z is given.
 
-    A release sorts after its pre-releases; build metadata does not count.
+    A release sorts after its pre-releases; build metadata does not count. One pattern decides, ranges included; the
+    parts are then cut out.
     """
-    major, minor, patch = (_part(version, VERSION, k) for k in (1, 2, 3))
-    pre = F.regexp_extract(version, VERSION, 4)
+    core, pre = _core_and_pre(F.rtrim(version, F.lit("\r\n\u0085\u2028\u2029")))
+    part = lambda k: F.substring_index(F.substring_index(core, ".", k), ".", -1).try_cast("decimal(20,0)")
     key = F.struct(
-        major.alias("major"),
-        minor.alias("minor"),
-        patch.alias("patch"),
+        part(1).alias("major"),
+        part(2).alias("minor"),
+        part(3).alias("patch"),
         F.when(pre == "", 1).otherwise(0).alias("release"),
         _identifiers(pre).alias("pre"),
     )
-    return F.when(version.rlike(VERSION) & major.isNotNull() & minor.isNotNull() & patch.isNotNull(), key)
+    return F.when(version.rlike(VERSION), key)
 
 
 def semver_or_text_key(text: Column) -> Column:
@@ -67,27 +88,26 @@ def comparators(requirement: Column) -> Column:
     A bare comparator is a caret; a wildcard part ends the comparator and makes it a prefix match. A requirement
     of `*` alone has no comparators.
     """
-    trimmed = F.btrim(requirement)
-    wild = trimmed.rlike("^[*xX]$")
-    parts = F.split(trimmed, ",")
-    ok = F.forall(parts, lambda p: p.rlike(COMPARATOR) & ~p.rlike("^\\s*[*xX]") & ~p.rlike("[*xX]\\s*\\.\\s*[0-9]"))
-
-    def parsed(p: Column) -> Column:
-        op = F.regexp_extract(p, COMPARATOR, 1)
-        pre = F.regexp_extract(p, COMPARATOR, 5)
-        has_wild = p.rlike("\\.[*xX]")
+    def cut(p: Column) -> Column:
+        text = F.btrim(p, F.lit(_SPACES))
+        op = F.regexp_extract(text, "^[=<>~^]*", 0)
+        core, pre = _core_and_pre(F.ltrim(F.substr(text, F.char_length(op) + 1), F.lit(_SPACES)))
+        return F.struct(op.alias("op"), F.split(core, "\\.").alias("parts"), pre.alias("pre"), p.rlike("\\.[*xX]").alias("wild"))
+
+    def parsed(c: Column) -> Column:
         return F.struct(
-            F.when(op != "", op).when(has_wild, "*").otherwise("^").alias("op"),
-            _part(p, COMPARATOR, 2).alias("major"),
-            _part(p, COMPARATOR, 3).alias("minor"),
-            _part(p, COMPARATOR, 4).alias("patch"),
-            F.struct(F.when(pre == "", 1).otherwise(0).alias("release"), _identifiers(pre).alias("pre")).alias("tail"),
+            F.when(c["op"] != "", c["op"]).when(c["wild"], "*").otherwise("^").alias("op"),
+            *[_number(F.get(c["parts"], F.lit(k))).alias(name) for k, name in enumerate(("major", "minor", "patch"))],
+            F.struct(F.when(c["pre"] == "", 1).otherwise(0).alias("release"), _identifiers(c["pre"]).alias("pre")).alias("tail"),
         )
 
-    listed = F.transform(parts, parsed)
-    empty = F.filter(listed, lambda c: F.lit(False))
-    valid = ok & F.forall(listed, lambda c: c["major"].isNotNull())
-    return F.when(wild, empty).when(valid, listed)
+    def of_parts(parts: Column) -> Column:
+        ok = F.forall(parts, lambda p: p.rlike(COMPARATOR) & ~p.rlike("^\\s*[*xX]") & ~p.rlike("[*xX]\\s*\\.\\s*[0-9]"))
+        listed = F.when(ok, F.transform(parts, lambda p: once(cut(p), parsed)))
+        return once(listed, lambda some: F.when(F.forall(some, lambda c: c["major"].isNotNull()), some))
+
+    none = F.filter(F.transform(F.array(F.lit("")), lambda p: once(cut(p), parsed)), lambda c: F.lit(False))
+    return once(F.btrim(requirement), lambda t: F.when(t.rlike("^[*xX]$"), none).otherwise(once(F.split(t, ","), of_parts)))
 
 
 def _matches(c: Column, v: Column) -> Column:
@@ -150,7 +170,7 @@ def _accepts(found: Column, v: Column) -> Column:
 def _bound(requirement: Column, version: Column, body) -> Column:
     """body(comparators, key), each evaluated once."""
     pair = F.struct(comparators(requirement).alias("c"), semver_key(version).alias("v"))
-    return F.get(F.transform(F.array(pair), lambda s: body(s["c"], s["v"])), F.lit(0))
+    return once(pair, lambda s: body(s["c"], s["v"]))
 
 
 def requirement_accepts(requirement: Column, version: Column) -> Column:
@@ -182,9 +202,10 @@ def evaluate_requirement(requirement: Column, version: Column) -> Column:
             c.isNull().alias("bad"),
         ),
     )
-    return F.struct(
-        requirement.alias("requirement"),
-        found["accepts"].alias("accepts"),
-        found["exact_pin"].alias("exact_pin"),
-        F.when(found["bad"], F.concat(F.lit("requirement does not parse: "), F.coalesce(requirement, F.lit("null")))).alias("error"),
+    error = F.concat(F.lit("requirement does not parse: "), F.coalesce(requirement, F.lit("null")))
+    return once(
+        found,
+        lambda f: F.struct(
+            requirement.alias("requirement"), f["accepts"].alias("accepts"), f["exact_pin"].alias("exact_pin"), F.when(f["bad"], error).alias("error")
+        ),
     )

@@ -11,6 +11,11 @@ FORMULA_STARTS = "=+\\-@\\t\\r\\n＝＋－＠"
 PATTERN_SPECIALS = "([.+*?^$()\\[\\]{}|\\\\/])"
 
 
+def once(value: Column, body) -> Column:
+    """body(value), with value evaluated a single time however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def canonical_name(name: Column) -> Column:
     """ASCII lower case, with hyphens as underscores."""
     return F.translate(name, "ABCDEFGHIJKLMNOPQRSTUVWXYZ-", "abcdefghijklmnopqrstuvwxyz_")

@@ -91,3 +91,14 @@ def test_jaro_winkler_published_examples():
     assert text.jaro_winkler_text("DIXON", "DICKSONX") == pytest.approx(0.8133, abs=1e-4)
     assert text.jaro_winkler_text("DWAYNE", "DUANE") == pytest.approx(0.84, abs=1e-4)
     assert text.jaro_winkler_text("", "a") == 0.0 and text.jaro_winkler_text("", "") == 1.0
+
+
+def test_a_version_is_matched_once(spark):
+    """One pattern decides a version, its ranges too, and nothing matches it again."""
+    plan = spark.range(1).select(semver.semver_key(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("RLIKE(cast(id") == 1 and "regexp_extract" not in plan
+    texts = ["1.2.3", "1.2.18446744073709551615", "1.2.18446744073709551616", "1.99999999999999999999.0", "123456789012345678901.0.0", "1.2.3-rc.1+b-1", "1.2.3+b-1", "01.2.3"]
+    found = values(spark, texts, lambda v: F.to_json(F.struct(semver.semver_key(v).alias("k"))))
+    whole = '{"k":{"major":1,"minor":2,"patch":%s,"release":%d,"pre":%s}}'
+    identifiers = '[{"kind":1,"digits":0,"text":"rc"},{"kind":0,"digits":1,"text":"1"}]'
+    assert found == [whole % (3, 1, "[]"), whole % (2**64 - 1, 1, "[]"), "{}", "{}", "{}", whole % (3, 0, identifiers), whole % (3, 1, "[]"), "{}"]
