@@ -52,8 +52,8 @@ def lock_relation(spark, sf_dir):
     """,
 )
 def lock_text_roundtrip(spark, sf_dir):
-    parts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    listed = parts.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("ps"))
+    lines = table(spark, sf_dir, "lineitem")
+    listed = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("ps"))
     package = lambda p, i: F.concat(
         F.lit('[[package]]\nname = "p'), p.cast("string"), F.lit('"\nversion = "1.0.0"\n'),
         F.when(i > 0, F.concat(F.lit('dependencies = ["p'), F.get(F.col("ps"), i - 1).cast("string"), F.lit('"]\n'))).otherwise(""),

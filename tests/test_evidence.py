@@ -8,7 +8,7 @@ from provenio.operators.graph import lock_relations
 from provenio.operators.manifests import analyze_manifests, effective_msrv
 from provenio.plans import report, scan
 from provenio.plans.options import ScanOptions, bounded_int, exit_code
-from provenio.sources import index, sinks
+from provenio.sources import documents, index, sinks
 from provenio.sources.documents import parse_lock, parse_manifest
 
 
@@ -286,3 +286,28 @@ def test_next_page_and_excerpts(spark):
     assert [r.more for r in more.collect()] == [True, False, False]
     texts = spark.createDataFrame([("short",), ("x" * 513,), ("é" * 512,), (None,)], "t string")
     assert [r[0] for r in texts.select(excerpt(F.col("t"))).collect()] == ["short", "x" * 512 + "…", "é" * 512, None]
+
+
+def test_lockfiles_in_the_tools_own_form_are_read_without_the_toml_parser(monkeypatch):
+    """The plain form gives what the TOML parser gives; anything else still goes through it."""
+    head, block = "# made by a tool\nversion = 3\n\n", '[[package]]\nname = "{}"\nversion = "{}"\n'
+    plain = [
+        head + block.format("a", "1.0.0") + 'source = "registry+x"\nchecksum = "00"\ndependencies = [\n "b 2.0.0",\n "c",\n]\n\n' + block.format("b", "1.0.0") + "\n" + block.format("b", "2.0.0") + block.format("c", "1.0.0") + "dependencies = []\n",
+        block.format("a", "1.0.0") + 'dependencies = ["gone", "a"]\n',
+    ]
+    other = [block.format("a", "1.0.0") + more for more in ('name = "b"\n', "[metadata]\n", 'source = "a\\"b"\n', "[", "[root]\nname = 'r'\nversion = '1'\n")] + ["version = 03\n" + plain[1], "", None]
+    found = [parse_lock(t) for t in plain + other]
+    with monkeypatch.context() as patch:
+        patch.setattr(documents, "_written_by_tool", lambda text: None)
+        assert found == [parse_lock(t) for t in plain + other]
+    assert [e["dst"] for e in found[0]["edges"]] == [2, 3] and found[0]["buildable"] and not found[1]["buildable"]
+    monkeypatch.setattr(documents.tomllib, "loads", None)
+    assert [parse_lock(t) for t in plain] == found[:2]
+
+
+def test_lockfiles_as_columns(spark):
+    texts = [(1, '[[package]]\nname = "a"\nversion = "1"\ndependencies = ["b"]\n[[package]]\nname = "b"\nversion = "2"\nsource = "s"\n'), (2, "["), (3, None)]
+    rows = documents.lockfiles(spark.createDataFrame(texts, "id long, text string"), ["id"]).orderBy("id").collect()
+    assert [tuple(p) for p in rows[0].packages] == [(0, "a", "1", None), (1, "b", "2", "s")] and [tuple(e) for e in rows[0].edges] == [(0, 1)]
+    assert (rows[0].buildable, rows[0].error, rows[1].buildable, rows[1].packages, rows[2].packages, rows[2].buildable) == (True, None, False, [], [], True)
+    assert rows[1].error.startswith("lockfile does not parse: ")
