@@ -70,7 +70,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame | None) -> None:
-    """Delete tables that written() gave, once nothing that is still to be computed reads them."""
+    """Delete tables that written() gave, once nothing that is still to be computed reads them.
+
+    The driver's heap is collected as well: plans of jobs that are over are garbage, which rounds of jobs would otherwise
+    pile up until the heap has grown to its limit and stays there.
+    """
+    spark = None
     for table in tables:
         if table is None:
             continue
@@ -80,6 +85,8 @@ def discard(*tables: DataFrame | None) -> None:
             shared = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
             if path.toUri().getPath().startswith(shared.toUri().getPath() + "/"):
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if spark is not None:
+        spark._jvm.System.gc()
 
 
 def text_or_empty(name: str) -> Column:

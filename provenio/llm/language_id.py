@@ -281,6 +281,7 @@ def detect_language(
     if network is None:
         samples = training_samples(df, id_col, text_col, lang_col, max_train_docs, pieces_per_doc, 64)
         network = train(samples) if samples else None
+        give_back()
 
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
