@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from provenio.functions.text import ascii_lower
+from provenio.functions.text import ascii_lower, once
 
 # First path segments of the code host that are pages of its own, not owners.
 RESERVED_OWNERS = [
@@ -36,33 +36,41 @@ def parse_repository(text: Column) -> Column:
     with or without git+) or of its API's repos; not those with user information (but git@ over ssh or git), a query
     or a fragment, nor URLs of the host's own pages. Empty path segments do not count.
     """
-    trimmed = _trimmed(text)
-    extract = lambda pattern, k: F.regexp_extract(trimmed, pattern, k)
     segments = lambda path: F.filter(F.split(path, "/"), lambda part: part != "")
-    # each form's segments, or null where the form does not hold
-    scp_path = extract(_SCP, 2)
-    scp = F.when((extract(_SCP, 1) == "git") & ~scp_path.rlike("[?#]"), segments(scp_path))
-    short = segments(trimmed)
-    user, scheme = extract(_HOSTED, 2), F.lower(extract(_HOSTED, 1))
-    allowed = (user == "") | ((user == "git") & scheme.isin("ssh", "git"))
-    path = segments(extract(_HOSTED, 4))
-    first = ascii_lower(F.coalesce(F.get(path, F.lit(0)), F.lit("")))
-    api = F.lower(extract(_HOSTED, 3)) == "api.github.com"
-    hosted = F.when(api & (first == "repos"), F.slice(path, 2, 2)).when(~api & ~first.isin(*RESERVED_OWNERS), F.slice(path, 1, 2))
-    found = (
-        F.when(trimmed.rlike(_SCP), scp)
-        .when(~trimmed.contains("://"), F.when(F.size(short) == 2, short))
-        .when(trimmed.rlike(_HOSTED) & allowed, hosted)
-    )
-    owner, name = F.get(found, F.lit(0)), _without_git(F.get(found, F.lit(1)))
-    valid = (
-        owner.rlike(f"^{OWNER}$")
-        & name.rlike(f"^{NAME}$")
-        & (F.char_length(name) <= 100)
-        & ~name.isin(".", "..")
-        & ~trimmed.rlike("\\p{Cc}")
-    )
-    return F.when(valid, F.struct(owner.alias("owner"), name.alias("name")))
+
+    def of_url(h: Column) -> Column:
+        allowed = (h["user"] == "") | ((h["user"] == "git") & h["scheme"].isin("ssh", "git"))
+        first = ascii_lower(F.coalesce(F.get(h["path"], F.lit(0)), F.lit("")))
+        api = h["host"] == "api.github.com"
+        hosted = F.when(api & (first == "repos"), F.slice(h["path"], 2, 2)).when(~api & ~first.isin(*RESERVED_OWNERS), F.slice(h["path"], 1, 2))
+        return F.when(allowed, hosted)
+
+    def found(trimmed: Column) -> Column:
+        """The segments of owner and name, or null where no form holds."""
+        extract = lambda pattern, k: F.regexp_extract(trimmed, pattern, k)
+        scp = once(extract(_SCP, 2), lambda path: F.when((extract(_SCP, 1) == "git") & ~path.rlike("[?#]"), segments(path)))
+        url = F.struct(
+            extract(_HOSTED, 2).alias("user"), F.lower(extract(_HOSTED, 1)).alias("scheme"), F.lower(extract(_HOSTED, 3)).alias("host"),
+            segments(extract(_HOSTED, 4)).alias("path"),
+        )
+        return (
+            F.when(trimmed.rlike(_SCP), scp)
+            .when(~trimmed.contains("://"), once(segments(trimmed), lambda short: F.when(F.size(short) == 2, short)))
+            .when(trimmed.rlike(_HOSTED), once(url, of_url))
+        )
+
+    def named(trimmed: Column) -> Column:
+        pair = lambda parts: F.struct(F.get(parts, F.lit(0)).alias("owner"), _without_git(F.get(parts, F.lit(1))).alias("name"))
+        valid = lambda p: (
+            p["owner"].rlike(f"^{OWNER}$")
+            & p["name"].rlike(f"^{NAME}$")
+            & (F.char_length(p["name"]) <= 100)
+            & ~p["name"].isin(".", "..")
+            & ~trimmed.rlike("\\p{Cc}")
+        )
+        return once(once(found(trimmed), pair), lambda p: F.when(valid(p), p))
+
+    return once(_trimmed(text), named)
 
 
 def repository_key(text: Column) -> Column:

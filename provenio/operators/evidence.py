@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenio.functions.semver import evaluate_requirement
+from provenio.functions.text import once
 
 #: Counts of a state; of two groups they are added.
 COUNTS = [
@@ -28,10 +29,13 @@ def evaluated(candidates: DataFrame, target: str, version: str) -> DataFrame:
     def declaration(d: Column) -> Column:
         answer = evaluate_requirement(d["requirement"], F.lit(version))
         package = F.coalesce(d["package"], F.lit(target)) if "package" in given else F.lit(target)
-        return F.struct(
-            d["alias"].alias("alias"), package.alias("package"), d["requirement"].alias("requirement"), d["kind"].alias("kind"),
-            F.coalesce(d["optional"], F.lit(False)).alias("optional"), d["target"].alias("target"), d["registry"].alias("registry"),
-            answer["accepts"].alias("accepts"), answer["exact_pin"].alias("exact_pin"),
+        return once(
+            answer,
+            lambda a: F.struct(
+                d["alias"].alias("alias"), package.alias("package"), d["requirement"].alias("requirement"), d["kind"].alias("kind"),
+                F.coalesce(d["optional"], F.lit(False)).alias("optional"), d["target"].alias("target"), d["registry"].alias("registry"),
+                a["accepts"].alias("accepts"), a["exact_pin"].alias("exact_pin"),
+            ),
         )
 
     return candidates.withColumn("declarations", F.transform("declarations", declaration))

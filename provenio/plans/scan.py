@@ -18,7 +18,7 @@ from provenio.operators.graph import confirms, relation_column
 from provenio.operators.manifests import KIND_ORDER, analyze_manifests
 from provenio.plans.options import OVERSCAN, SCOPES, ScanOptions
 from provenio.sources.documents import lockfiles
-from provenio.sources.index import index_declarations, with_fallback
+from provenio.sources.index import fallen_back, index_declarations
 from provenio.sources.scratch import written
 
 # The columns of a fact row, in the order of the output.
@@ -80,14 +80,17 @@ def published_candidates(listing: DataFrame, index_files: DataFrame, target: str
     body). A release whose index file is missing, malformed or without such a declaration keeps one from the listing,
     and the error in enrichment_error: it is not lost, and what it says is not certain.
     """
-    keys = ["name", "version", "position"]
-    wanted = listing.select(*keys, F.when(F.col("name").rlike("^[A-Za-z0-9_-]+$"), index_path(F.col("name"))).alias("path"))
-    declared = index_declarations(wanted.join(index_files.select("path", "body"), "path"), keys, "version", target)
+    path = F.when(F.col("name").rlike("^[A-Za-z0-9_-]+$"), index_path(F.col("name")))
+    rows = listing.select(F.struct("*").alias("_row"), F.col("version").alias("_version"), path.alias("_path"))
+    files = index_files.select(F.col("path").alias("_path"), "body", F.lit(True).alias("_held"))
+    # each release goes beside its file, once
+    declared = index_declarations(rows.join(files, "_path", "left"), ["_row", "_held"], "_version", target)
+    known = declared.select("_row.*", "declarations", F.when(F.col("_held"), F.col("error")).alias("error"))
     shown = F.struct(
         F.lit(target).alias("alias"), F.col("listed.requirement").alias("requirement"), F.col("listed.kind").alias("kind"),
         F.coalesce("listed.optional", F.lit(False)).alias("optional"), F.col("listed.target").alias("target"), F.lit(None).cast("string").alias("registry"),
     )
-    return with_fallback(listing, declared, keys, shown).drop("listed")
+    return fallen_back(known, shown).drop("listed")
 
 
 def keyed_candidates(candidates: DataFrame) -> DataFrame:

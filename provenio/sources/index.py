@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenio.functions.text import canonical_name
+from provenio.functions.text import canonical_name, once
 
 LINE = (
     "name string, vers string, yanked boolean, deps array<struct<name: string, req: string, package: string, kind: string, "
@@ -19,20 +19,17 @@ def release_lines(files: DataFrame, keys: list[str], version_col: str) -> DataFr
     Blank lines are passed over; lines after the match are not looked at; a line before it that does not parse is an
     error, and so is a version that no line has.
     """
-    lines = files.select(*keys, version_col, F.posexplode(F.split("body", "\n")).alias("at", "text")).filter(F.btrim("text") != "")
-    parsed = lines.withColumn("line", F.from_json("text", LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    corrupt = F.col("line._corrupt").isNotNull() | F.col("line").isNull()
-    match = ~corrupt & F.col("line.vers").eqNullSafe(F.col(version_col))
-    found = parsed.groupBy(*keys).agg(
-        F.min_by("line", F.when(match, F.col("at"))).alias("line"),
-        F.min(F.when(match, F.col("at"))).alias("_match"),
-        F.min(F.when(corrupt, F.col("at"))).alias("_corrupt"),
-    )
-    bad = F.col("_corrupt").isNotNull() & (F.col("_match").isNull() | (F.col("_corrupt") < F.col("_match")))
-    error = F.when(bad, "malformed line").when(F.col("_match").isNull(), "no such release")
-    whole = files.select(*keys).join(found, keys, "left")
-    empty = F.col("_match").isNull() & F.col("_corrupt").isNull()
-    return whole.select(*keys, F.when(~bad, F.col("line")).alias("line"), F.when(empty, "no such release").otherwise(error).alias("error"))
+    lines = F.filter(F.split("body", "\n"), lambda t: F.btrim(t) != "")
+    parsed = lambda t: F.from_json(t, LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    corrupt = lambda line: line["_corrupt"].isNotNull() | line.isNull()
+    decides = lambda line: corrupt(line) | line["vers"].eqNullSafe(F.col(version_col))
+    # a file is one row, so nothing is shuffled; once a line has decided, no other is parsed
+    nothing = F.lit(None).cast(f"struct<line: struct<{LINE}>>")
+    first = F.aggregate(lines, nothing, lambda done, t: F.when(done.isNotNull(), done).otherwise(once(parsed(t), lambda line: F.when(decides(line), F.struct(line.alias("line"))))))
+    found = once(first, lambda x: F.struct(x.isNull().alias("none"), (x.isNotNull() & corrupt(x["line"])).alias("bad"), x["line"].alias("line")))
+    rows = files.select(*keys, found.alias("_found"))
+    error = F.when(F.col("_found.none"), "no such release").when(F.col("_found.bad"), "malformed line")
+    return rows.select(*keys, F.when(~F.col("_found.bad"), F.col("_found.line")).alias("line"), error.alias("error"))
 
 
 def index_declarations(files: DataFrame, keys: list[str], version_col: str, target: str) -> DataFrame:
@@ -60,7 +57,11 @@ def index_declarations(files: DataFrame, keys: list[str], version_col: str, targ
 
 def with_fallback(candidates: DataFrame, declared: DataFrame, keys: list[str], fallback) -> DataFrame:
     """Candidates in their order, with the index's declarations or else the fallback one and the error's text."""
-    joined = candidates.join(declared, keys, "left")
+    return fallen_back(candidates.join(declared, keys, "left"), fallback)
+
+
+def fallen_back(joined: DataFrame, fallback) -> DataFrame:
+    """Candidates with the index's declarations and error beside them, where it has any."""
     error = F.when(F.col("declarations").isNull(), F.coalesce("error", F.lit("no index file")))
     return joined.withColumn("enrichment_error", error).withColumn("declarations", F.coalesce("declarations", F.array(fallback))).drop("error")
 

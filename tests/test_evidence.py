@@ -311,3 +311,13 @@ def test_lockfiles_as_columns(spark):
     assert [tuple(p) for p in rows[0].packages] == [(0, "a", "1", None), (1, "b", "2", "s")] and [tuple(e) for e in rows[0].edges] == [(0, 1)]
     assert (rows[0].buildable, rows[0].error, rows[1].buildable, rows[1].packages, rows[2].packages, rows[2].buildable) == (True, None, False, [], [], True)
     assert rows[1].error.startswith("lockfile does not parse: ")
+
+
+def test_an_index_file_is_one_row_from_end_to_end(spark):
+    """No line is shuffled or parsed after the one that decides."""
+    files = spark.createDataFrame([(1, "1", '\n{"vers":"0"}\n{"vers":"1","deps":[]}\n{cut'), (2, "1", '{cut\n{"vers":"1"}'), (3, "1", ""), (4, "1", None)], "id int, v string, body string")
+    lines = index.release_lines(files, ["id"], "v")
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
+    assert [(r.id, r.line and r.line.vers, r.error) for r in lines.orderBy("id").collect()] == [
+        (1, "1", None), (2, None, "malformed line"), (3, None, "no such release"), (4, None, "no such release"),
+    ]

@@ -102,3 +102,12 @@ def test_a_version_is_matched_once(spark):
     whole = '{"k":{"major":1,"minor":2,"patch":%s,"release":%d,"pre":%s}}'
     identifiers = '[{"kind":1,"digits":0,"text":"rc"},{"kind":0,"digits":1,"text":"1"}]'
     assert found == [whole % (3, 1, "[]"), whole % (2**64 - 1, 1, "[]"), "{}", "{}", "{}", whole % (3, 0, identifiers), whole % (3, 1, "[]"), "{}"]
+
+
+def test_repositories_and_requirements_are_parsed_once(spark):
+    """Each of the two is bound before it is used: patterns stand in the plan a few times, not hundreds."""
+    text = F.col("id").cast("string")
+    plan = lambda c: spark.range(1).select(c)._jdf.queryExecution().analyzed().toString().lower()
+    for column, most in ((urls.parse_repository(text), 60), (semver.evaluate_requirement(text, F.lit("1.2.3")), 60)):
+        shown = plan(column)
+        assert shown.count("regexp_") + shown.count("rlike") <= most
